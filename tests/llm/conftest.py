@@ -1,0 +1,27 @@
+"""A local session for this folder's tests, and the small documents table."""
+
+import pytest
+from pyspark.sql import SparkSession
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "6g")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+    return session
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
