@@ -7,11 +7,12 @@ Myers' bit-parallel algorithm measures the item's distance to the best place in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,15 +115,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08
     has none. Repeated items are found each by its id, repeated rows of docs give repeated results. Items are searched in
     blocks of block_chars characters at most (or one item), so what is broadcast is bounded however many there are.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     ids = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {ids[0]}, item_id {ids[1]}, distance int, match_end long, item_chars int"
-    items = benchmark.select("item_id", "text").where(F.length("text") >= min_chars)
-    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) or 1
     kind = pa.string() if ids[1] == "string" else pa.int32() if ids[1] == "int" else pa.int64()
 
-    def search(shared) -> DataFrame:  # noqa: ANN001
+    def search(shared: Broadcast) -> DataFrame:
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: list[Item] = shared.value
             machine = automaton(known)
@@ -135,15 +133,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08
         return rows.mapInArrow(found, schema)
 
     out = None
+    for shared in item_blocks(benchmark, error_rate, min_chars, block_chars):
+        out = search(shared) if out is None else out.unionByName(search(shared))
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def item_blocks(benchmark: DataFrame, error_rate: float, min_chars: int, block_chars: int) -> Iterator[Broadcast]:
+    """The items of benchmark (item_id, text) as broadcasts of about block_chars characters each."""
+    items = benchmark.select("item_id", "text").where(F.length("text") >= min_chars)
+    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars) or 1
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # block_chars on average
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         made = [make_item(r["item_id"], t, error_rate) for r in part if len(t := fold(r["text"])) >= min_chars]
         if made:
-            one = search(spark.sparkContext.broadcast(made))
-            out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], schema) if out is None else out
+            yield benchmark.sparkSession.sparkContext.broadcast(made)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, min_chars: int = 24, text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
+    """docs without the rows in which contaminated() finds an item; row by row, whatever their ids."""
+    at = docs.columns.index(text)
+
+    def clean(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = automaton(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not match_text(fold(t), shared.value, machine) for t in batch.column(at).to_pylist()], pa.bool_()))
 
+        return kept
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: object) -> DataFrame:
-    """docs without the rows whose doc_id is contaminated; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    for shared in item_blocks(benchmark, error_rate, min_chars, block_chars):
+        docs = docs.mapInArrow(clean(shared), docs.schema)
+    return docs

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 #: Bounds of the sample that the trees are fitted on: documents per language, characters per document, and languages.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 8_000, 200
@@ -168,18 +169,19 @@ def find(index: tuple[np.ndarray, np.ndarray, np.ndarray, int], runs: np.ndarray
     return at
 
 
-def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", max_batch_bytes: int = 1 << 20) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score, bits_per_byte.
+def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", carry: tuple[str, ...] = (), max_batch_bytes: int = 1 << 20) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score, bits_per_byte, and of docs the columns in carry.
 
     trees are fitted on docs if not given. lang_pred is und where the text is null or has no letter, and everywhere if there
     is nothing to learn from; score is then 0, else the predicted language's share when each language's probability of the
     text is compared with the others'. Ties go to the first language by name. Null ids, repeated rows and empty tables are
-    no special case; further columns aren't read.
+    no special case; columns that aren't asked for aren't read.
     """
     if trees is None:
         trees = Trees(training_sample(docs))
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(F.col(text).rlike("\\p{L}"), F.col(text)).alias("_text"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(F.col(text).rlike("\\p{L}"), F.col(text)).alias("_text"), *carry)
+    rows = rows.toDF(*(f"_{k}" for k in range(3 + len(carry))))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -203,6 +205,15 @@ def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", ma
                 pred[known] = np.array(model.languages, object)[best]
                 score[known] = 1 / np.exp2(np.maximum(least[:, None] - bits[known], -1000)).sum(axis=1)
                 rate[known] = least / size[known]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=~known)], ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, mask=~known), *batch.columns[3:]], [f"_{k}" for k in range(5 + len(carry))])
 
-    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    out = [("doc_id", docs.schema["doc_id"].dataType), ("held_out", BooleanType()), ("lang_pred", StringType()), ("score", DoubleType()), ("bits_per_byte", DoubleType()), *((x, docs.schema[x].dataType) for x in carry)]
+    return rows.mapInArrow(scored, StructType([StructField(f"_{k}", kind) for k, (_, kind) in enumerate(out)])).toDF(*(name for name, _ in out))
+
+
+def keep_identified(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> DataFrame:
+    """docs without the rows whose language is und: those that have no text, or no letter in it."""
+    names = docs.columns
+    plain = docs.toDF(*(f"_{x}" for x in names)).withColumns({"doc_id": F.col("_doc_id"), "lang": F.col("_lang"), "text": F.col(f"_{text}")})
+    found = identify(plain, trees, carry=tuple(f"_{x}" for x in names))
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"_{x}").alias(x) for x in names))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, url_filter
+from panelforge.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, repeat_spans, secret_scan, url_filter
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -66,7 +66,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_by_host(_table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_jaccard_join, op4_chat_format, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_quality_rules)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.strip_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_jaccard_join, op4_chat_format, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_quality_rules, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
     "op2_url_filter": r"""
