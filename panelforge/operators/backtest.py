@@ -43,16 +43,22 @@ def backtest(prices: DataFrame, target: DataFrame, initial_cash: float = 1_000_0
     def value(units, at):  # noqa: ANN001, ANN202
         return F.aggregate(F.zip_with(units, at, lambda u, p: u * p), F.lit(0.0), lambda a, x: a + x)
 
+    def let(x, use):  # noqa: ANN001, ANN202
+        """use(x), with x computed once."""
+        return F.element_at(F.transform(F.array(x), use), 1)
+
     def trade(done, e):  # noqa: ANN001, ANN202
-        last = F.try_element_at(done, F.lit(-1))
-        units = F.coalesce(last["units"], F.transform(e["p"], lambda _: F.lit(0.0)))
-        cash = F.coalesce(last["cash"], F.lit(float(initial_cash)))
-        nav = cash + value(units, e["b"])
-        new = F.zip_with(e["w"], e["b"], lambda w, p: nav * w / p)
-        moved = F.zip_with(new, units, lambda n, u: n - u)
-        cost = value(F.transform(moved, F.abs), e["p"]) * cost_rate
-        now = F.struct(e["date"].alias("date"), (cash - cost - value(moved, e["p"])).alias("cash"), new.alias("units"), cost.alias("cost"))
-        return F.concat(done, F.array(now))
+        start = F.struct(e["date"].alias("date"), F.lit(float(initial_cash)).alias("cash"), F.transform(e["p"], lambda _: F.lit(0.0)).alias("units"), F.lit(0.0).alias("cost"))
+
+        def settled(last, new):  # noqa: ANN001, ANN202
+            return let(F.zip_with(new, last["units"], lambda n, u: n - u), lambda moved: let(value(F.transform(moved, F.abs), e["p"]) * cost_rate, lambda cost: F.struct(
+                e["date"].alias("date"), (last["cash"] - cost - value(moved, e["p"])).alias("cash"), new.alias("units"), cost.alias("cost"))))
+
+        def sized(last):  # noqa: ANN001, ANN202
+            nav = last["cash"] + value(last["units"], e["b"])
+            return let(nav, lambda n: let(F.zip_with(e["w"], e["b"], lambda w, p: n * w / p), lambda new: settled(last, new)))
+
+        return F.concat(done, F.array(let(F.coalesce(F.try_element_at(done, F.lit(-1)), start), sized)))
 
     steps = folded.select("panel_id", F.inline(F.aggregate("e", F.array().cast(f"array<{state}>"), trade)))
     held = quotes.join(steps, day, "left")

@@ -1,11 +1,8 @@
 """All queries of the portfolio engine by name, and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from panelforge.plans.queries import QUERIES
+from panelforge.plans.sql import SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 
 FLAGSHIP = "perf_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
