@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from panelforge.functions import series
 from panelforge.operators import backtest as bt
 from panelforge.operators import calendar, covariance, exposure, factors, fx, performance, returns, risk, views
 from panelforge.sources import dims, panel
+from panelforge.sources.shared import written
 
 #: Spans for the derived panel's length (the defaults need about a thousand complete dates).
 COV_SPAN, SCALE_SPAN, LOOKBACK, RISK_WINDOW, TREND = 120, 60, 120, 63, 126
@@ -31,13 +31,13 @@ _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def shared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Persists what f returns, once for each session and folder: queries and stages that build on it don't compute it again."""
+    """Writes what f returns to the shared folder, once for each session and input: queries that build on it have short plans."""
 
     def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, f.__name__)
         if key not in _KEPT:
-            _KEPT[key] = f(spark, sf_dir)
-        return _KEPT[key].persist(StorageLevel.MEMORY_AND_DISK)
+            _KEPT[key] = written(f(spark, sf_dir), f.__name__)
+        return _KEPT[key]
 
     return kept
 
@@ -81,6 +81,7 @@ def rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.risk_free(yields(spark, sf_dir), "USD").select("date", "rf")
 
 
+@shared
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.densify(prices(spark, sf_dir))
 
@@ -90,42 +91,42 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def panel_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(prices(spark, sf_dir), "date", "ticker", price=6)
+    return shown(prices(spark, sf_dir), "date", "ticker", price=9)
 
 
 @query
 def panel_wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(panel.to_wide(prices(spark, sf_dir), TICKERS), "date", **dict.fromkeys(TICKERS, 6))
+    return shown(panel.to_wide(prices(spark, sf_dir), TICKERS), "date", **dict.fromkeys(TICKERS, 9))
 
 
 @query
 def panel_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(panel.to_long(panel.to_wide(prices(spark, sf_dir), TICKERS)), "date", "ticker", price=6)
+    return shown(panel.to_long(panel.to_wide(prices(spark, sf_dir), TICKERS)), "date", "ticker", price=9)
 
 
 @query
 def panel_complete_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(panel.complete_dates(prices(spark, sf_dir)), "date", "ticker", price=6)
+    return shown(panel.complete_dates(prices(spark, sf_dir)), "date", "ticker", price=9)
 
 
 @query
 def panel_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(panel.clamp(prices(spark, sf_dir), "1990-01-01", "1997-12-31"), "date", "ticker", price=6)
+    return shown(panel.clamp(prices(spark, sf_dir), "1990-01-01", "1997-12-31"), "date", "ticker", price=9)
 
 
 @query
 def panel_ffill5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(panel.fill_prices(prices(spark, sf_dir)), "date", "ticker", price=6)
+    return shown(panel.fill_prices(prices(spark, sf_dir)), "date", "ticker", price=9)
 
 
 @query
 def ffill_bfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dense(spark, sf_dir).withColumn("price", series.fill_both_ways(F.col("price"), series.along())), "date", "ticker", price=6)
+    return shown(dense(spark, sf_dir).withColumn("price", series.fill_both_ways(F.col("price"), series.along())), "date", "ticker", price=9)
 
 
 @query
 def fill_budget0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dense(spark, sf_dir).withColumn("price", series.fill_budget(F.col("price"), series.along())), "date", "ticker", price=6)
+    return shown(dense(spark, sf_dir).withColumn("price", series.fill_budget(F.col("price"), series.along())), "date", "ticker", price=9)
 
 
 @query
@@ -178,13 +179,13 @@ def excess_returns_1d_5d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fx_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(fx.normalize(prices(spark, sf_dir), dims.assets(spark), rates(spark, sf_dir), "EUR"), "date", "ticker", price=6)
+    return shown(fx.normalize(prices(spark, sf_dir), dims.assets(spark), rates(spark, sf_dir), "EUR"), "date", "ticker", price=10)
 
 
 @query
 def fx_triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prices(spark, sf_dir).where("ticker = 'T5'").select("panel_id", "date", "price")
-    return shown(fx.triangulate(p, rates(spark, sf_dir).where(F.dayofmonth("date") > 5), "CHF"), "date", price=6)
+    return shown(fx.triangulate(p, rates(spark, sf_dir).where(F.dayofmonth("date") > 5), "CHF"), "date", price=9)
 
 
 @query
@@ -456,7 +457,7 @@ def proxy_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def residualize_two_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = returns.excess_returns(panel.complete_dates(prices(spark, sf_dir)), rf(spark, sf_dir))
-    cov = covariance.sample_covariance(ex, RISK_WINDOW, value="exw").persist()
+    cov = covariance.sample_covariance(ex, RISK_WINDOW, value="exw")
     return shown(factors.residualize_two(ex.withColumnRenamed("ex1", "ret"), cov, "T3", "T1", "T2"), "date", ret=8)
 
 

@@ -139,8 +139,8 @@ lines AS (
   UNION ALL SELECT 6, 'YTD', NULL, ytd FROM figures UNION ALL SELECT 7, '3M', NULL, m3 FROM figures UNION ALL SELECT 8, '6M', NULL, m6 FROM figures UNION ALL SELECT 9, '1Y', NULL, y1 FROM figures
   UNION ALL SELECT 10, 'Annualized Return (CAGR)', NULL, cagr FROM figures UNION ALL SELECT 11, 'Annualized Historical Volatility', NULL, vol FROM figures
 )"""
-_PX = f"SELECT {D}, ticker, {x('price')} FROM "
-_WIDE = ", ".join(f"round(max(price) FILTER (ticker = 'T{k}'), 6) + 0.0::DOUBLE AS T{k}" for k in range(1, 8))
+_PX = f"SELECT {D}, ticker, {x('price', 9)} FROM "
+_WIDE = ", ".join(f"round(max(price) FILTER (ticker = 'T{k}'), 9) + 0.0::DOUBLE AS T{k}" for k in range(1, 8))
 _MASK = f"SELECT {D}, date IN (SELECT date FROM {{}}) AS is_rebal FROM days"
 _NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
@@ -173,13 +173,13 @@ UNION ALL SELECT 'weight without price', count(*) FROM wanted w WHERE NOT EXISTS
     "index_simple": of(f"SELECT {D}, ticker, {x('level', 6, f'CASE WHEN r IS NOT NULL THEN product(1 + r) {W} END')} FROM (SELECT date, ticker, price / lag(price) {W} - 1 AS r FROM grid)"),
     "excess_returns_1d_5d": of(f"SELECT {D}, ticker, {x('ex1', 8)}, {x('exw', 8)} FROM ex", _EX.format(source="grid")),
     "fx_normalize": of(
-        f"""SELECT CAST(p.date AS VARCHAR) AS date, p.ticker, {x('price', 6, "CASE a.currency WHEN 'EUR' THEN price WHEN 'CHF' THEN price * c.rate ELSE price / e.rate END")}
+        f"""SELECT CAST(p.date AS VARCHAR) AS date, p.ticker, {x('price', 10, "CASE a.currency WHEN 'EUR' THEN price WHEN 'CHF' THEN price * c.rate ELSE price / e.rate END")}
 FROM panel p JOIN assets a USING (ticker) JOIN rates c ON c.date = p.date AND c.pair = 'CHFEUR=X' JOIN rates e ON e.date = p.date AND e.pair = 'EURUSD=X'""",
         RATES,
         ASSETS,
     ),
     "fx_triangulate": of(
-        f"""SELECT {D}, {x('price', 6, 'price / coalesce(a, b)')} FROM (
+        f"""SELECT {D}, {x('price', 9, 'price / coalesce(a, b)')} FROM (
   SELECT p.date, price, last_value(rate IGNORE NULLS) OVER (ORDER BY p.date) AS a, first_value(rate IGNORE NULLS) OVER (ORDER BY p.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
   FROM panel p LEFT JOIN rates r ON r.date = p.date AND r.pair = 'CHFUSD=X' AND day(r.date) > 5 WHERE ticker = 'T5')""",
         RATES,
@@ -253,7 +253,7 @@ WHERE y.ticker = 'T3'""",
         _EX.format(source="complete"),
         pairs("ex", "exw"),
     ),
-    "beta_full_single": of(f"SELECT {x('beta', 6, 'regr_slope(y, x)')}, {x('alpha', 6, 'regr_intercept(y, x)')}, {x('rsq', 6, 'regr_r2(y, x)')} FROM fit", BACKTEST, _FIT),
+    "beta_full_single": of(f"SELECT {x('beta', 6, 'regr_slope(y, x)')}, {x('alpha', 6, 'regr_intercept(y, x)')}, {x('rsq', 6, 'regr_r2(y, x)')} FROM fit HAVING count(*) > 0", BACKTEST, _FIT),
     "beta_rolling_single": of(
         f"SELECT {D}, {x('beta', 6, 'CASE WHEN count(*) OVER w = 120 THEN covar_samp(y, x) OVER w / var_samp(x) OVER w END')} FROM fit WINDOW w AS (ORDER BY date ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)", BACKTEST, _FIT
     ),

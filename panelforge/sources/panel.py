@@ -5,7 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.series import along, forward_fill
@@ -89,10 +89,10 @@ def densify(panel: DataFrame, value: str = "price") -> DataFrame:
 
 
 def complete_dates(panel: DataFrame, value: str = "price") -> DataFrame:
-    """The rows of dates on which every ticker of the panel has a value."""
-    tickers = panel.groupBy("panel_id").agg(F.count_distinct("ticker").alias("_all"))
-    full = panel.where(F.col(value).isNotNull()).groupBy("panel_id", "date").agg(F.count_distinct("ticker").alias("_n")).join(tickers, "panel_id").where("_n = _all")
-    return panel.join(full.select("panel_id", "date"), ["panel_id", "date"], "left_semi")
+    """The rows of dates on which every ticker of the panel has a value; a panel has one row at most for a date and ticker."""
+    tickers = panel.groupBy("panel_id").agg(F.size(F.collect_set("ticker")).alias("_all"))  # a panel's tickers, not its rows
+    counted = panel.withColumn("_n", F.count(value).over(Window.partitionBy("panel_id", "date")))
+    return counted.join(tickers, "panel_id").where("_n = _all").select(*panel.columns)
 
 
 def fill_prices(panel: DataFrame, limit: int = 5) -> DataFrame:
