@@ -24,8 +24,8 @@ from panelforge.llm.common import materialize
 from panelforge.llm.shingles import BASE, BYTE_CODE, U, mixed, powers
 
 MIN_BYTES, ANCHOR_BYTES = 200, 40
-#: A list up to this long is broadcast (48 MB at most); a longer one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A list up to this large is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: An anchor with more different contexts than this has its strings compared one by one instead of in a shard.
 SHARD_CONTEXTS = 1000
 SHARD_BYTES = 1 << 18
@@ -187,12 +187,17 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(data).alias("t1"), F.xxhash64(F.lit("2"), data).alias("t2"), data.alias("data"))
 
 
+def _few(rows: DataFrame, columns: int) -> bool:
+    most = BROADCAST_BYTES // (8 * columns)
+    return rows.limit(most + 1).count() <= most
+
+
 def _arrays(rows: DataFrame, names: list[str]) -> list[np.ndarray] | None:
     """The columns (long) of rows sorted by the first two, if there are few enough to broadcast."""
-    if rows.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if not _few(rows, len(names)):
         return None
-    table = rows.select(*names).toPandas()
-    columns = [table[x].to_numpy(np.int64) for x in names]
+    table = rows.select(*names).toArrow()
+    columns = [table.column(x).to_numpy() for x in names]
     order = np.lexsort([columns[2], columns[1], columns[0]])
     return [c[order] for c in columns]
 
@@ -249,8 +254,8 @@ def shared_runs(keyed: DataFrame, width: int, anchor: int) -> DataFrame:
     place = F.xxhash64("t1", "t2", "start")
     shared = made(None).select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("anchor")
     shared = materialize(shared, "anchors")
-    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = spark.sparkContext.broadcast(np.sort(shared.toPandas()["anchor"].to_numpy(np.int64)))
+    if _few(shared, 1):
+        known = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("anchor").to_numpy()))
         return made(known)
     return made(None).join(shared, "anchor", "left_semi")
 
