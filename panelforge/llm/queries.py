@@ -75,11 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 SQL: dict[str, str] = {
     "op2_url_filter": r"""
 WITH parts AS (
-  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS at FROM pages
+  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS place FROM pages
 ), cut AS (
   SELECT page_id,
-         CASE WHEN at > 0 THEN translate(regexp_extract(substr(u, at + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-         CASE WHEN at > 0 THEN regexp_extract(substr(u, at + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+         CASE WHEN place > 0 THEN translate(regexp_extract(substr(u, place + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN place > 0 THEN regexp_extract(substr(u, place + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM parts
 ), judged AS (
   SELECT page_id, host, path,
@@ -91,5 +91,69 @@ WITH parts AS (
   FROM cut
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
+""",
+    "op3_jaccard_join": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM split WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = d.doc_id
+""",
+    "op4_chat_format": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length(role) + length(t) + len(regexp_extract_all(t, '<\|+(?:im_start|im_end)\|+>'))) AS BIGINT) AS formatted_chars, false AS rewrites
+FROM said GROUP BY conv_id
+""",
+    "op6_secret_scan": " ".join(
+        [
+            "WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), cut AS (",
+            " UNION ALL ".join(
+                f"SELECT doc_id, '{r.kind}' AS kind, {k} AS rank, {r.least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {r.group}) AS g, string_split_regex(t, '{p}') AS s FROM texts"
+                for k, r in enumerate(secret_scan.RULES)
+                for p in [r.pattern.replace("'", "''")]
+            ),
+            r"""), found AS (
+  SELECT doc_id, kind, rank, CAST(list_sum(list_transform(list_slice(s, 1, i), lambda x: length(x))) + list_sum(list_transform(list_slice(m, 1, i), lambda x: length(x))) AS BIGINT) AS stop, length(m[i]) AS size
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM cut WHERE len(m) > 0) WHERE length(g[i]) >= least
+), spans AS (SELECT doc_id, kind, rank, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM found)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (span IS NOT NULL), '') AS spans
+FROM documents d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id""",
+        ]
+    ),
+    "op9_quality_rules": r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS times
+  FROM (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM base WHERE len(w) > 7))
+), covered AS (
+  SELECT doc_id, CAST(sum(least(8, coalesce(gap, 8))) AS BIGINT) AS n FROM (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM windows WHERE times > 1) GROUP BY doc_id
+), counts AS (
+  SELECT b.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM base b LEFT JOIN covered c ON c.doc_id = b.doc_id
+), judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged GROUP BY source),
+totals AS (SELECT count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS mean, sum(f * f / n) AS squares, sum(n * n) AS sizes FROM hosts),
+fits AS (SELECT mean, mean * (1 - mean) AS within, (squares - n * mean * mean - (k - 1) * mean * (1 - mean)) / (n - sizes / n - (k - 1)) AS between, n - sizes / n - (k - 1) > 0 AS room FROM totals),
+prior AS (SELECT mean, CASE WHEN room AND between > 0 THEN least(greatest(within / between - 1, 1), 1e6) WHEN within > 0 THEN 1e6 ELSE 1 END AS strength FROM fits)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (SELECT (h.f + mean * strength) / (h.n + strength) <= 0.5 FROM prior) AS kept
+FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source
 """,
 }
