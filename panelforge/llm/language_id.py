@@ -45,8 +45,9 @@ def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars
     if not ids:
         return []
     picked = docs.join(F.broadcast(chosen.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")), "doc_id", "left_semi")
-    rows = picked.where(F.col("lang").isin(names) & F.length("text").between(1, chars)).select("lang", "text", "doc_id").collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))]
+    picked = picked.where(F.col("lang").isin(names) & F.length("text").between(1, chars))
+    rows = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*", "doc_id").collect()  # of repeated ids one row
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"])))]
 
 
 def grams(data: np.ndarray, width: int) -> np.ndarray:
