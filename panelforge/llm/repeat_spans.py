@@ -209,9 +209,9 @@ def _own(arrays: list[np.ndarray], t1: int, t2: int) -> slice:
     return slice(a + c, a + d)
 
 
-def with_places(keyed: DataFrame, places: DataFrame, names: list[str], make, schema: str) -> DataFrame:  # noqa: ANN001
-    """make(ids, t1, t2, data, places of the text as arrays) for every row of keyed; places (t1, t2, *names) by broadcast if few, else by a join."""
-    arrays = _arrays(places, ["t1", "t2", *names])
+def with_places(keyed: DataFrame, places: DataFrame, names: list[str], make, schema: str, may_broadcast: bool) -> DataFrame:  # noqa: ANN001
+    """make(ids, t1, t2, data, places of the text as arrays) for every row of keyed; places (t1, t2, *names) by a join, or by broadcast if that may be and they are few."""
+    arrays = _arrays(places, ["t1", "t2", *names]) if may_broadcast else None
     if arrays is not None:
         shared = keyed.sparkSession.sparkContext.broadcast(arrays)
 
@@ -292,7 +292,7 @@ def _spans(keyed: DataFrame, width: int, anchor: int) -> DataFrame:
         kinds = [pa.int64()] * 4 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    pieces = with_places(keyed, mixed_up, columns, cut, "anchor long, context long, strings long, _n long, data binary")
+    pieces = with_places(keyed, mixed_up, columns, cut, "anchor long, context long, strings long, _n long, data binary", may_broadcast=False)
     pieces = materialize(pieces.dropDuplicates(["anchor", "context", "strings"]), "pieces")
     few = pieces.where(F.col("_n") <= SHARD_CONTEXTS)
     shards = -(-(few.agg(F.sum(F.length("data"))).first()[0] or 0) // SHARD_BYTES) or 1
@@ -353,4 +353,4 @@ def strip_repeats(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTE
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_places(keyed, places, ["low", "high"], cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_places(keyed, places, ["low", "high"], cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", may_broadcast=True)
