@@ -32,6 +32,8 @@ SKETCH_BITS = 256
 BROADCAST_ROWS = 2_000_000
 #: Rounds in which a word's members are paired with one of them before all that is left is compared.
 STAR_ROUNDS = 3
+#: Over how many tasks the rows of one component are dealt when they look it up.
+SALTS = 32
 BATCH_BYTES = 1 << 20
 
 
@@ -158,6 +160,12 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return out.where((100 + rule.percent) * both >= rule.percent * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
+def salted_lookup(rows: DataFrame, key: str, facts: DataFrame, spread: str) -> DataFrame:
+    """rows left-joined with facts (one row for each key) by key; a key that many rows have is dealt to SALTS tasks by the column spread."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(facts.select("*", salts), [key, "_salt"], "left").drop("_salt")
+
+
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (cid, label) with the components that edges (a, b) join under their smallest label, by rounds of smallest neighbours and jumps."""
     at = lambda name: labels.select(F.col("cid").alias(name), F.col("label").alias(f"_{name}"))
@@ -173,8 +181,8 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
         roots = new.select("_a", "root")
         if not new.where("root <> _old").limit(1).count():
             break
-    roots = roots.select(F.col("_a").alias("label"), "root")
-    return labels.join(roots, "label", "left").select("cid", F.coalesce("root", "label").alias("label"))
+    found = salted_lookup(labels, "label", roots.select(F.col("_a").alias("label"), "root"), "cid")
+    return found.select("cid", F.coalesce("root", "label").alias("label"))
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -182,7 +190,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     count = wanted.count()
     known = None
     if count <= BROADCAST_ROWS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["c1"] for r in wanted.select("c1").collect()], np.int64)))
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.select("c1").toArrow().column("c1").to_numpy()))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +260,8 @@ def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> Data
 
     grown = labels.join(classes.select("cid", "doc"), "cid")
     lowest = grown.groupBy("label").agg(F.min("doc").alias("component"))
-    found = classes.select("cid", "c1", "c2", "doc").join(labels, "cid", "left").join(lowest, "label", "left")
+    linked = salted_lookup(labels, "label", lowest, "cid")
+    found = classes.select("cid", "c1", "c2", "doc").join(linked, "cid", "left")
     found = found.select("c1", "c2", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"))
     own = signatures(docs, rule, listing=False)
     none = F.col("n") == 0
