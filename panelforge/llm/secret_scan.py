@@ -113,17 +113,17 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger:
 
     Null texts stay null.
     """
-    names = docs.columns
-    docs = docs.withColumn("_blob", blob_id(F.col(text)))
-    found, _ = scan_versions(docs.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")), ledger)
-    docs = docs.join(found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_found")), "_blob", "left")
+    rows = docs.select(blob_id(F.col(text)).alias("blob"), F.col(text).alias("_text"), F.struct("*").alias("row"))  # so that no names clash
+    found, _ = scan_versions(rows.select("blob", F.coalesce("_text", F.lit("")).alias("text")), ledger)
+    rows = rows.join(found.select("blob", "findings"), "blob", "left")
     cut = F.aggregate(
-        "_found",
+        "findings",
         F.struct(F.lit(0).cast("long").alias("upto"), F.lit("").alias("out")),
         lambda a, f: F.struct(
             F.greatest(a["upto"], f["end"]).alias("upto"),
-            F.when(f["start"] >= a["upto"], F.concat(a["out"], F.substring(F.col(text), (a["upto"] + 1).cast("int"), (f["start"] - a["upto"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
+            F.when(f["start"] >= a["upto"], F.concat(a["out"], F.substring(F.col("_text"), (a["upto"] + 1).cast("int"), (f["start"] - a["upto"]).cast("int")), F.lit(mark))).otherwise(a["out"]).alias("out"),
         ),
-        lambda a: F.concat(a["out"], F.substring(F.col(text), (a["upto"] + 1).cast("int"), F.lit(2**31 - 1))),
+        lambda a: F.concat(a["out"], F.substring(F.col("_text"), (a["upto"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    return docs.withColumn(text, F.when(F.col("_found").isNull(), F.col(text)).otherwise(cut)).select(*names)
+    clean = F.when(F.col("findings").isNull(), F.col("_text")).otherwise(cut)
+    return rows.select(*(clean.alias(x) if x == text else F.col("row").getField(x).alias(x) for x in docs.columns))

@@ -83,6 +83,12 @@ def test_ledger_scans_only_what_is_new(spark, odd, none):
     assert secret_scan.new_blobs(versions, ledger, rule_version=2).count() == after.count()
 
 
+def test_redaction_with_columns_of_any_name(spark):
+    df = spark.createDataFrame([("b", 1, "f", "token = abcdefgh, said", 2, "r"), ("b", 1, None, None, 2, None)], "blob string, _blob int, findings string, text string, _text int, row string")
+    assert secret_scan.redact(df).columns == df.columns
+    assert [tuple(r) for r in secret_scan.redact(df).orderBy("text").collect()] == [("b", 1, None, None, 2, None), ("b", 1, "f", "[secret], said", 2, "r")]
+
+
 def test_redaction(odd):
     out = secret_scan.redact(odd)
     assert out.columns == odd.columns
