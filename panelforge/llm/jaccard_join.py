@@ -11,7 +11,7 @@ false candidates, and the sets themselves decide on the rest.
 
 Equal sets are one class from the start. Classes that share a word are not paired off: in every word's group all members
 are first paired with one of them, linked classes are merged, and only members of groups that are still of different
-components go on; what is left in the end is compared in full, so no link between components is lost.
+components go on; what is left in the end is compared in full, by blocks, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SKETCH_BITS = 256
 BROADCAST_ROWS = 2_000_000
 #: Rounds in which a word's members are paired with one of them before all that is left is compared.
 STAR_ROUNDS = 3
+#: Members of a word that are left in the end are compared by blocks of about this many with all of the word.
+BLOCK_ROWS = 1000
 #: Over how many tasks the rows of one component are dealt when they look it up.
 SALTS = 32
 BATCH_BYTES = 1 << 20
@@ -235,7 +237,7 @@ def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> Data
     tried = None
     for turn in range(STAR_ROUNDS + 1):
         groups = members.join(labels, "cid")
-        open_words = groups.groupBy("word").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "label")).alias("_hub"))
+        open_words = groups.groupBy("word").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "label")).alias("_hub"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
         open_words = open_words.where("_low < _high")
         if turn < STAR_ROUNDS:
             pairs = groups.join(open_words, "word").where("label <> _hub.label").select(F.least("cid", "_hub.cid").alias("a"), F.greatest("cid", "_hub.cid").alias("b"))
@@ -243,10 +245,11 @@ def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> Data
             f = lambda x: facts.select(F.col("cid").alias(x), F.struct("n", "sketch").alias(f"_{x}"))
             pairs = pairs.join(f("a"), "a").join(f("b"), "b").where(near_bound("_a", "_b", rule)).select("a", "b")
         else:
-            left = groups.join(open_words.select("word"), "word").join(facts.select("cid", "n", "sketch"), "cid")
-            sides = [left.select("word", F.col("cid").alias(x), F.col("label").alias(f"{x}_label"), F.struct("n", "sketch").alias(f"_{x}")) for x in ("a", "b")]
+            left = groups.join(open_words.select("word", "_blocks"), "word").join(facts.select("cid", "n", "sketch"), "cid")
+            block = {"a": F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))}
+            sides = [left.select("word", F.col("cid").alias(x), F.col("label").alias(f"{x}_label"), F.struct("n", "sketch").alias(f"_{x}"), block[x].alias("_block")) for x in ("a", "b")]
             apart = (F.col("a_label") != F.col("b_label")) & (F.col("a") < F.col("b"))
-            pairs = sides[0].join(sides[1], "word").where(apart & near_bound("_a", "_b", rule)).select("a", "b").distinct()
+            pairs = sides[0].join(sides[1], ["word", "_block"]).where(apart & near_bound("_a", "_b", rule)).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -277,7 +280,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text
     """
     found = components(docs, rule, text)
     kept = found.where("doc_id = component_id").select("doc_id", (F.col("n_shingles") > 0).alias("_once")).distinct()
-    joined = docs.join(kept, "doc_id")
+    rows = docs.select("doc_id", F.struct("*").alias("row"))  # so that no column of docs clashes with one of ours
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    once = joined.withColumn("_row", first).where(~F.col("_once") | (F.col("_row") == 1))
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    once = rows.join(kept, "doc_id").withColumn("_row", first).where(~F.col("_once") | (F.col("_row") == 1))
+    return once.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

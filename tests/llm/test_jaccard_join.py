@@ -100,3 +100,38 @@ def test_listed_words_meet(spark):
         b = np.unique(np.concatenate([both, np.array([rng.getrandbits(64) for _ in range(d - k)], np.uint64)]))
         if 100 * n >= 80 * (n + d) and d:
             assert set(jaccard_join.listed_words(a, rule)) & set(jaccard_join.listed_words(b, rule))
+
+
+def test_blocks_alone_find_every_link(spark, documents, monkeypatch):
+    for name, value in (("STAR_ROUNDS", 0), ("BLOCK_ROWS", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    docs = [(i, d["text"]) for i, d in documents.items()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
+def passage_documents(rng, n=240):
+    """Documents that all hold one passage and differ in the rest, with a near copy of every tenth."""
+    passage = [f"p{k}" for k in range(45)]
+    docs = []
+    for i in range(n):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(25)]
+        docs.append((i, " ".join(passage + own)))
+        if i % 10 == 0:
+            docs.append((1000 + i, " ".join(passage + own + ["end"])))
+    return docs
+
+
+def test_common_passages_link_nothing(spark):
+    docs = passage_documents(random.Random(8))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(df).collect()}
+    assert got == brute(docs) and sum(i != c for i, (_, c) in got.items()) == 24
+
+
+def test_columns_of_any_name(spark):
+    names = "doc_id long, text string, row int, _once int, _row int, component_id string, n_shingles string"
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6, 7, "x", "y"), (2, "a b c d e f", 8, 9, 10, "x", "y"), (None, None, 11, 12, 13, None, None)], names)
+    kept = jaccard_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(kept.collect(), key=str) == sorted([r for r in df.collect() if r["doc_id"] != 2], key=str)
