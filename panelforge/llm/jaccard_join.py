@@ -12,6 +12,11 @@ false candidates, and the sets themselves decide on the rest.
 Equal sets are one class from the start. Classes that share a word are not paired off: in every word's group all members
 are first paired with one of them, linked classes are merged, and only members of groups that are still of different
 components go on; what is left in the end is compared in full, by blocks, so no link between components is lost.
+
+That gives the components, and skips links within what hangs together already. All links lie within components, so a second
+pass finds every one of them: each component's classes are dealt to blocks, every two blocks are compared in one tile by
+sizes and sketches, and the sets decide. links() lists the pairs, linked() counts them by row; components() is the first
+pass alone.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ STAR_ROUNDS = 3
 BLOCK_ROWS = 1000
 #: Over how many tasks the rows of one component are dealt when they look it up.
 SALTS = 32
+#: Classes, and shingles of all their sets, in a block of a component whose links are sought.
+TILE_ROWS, TILE_CODES = 1000, 1_000_000
 BATCH_BYTES = 1 << 20
 
 
@@ -212,17 +219,10 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("c1", "c2").agg(F.first("codes").alias("codes")).join(wanted, ["c1", "c2"]).select("cid", "codes")
 
 
-def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, class_id.
-
-    component_id is the smallest doc_id that links lead to, itself included; class_id is the smallest with the very same
-    set. A null, empty or blank text has no shingles and is linked with nothing, so both are its own doc_id. Rows with a null
-    doc_id take part in links; their ids are null if no row with an id is reached. Repeated rows keep a row each, an empty
-    table gives an empty result, and other columns aren't read.
-    """
-    docs = docs.select("doc_id", F.col(text).alias("_text"))
+def _connected(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, _text): classes (cid, c1, c2, doc, weight, n, sketch), and of those that list a word with another labels (cid, label) and sets (cid, codes)."""
     full = signatures(docs, rule, listing=True).where("n > 0")
-    keep = [F.min("doc_id").alias("doc"), *(F.first(x).alias(x) for x in ("n", "sketch", "words"))]
+    keep = [F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight"), *(F.first(x).alias(x) for x in ("n", "sketch", "words"))]
     classes = materialize(full.groupBy("c1", "c2").agg(*keep).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     words = classes.select("cid", F.explode("words").alias("word"))
@@ -260,17 +260,130 @@ def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> Data
         tried = pairs if tried is None else tried.unionByName(pairs)
         edges = materialize(linked_pairs(pairs, sets, rule), "edges")
         labels = materialize(merged(labels, edges), "labels")
+    return classes, labels, sets
+
 
-    grown = labels.join(classes.select("cid", "doc"), "cid")
-    lowest = grown.groupBy("label").agg(F.min("doc").alias("component"))
-    linked = salted_lookup(labels, "label", lowest, "cid")
-    found = classes.select("cid", "c1", "c2", "doc").join(linked, "cid", "left")
-    found = found.select("c1", "c2", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"))
+def _placed(docs: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, more: DataFrame | None = None) -> DataFrame:
+    """components() by what _connected() gives; more (cid, others) adds n_links, the links to rows of other classes and of the row's own."""
+    lowest = labels.join(classes.select("cid", "doc"), "cid").groupBy("label").agg(F.min("doc").alias("component"))
+    found = classes.select("cid", "c1", "c2", "doc", "weight").join(salted_lookup(labels, "label", lowest, "cid"), "cid", "left")
+    count = F.lit(0).cast("long")
+    if more is not None:
+        found, count = found.join(more, "cid", "left"), F.coalesce("others", F.lit(0)) + F.col("weight") - 1
+    found = found.select("c1", "c2", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"), count.alias("n_links"))
     own = signatures(docs, rule, listing=False)
     none = F.col("n") == 0
     out = own.join(found, ["c1", "c2"], "left")
     pick = lambda x: F.when(none, F.col("doc_id")).otherwise(F.col(x)).alias(x)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), pick("component_id"), pick("class_id"))
+    last = [] if more is None else [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), pick("component_id"), pick("class_id"), *last)
+
+
+def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
+    """Components only: one row per row of docs: doc_id, n_shingles, component_id, class_id. Links within what is connected already aren't looked for.
+
+    component_id is the smallest doc_id that links lead to, itself included; class_id is the smallest with the very same
+    set. A null, empty or blank text has no shingles and is linked with nothing, so both are its own doc_id. Rows with a null
+    doc_id take part in links; their ids are null if no row with an id is reached. Repeated rows keep a row each, an empty
+    table gives an empty result, and other columns aren't read.
+    """
+    docs = docs.select("doc_id", F.col(text).alias("_text"))
+    classes, labels, _ = _connected(docs, rule)
+    return _placed(docs, classes, labels, rule)
+
+
+def linked(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
+    """components() and n_links, the number of other rows whose sets are linked with the row's, rows with the very same set included."""
+    docs = docs.select("doc_id", F.col(text).alias("_text"))
+    classes, labels, sets = _connected(docs, rule)
+    counts = materialize(tile_links(classes, labels, sets, rule, pairs=False), "links")
+    return _placed(docs, classes, labels, rule, counts.groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "cid"))
+
+
+def links(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
+    """Every link between different sets, once: a and b, structs (class_id, rows, c1, c2) of the classes that it links.
+
+    class_id is the class's smallest doc_id as in components(), null if no row has one; rows counts its rows, c1 and c2 are
+    the codes of its set. Rows of one class are linked with each other, which isn't listed.
+    """
+    docs = docs.select("doc_id", F.col(text).alias("_text"))
+    classes, labels, sets = _connected(docs, rule)
+    pairs = materialize(tile_links(classes, labels, sets, rule, pairs=True), "links")
+    side = lambda x: classes.select(F.col("cid").alias(x), F.struct(F.col("doc").alias("class_id"), F.col("weight").alias("rows"), "c1", "c2").alias(f"_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+
+def tile_links(classes: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule, pairs: bool) -> DataFrame:
+    """The links within components: with pairs (a, b: class ids, each link once), else by tile (a: class id, b: rows that a is linked with)."""
+    known = labels.join(classes.select("cid", "n", "weight", "sketch"), "cid")
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_codes")).where("_k > 1")
+    sizes = sizes.select("label", F.ceil(F.greatest(F.col("_k") / TILE_ROWS, F.col("_codes") / TILE_CODES)).cast("int").alias("_blocks"))
+    dealt = salted_lookup(known, "label", sizes, "cid").where("_blocks is not null").join(sets, "cid")
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("label", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), "_block", "cid", "n", "weight", "sketch", "codes")
+    tiles = dealt.repartition("label", "_low", "_high").sortWithinPartitions("label", "_low", "_high")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[pa.RecordBatch] = []
+        last, out, size = None, [], 0
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                key = tuple(keys[:, start])
+                if part and key != last:
+                    for a, b in _tile(part, rule, pairs):
+                        out.append((a, b))
+                        size += len(a)
+                        if size >= 1 << 16:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+                            out, size = [], 0
+                    part = []
+                last = key
+                part.append(batch.slice(start, end - start))
+        if part:
+            out += _tile(part, rule, pairs)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return tiles.mapInArrow(found, "a long, b long")
+
+
+def _tile(part: list[pa.RecordBatch], rule: Rule, pairs: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links between two blocks of a component, or within one, given by the rows of tile_links()."""
+    flat = lambda k: np.concatenate([b.column(k).flatten().to_numpy() for b in part])
+    column = lambda k: np.concatenate([b.column(k).to_numpy() for b in part])
+    low, high, block, cid, n, weight = (column(k) for k in range(1, 7))
+    sketch, codes = flat(7).view(np.uint64).reshape(len(cid), -1), np.unique(flat(8), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    starts = ends - n
+    rows, others = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    inside = low[0] == high[0]
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    total = np.zeros(len(cid), np.int64)
+    for at, i in enumerate(rows):
+        js = others[at + 1 :] if inside else others
+        m = n[js]
+        apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        close = (100 * np.minimum(m, n[i]) >= rule.percent * np.maximum(m, n[i])) & ((100 + rule.percent) * apart <= (100 - rule.percent) * (m + n[i]))
+        js, m = js[close], m[close]
+        if not len(js):
+            continue
+        mine = codes[starts[i] : ends[i]]
+        mark[mine] = True
+        hits = mark[np.concatenate([codes[starts[j] : ends[j]] for j in js])]
+        mark[mine] = False
+        both = np.add.reduceat(hits, np.cumsum(m) - m, dtype=np.int64)
+        js = js[(100 + rule.percent) * both >= rule.percent * (m + n[i])]
+        if pairs:
+            yield np.minimum(cid[i], cid[js]), np.maximum(cid[i], cid[js])
+        else:
+            total[i] += weight[js].sum()
+            total[js] += weight[i]
+    if not pairs:
+        yield cid[total > 0], total[total > 0]
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:

@@ -135,3 +135,30 @@ def test_columns_of_any_name(spark):
     kept = jaccard_join.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(kept.collect(), key=str) == sorted([r for r in df.collect() if r["doc_id"] != 2], key=str)
+
+
+@pytest.mark.parametrize("tile", [1000, 4])
+def test_every_link_is_listed(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile)
+    rng = random.Random(11)
+    docs = []
+    for c in range(6):
+        base = [f"{c}w{k}" for k in range(120)]
+        for _ in range(12):
+            w = list(base)
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    docs += [(100, docs[0][1]), (None, docs[1][1]), (101, docs[2][1].upper()), (102, None), (103, "alone in the table it is")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = [frozenset(shingles(t)) for _, t in docs]
+    close = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    near = [(x, y) for x in range(len(sets)) for y in range(x) if close(sets[x], sets[y])]
+    lowest = {}
+    for (i, _), s in zip(docs, sets, strict=True):
+        lowest[s] = min(lowest.get(s, 10**9), 10**9 if i is None else i)
+    want = {tuple(sorted((lowest[sets[x]], lowest[sets[y]]))) for x, y in near if sets[x] != sets[y]}
+    got = [tuple(sorted((r["a"]["class_id"], r["b"]["class_id"]))) for r in jaccard_join.links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    degrees = sorted((str(docs[k][0]), sum(k in p for p in near)) for k in range(len(docs)))
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in jaccard_join.linked(df).collect()) == degrees
+    assert jaccard_join.links(df.where("false")).count() == jaccard_join.linked(df.where("false")).count() == 0
