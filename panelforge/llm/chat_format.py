@@ -55,20 +55,25 @@ class Spans:
     """Adds turns one by one and locates each one's span in the rendered conversation.
 
     memory bounds what is rendered again: None renders all prefixes from the first turn on; a number says that the template
-    looks back at most so many turns, so a prefix is rendered from there on (long conversations then take linear time).
+    looks back at most so many turns, so a prefix is rendered from there on (long conversations then take linear time), and
+    holds() compares what was added with one rendering of the whole at the end.
     """
 
     def __init__(self, render: Callable[[Sequence[Turn]], str], memory: int | None = None):
         self.render, self.memory = render, memory
         self.turns: list[Turn] = []
+        self.said: list[Turn] = []
         self.before, self.rewrites, self.at = render([]), False, 0
         self.at = len(self.before)
+        self.sha = sha256(self.before.encode("utf-8", "surrogatepass"))
 
     def add(self, role: str, text: str) -> tuple[int, str, int, int]:
         """The new turn's start in the conversation, what it adds to it, and where in that its text begins and ends."""
         if self.memory is not None and len(self.turns) > self.memory:
             self.turns = self.turns[len(self.turns) - self.memory :]
             self.before = self.render(self.turns)
+        if self.memory is not None:
+            self.said.append((role, text))
         probe = self.render([*self.turns, (role, PROBE)])
         self.turns.append((role, text))
         now = self.render(self.turns)
@@ -77,10 +82,16 @@ class Spans:
         self.rewrites |= same < len(self.before)
         start, piece = self.at - (len(self.before) - same), now[same:]
         self.at, self.before = start + len(piece), now
+        if self.memory is not None:
+            self.sha.update(piece.encode("utf-8", "surrogatepass"))
         head = max(probe.find(PROBE, same) - same, 0)
         tail = len(probe) - same - head - len(PROBE)
         return start, piece, min(head, len(piece)), max(len(piece) - tail, head)
 
+    def holds(self) -> bool:
+        """Whether the pieces together are the rendered conversation."""
+        return not self.rewrites and (self.memory is None or self.sha.digest() == sha256(self.render(self.said).encode("utf-8", "surrogatepass")).digest())
+
 
 def chat_role(head: str) -> str:
     """The role, read from what the production template puts before a text."""
@@ -88,7 +99,7 @@ def chat_role(head: str) -> str:
 
 
 def format_conversations(
-    rows: DataFrame, render: Callable[[Sequence[Turn]], str] = render_chat, read_role: Callable[[str], str] = chat_role, memory: int | None = 16, keep_text: bool = True, loss_role: str = "assistant"
+    rows: DataFrame, render: Callable[[Sequence[Turn]], str] = render_chat, read_role: Callable[[str], str] = chat_role, memory: int | None = None, keep_text: bool = True, loss_role: str = "assistant"
 ) -> DataFrame:
     """One row per conversation of rows (conv_id, turn, role, text): conv_id, n_turns, formatted, spans, loss_spans, rewrites,
     and digests read back from the output: turns_sha256, loss_chars, loss_sha256, formatted_chars.
@@ -96,7 +107,8 @@ def format_conversations(
     Turns go by turn, then role, then text; null texts and roles are empty ones; repeated rows are turns of their own; a
     null conv_id is one conversation. spans are (role, start, end) in code points; loss_spans are the parts of formatted that
     are assistant texts. Conversations are streamed turn by turn from sorted partitions, so none is ever gathered as a
-    group; with keep_text off neither is its output. An empty table gives an empty result.
+    group; with keep_text off neither is its output. An empty table gives an empty result. All prefixes are rendered unless
+    memory declares how many turns the template looks back at.
     """
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -160,14 +172,15 @@ class _Conversation:
             self.places.append({"role": said, "start": start, "end": start + len(piece)})
 
     def row(self) -> dict:
-        whole = self.keep and not self.spans.rewrites
+        rewrites = not self.spans.holds()
+        whole = self.keep and not rewrites
         return {
             "conv_id": self.conv,
             "n_turns": self.n,
             "formatted": "".join(self.out) if whole else None,
             "spans": self.places if whole else None,
             "loss_spans": self.loss if whole else None,
-            "rewrites": self.spans.rewrites,
+            "rewrites": rewrites,
             "turns_sha256": self.turns_sha.hexdigest(),
             "loss_chars": self.loss_chars,
             "loss_sha256": self.loss_sha.hexdigest(),

@@ -236,6 +236,24 @@ def test_chat_spans_and_history(spark):
     assert chat_format.format_conversations(df.where("false")).count() == 0
 
 
+def test_chat_history_cut_late(spark):
+    df = spark.createDataFrame([(1, k, "user", f"said {k}") for k in range(40)] + [(2, k, "user", f"said {k}") for k in range(20)], "conv_id long, turn long, role string, text string")
+
+    def last_twenty(turns):
+        return "".join(f"{a}: {b}\n" for a, b in turns[-20:])
+
+    def numbered(turns):
+        return "".join(f"{k} {a}: {b}\n" for k, (a, b) in enumerate(turns))
+
+    cut = {r["conv_id"]: r for r in chat_format.format_conversations(df, last_twenty).collect()}
+    assert cut[1]["rewrites"] and cut[1]["formatted"] is None and not cut[2]["rewrites"]
+    whole = {r["conv_id"]: r for r in chat_format.format_conversations(df, numbered).collect()}
+    assert whole[1]["formatted"] == numbered([("user", f"said {k}") for k in range(40)]) and not whole[1]["rewrites"]
+    for render in (last_twenty, numbered):  # declared wrongly
+        short = {r["conv_id"]: r for r in chat_format.format_conversations(df, render, memory=16).collect()}
+        assert short[1]["rewrites"] and short[1]["formatted"] is None
+
+
 def test_licenses(spark, documents, odd, none):
     found = asked(spark, "op5_license_scan")
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
