@@ -33,9 +33,9 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
     """At most docs_per_language (lang, text) for each of the max_languages languages with most rows, in the order of a hash of the id.
 
-    Only rows with a language and a text of 1 to chars characters that isn't held out; the bounds hold at every input size.
+    Only rows with a language and a text that isn't empty or held out; of longer texts the first chars characters. The bounds hold at every input size.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.length("text").between(1, chars) & ~held_out(F.col("doc_id")))
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
     labelled = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("_key"))
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
     names = [r["lang"] for r in common.collect()]
@@ -45,7 +45,7 @@ def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars
     if not ids:
         return []
     picked = docs.join(F.broadcast(chosen.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")), "doc_id", "left_semi")
-    picked = picked.where(F.col("lang").isin(names) & F.length("text").between(1, chars))
+    picked = picked.where(F.col("lang").isin(names) & (F.length("text") > 0)).withColumn("text", F.substring("text", 1, chars))
     rows = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*", "doc_id").collect()  # of repeated ids one row
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"])))]
 
@@ -213,8 +213,12 @@ def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", ca
 
 
 def keep_identified(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> DataFrame:
-    """docs without the rows whose language is und: those that have no text, or no letter in it."""
+    """docs without the rows that have no text, or no letter in it, whose language is und; where nothing could be learned all others stay, too."""
     names = docs.columns
+    if trees is None:
+        trees = Trees(training_sample(docs.select("doc_id", "lang", F.col(text).alias("text"))))
+    if not trees.languages:
+        return docs.where(F.col(text).rlike("\\p{L}"))
     plain = docs.toDF(*(f"_{x}" for x in names)).withColumns({"doc_id": F.col("_doc_id"), "lang": F.col("_lang"), "text": F.col(f"_{text}")})
     found = identify(plain, trees, carry=tuple(f"_{x}" for x in names))
     return found.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"_{x}").alias(x) for x in names))

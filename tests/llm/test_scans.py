@@ -297,6 +297,16 @@ def test_languages_held_out(spark, documents, odd, none):
     assert language_id.identify(none).count() == 0
 
 
+def test_languages_of_long_texts_and_of_none(spark):
+    rows = [(k, "the cat sat on the mat " * 500, "en") for k in range(9)] + [(10 + k, "le chat est sur le tapis", "fr") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_sample(docs)
+    assert {x for x, _ in sample} == {"en", "fr"} and max(len(t) for _, t in sample) == language_id.SAMPLE_CHARS
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] < 10 else "fr") for r in language_id.identify(docs).collect())
+    bare = spark.createDataFrame([(1, "a word", None), (2, "123", None), (3, None, None), (None, "a word", None)], docs.schema)
+    assert sorted(str(r["doc_id"]) for r in language_id.keep_identified(bare).collect()) == ["1", "None"]
+
+
 def test_code_lengths_are_exact():
     sample = [("a", "abracadabra abra"), ("a", "cadab"), ("b", "xyzzy abc xyzé")]
     trees = language_id.Trees(sample, order=3)
