@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, Spark removes a query's shuffle files when the query has ended; what was written doesn't need them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, a temporary folder, in local mode only."""
@@ -20,8 +23,40 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read back: what builds on it has a short plan, and a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """The intermediate tables of one computation, in one folder of the shared folder; drop() deletes those that nothing needs any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, list[str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As written(); a name may be used again."""
+        path = f"{self.folder}/{name}-{sum(map(len, self.paths.values()))}"
+        self.paths.setdefault(name, []).append(path)
+        return _written(df, path)
+
+    def drop(self, *names: str, last: int = 0) -> None:
+        """Deletes the tables of these names, but for the last ones of each."""
+        for name in names:
+            paths = self.paths.get(name, [])
+            for path in paths[: len(paths) - last]:
+                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths[name] = paths[len(paths) - last :]
