@@ -45,10 +45,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, list[str]] = {}
+        self.made = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """As written(); a name may be used again."""
-        path = f"{self.folder}/{name}-{sum(map(len, self.paths.values()))}"
+        self.made += 1
+        path = f"{self.folder}/{name}-{self.made}"
         self.paths.setdefault(name, []).append(path)
         return _written(df, path)
 
