@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from panelforge.sources.shared import Scratch, shared_folder
+from panelforge.sources.shared import written as materialize
+
+__all__ = ["BLANK", "Scratch", "chars_outside", "materialize", "shared_folder", "word_chars", "words"]
+
 #: Characters between words.
 BLANK = "\\x20\\x09-\\x0D"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a temporary folder, in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The array of words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), "")
@@ -46,9 +28,3 @@ def chars_outside(text: Column, dropped: str) -> Column:
 def word_chars(text: Column) -> Column:
     """How many code points of the text stand in words."""
     return chars_outside(text, _BLANKS)
-
-
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())

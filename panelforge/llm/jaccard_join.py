@@ -6,12 +6,14 @@ Hamming distance over words) bounds the sets' symmetric difference from below. S
 most d shingles, d given by their sizes. Sketches of one size band have the same number of words, more than d + 1, so of two
 similar sets' words all but d agree; in any order of words that both keep, one of the first d + 1 must agree. Each set thus
 lists its first words, those of most shingles first (they are the rarest), and sets that list a word in common are candidates.
-Sets near a band's lower end are listed in the band below, too. A second sketch of 256 bits, again a lower bound, drops most
-false candidates, and the sets themselves decide on the rest.
+Sets near a band's lower end are listed in the band below, too. A second sketch of single bits, about as many as the set has
+shingles and again a lower bound, drops most false candidates, and the sets themselves decide on the rest.
 
 Equal sets are one class from the start. Classes that share a word are not paired off: in every word's group all members
-are first paired with one of them, linked classes are merged, and only members of groups that are still of different
-components go on; what is left in the end is compared in full, by blocks, so no link between components is lost.
+are paired with one of them, linked classes are merged, and only members of groups that are still of different components
+go on. After some rounds these list their words anew, now in order of how many of them have a word, the rarest first:
+words of a passage that many sets share fall out of the lists, while linked sets still meet. After some more rounds what is
+left in a word's group is compared in full, so no link between components is lost.
 
 That gives the components, and skips links within what hangs together already. All links lie within components, so a second
 pass finds every one of them: each component's classes are dealt to blocks, every two blocks are compared in one tile by
@@ -29,18 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialize
+from panelforge.llm.common import BLANK, Scratch, materialize
 from panelforge.llm.shingles import U, mixed, shingle_codes
 
-SKETCH_BITS = 256
-#: A list of ids up to this long is broadcast (16 MB); a longer one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Rounds in which a word's members are paired with one of them before all that is left is compared.
-STAR_ROUNDS = 3
-#: Members of a word that are left in the end are compared by blocks of about this many with all of the word.
-BLOCK_ROWS = 1000
-#: Over how many tasks the rows of one component are dealt when they look it up.
-SALTS = 32
+#: Bits of the smallest bit sketch.
+LEAST_BITS = 256
+#: Rounds in which a word's members are paired with one of them, before words are listed anew and after.
+STAR_ROUNDS = 2
+#: Into how many parts words are dealt that choose their hubs apart.
+HUBS = 8
 #: Classes, and shingles of all their sets, in a block of a component whose links are sought.
 TILE_ROWS, TILE_CODES = 1000, 1_000_000
 BATCH_BYTES = 1 << 20
@@ -72,27 +71,32 @@ class Rule:
         return out
 
 
+def cell_words(codes: np.ndarray, band: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A set's sketch words of a band, each as a code of its band, its place and what is XORed there: those with shingles, how many each has, and the empty ones."""
+    place = (codes >> U(16)) % U(size)
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    words = np.bitwise_xor.reduceat(mixed(codes[order] + U(band)), starts)
+    at = place[starts]
+    keys = mixed(words ^ mixed(at * U(64) + U(band)))
+    empty = mixed(mixed(np.setdiff1d(np.arange(size, dtype=U), at) * U(64) + U(band)))
+    return keys, np.diff(np.concatenate([starts, [len(codes)]])), empty
+
+
 def listed_words(codes: np.ndarray, rule: Rule) -> np.ndarray:
-    """The sketch words that a set lists, each as a code of its band, its place and what is XORed there."""
+    """The sketch words that a set lists: of each scheme the first ones, those of most shingles first, then by code; words without shingles are the last."""
     out = []
     for band, size, first in rule.schemes(len(codes)):
-        place = (codes >> U(16)) % U(size)
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        words = np.bitwise_xor.reduceat(mixed(codes[order] + U(band)), starts)
-        weight, at = np.diff(np.concatenate([starts, [len(codes)]])), place[starts]
-        if len(at) < first:  # words without shingles are the last in the order
-            empty = np.setdiff1d(np.arange(size, dtype=U), at)
-            at, words, weight = np.concatenate([at, empty]), np.concatenate([words, np.zeros(len(empty), U)]), np.concatenate([weight, np.zeros(len(empty), weight.dtype)])
-        keys = mixed(words ^ mixed(at * U(64) + U(band)))
-        out.append(keys[np.lexsort((keys, -weight))[:first]])
+        keys, weight, empty = cell_words(codes, band, size)
+        out.append(np.concatenate([keys[np.lexsort((keys, -weight))], np.sort(empty)])[:first])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
 def bit_sketch(codes: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities of the set's shingles as 64-bit words."""
-    return np.packbits((np.bincount((codes & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.uint64)
+    """Parities of the set's shingles as 64-bit words: as many bits as the band's top, 256 at least. A band's sketch folded in two is that of the band below."""
+    bits = max(LEAST_BITS, 1 << len(codes).bit_length())
+    return np.packbits((np.bincount((codes & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -128,36 +132,34 @@ def _sets(texts: list[str | None], width: int) -> Iterator[tuple[list[np.ndarray
 
 
 def signatures(docs: DataFrame, rule: Rule, listing: bool) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n (shingles), c1 and c2 (codes of the set); with listing, also its sketch and listed words."""
+    """For each row of docs (doc_id, _t, _text): doc_id, _t, n (shingles), c1 and c2 (codes of the set); with listing, also its bit sketch and listed words."""
+
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate(arrays) if arrays else np.zeros(0, U)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(_signed(flat)))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for sets, one, two in _sets(batch.column(1).to_pylist(), rule.width):
-                columns = [batch.column(0).slice(done, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two))]
-                names = ["doc_id", "n", "c1", "c2"]
+            for sets, one, two in _sets(batch.column(2).to_pylist(), rule.width):
+                columns = [*(batch.column(k).slice(done, len(sets)) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two))]
+                names = ["doc_id", "_t", "n", "c1", "c2"]
                 done += len(sets)
                 if listing:
-                    sketch = _signed(np.concatenate([bit_sketch(s) for s in sets])) if sets else np.zeros(0, np.int64)
-                    words = [_signed(listed_words(s, rule)) for s in sets]
-                    flat = np.concatenate(words) if words else np.zeros(0, np.int64)
-                    per = SKETCH_BITS // 64
-                    columns += [
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, per * len(sets) + 1, per), pa.int32()), pa.array(sketch)),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(flat)),
-                    ]
+                    columns += [lists([bit_sketch(s) for s in sets]), lists([listed_words(s, rule) for s in sets])]
                     names += ["sketch", "words"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     more = ", sketch array<long>, words array<long>" if listing else ""
-    return docs.mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c1 long, c2 long{more}")
+    return docs.select("doc_id", "_t", "_text").mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _t long, n long, c1 long, c2 long{more}")
 
 
 def near_bound(a: str, b: str, rule: Rule) -> Column:
-    """Whether two classes (n, sketch) can be linked by their sizes and bit sketches."""
-    apart = " + ".join(f"bit_count({a}.sketch[{k}] ^ {b}.sketch[{k}])" for k in range(SKETCH_BITS // 64))
+    """Whether two classes (n, sketch) can be linked by their sizes and bit sketches, the longer one folded to the shorter."""
+    fold = "case when size({0}.sketch) > size({1}.sketch) then zip_with(slice({0}.sketch, 1, size({1}.sketch)), slice({0}.sketch, size({1}.sketch) + 1, size({1}.sketch)), (x, y) -> x ^ y) else {0}.sketch end"
+    apart = f"aggregate(zip_with({fold.format(a, b)}, {fold.format(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     small, large = f"least({a}.n, {b}.n)", f"greatest({a}.n, {b}.n)"
-    return F.expr(f"100 * {small} >= {rule.percent} * {large} and {100 + rule.percent} * ({apart}) <= {100 - rule.percent} * ({a}.n + {b}.n)")
+    return F.expr(f"case when 100 * {small} >= {rule.percent} * {large} then {100 + rule.percent} * ({apart}) <= {100 - rule.percent} * ({a}.n + {b}.n) else false end")
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -169,104 +171,136 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return out.where((100 + rule.percent) * both >= rule.percent * (F.size("_a") + F.size("_b"))).select("a", "b")
 
 
-def salted_lookup(rows: DataFrame, key: str, facts: DataFrame, spread: str) -> DataFrame:
-    """rows left-joined with facts (one row for each key) by key; a key that many rows have is dealt to SALTS tasks by the column spread."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(facts.select("*", salts), [key, "_salt"], "left").drop("_salt")
-
-
-def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """labels (cid, label) with the components that edges (a, b) join under their smallest label, by rounds of smallest neighbours and jumps."""
     at = lambda name: labels.select(F.col("cid").alias(name), F.col("label").alias(f"_{name}"))
     links = edges.join(at("a"), "a").join(at("b"), "b").where("_a <> _b").select("_a", "_b")
-    links = materialize(links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct(), "links")
-    roots = materialize(links.groupBy("_a").agg(F.least(F.col("_a"), F.min("_b")).alias("root")), "roots")
+    links = scratch.write(links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct(), "links")
+    roots = scratch.write(links.groupBy("_a").agg(F.least(F.col("_a"), F.min("_b")).alias("root")), "roots")
     while True:
         name = lambda x, y: roots.select(F.col("_a").alias(x), F.col("root").alias(y))
         near = links.join(name("_b", "_r"), "_b").groupBy("_a").agg(F.min("_r").alias("_m"))
         new = roots.join(near, "_a").select("_a", F.least("root", "_m").alias("_n"), F.col("root").alias("_old"))
         new = new.join(name("_n", "_j"), "_n", "left").select("_a", F.least("_n", F.coalesce("_j", "_n")).alias("root"), "_old")
-        new = materialize(new, "roots")
+        new = scratch.write(new, "roots")
+        scratch.drop("roots", last=1)
         roots = new.select("_a", "root")
         if not new.where("root <> _old").limit(1).count():
             break
-    found = salted_lookup(labels, "label", roots.select(F.col("_a").alias("label"), "root"), "cid")
-    return found.select("cid", F.coalesce("root", "label").alias("label"))
+    found = labels.join(roots.select(F.col("_a").alias("label"), "root"), "label", "left")  # a label of many classes is split by AQE
+    out = scratch.write(found.select("cid", F.coalesce("root", "label").alias("label")), "labels")
+    scratch.drop("links", "roots")
+    return out
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(cid, codes) for wanted (cid, c1, c2): made anew from the texts, and kept only where wanted."""
-    count = wanted.count()
-    known = None
-    if count <= BROADCAST_ROWS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.select("c1").toArrow().column("c1").to_numpy()))
+    """(cid, codes) for wanted (cid, t, c1, c2): made anew from one text for each, found by its code t."""
+    texts = docs.join(wanted.select(F.col("t").alias("_t")), "_t", "left_semi").select("_t", "_text").distinct()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sets, one, two in _sets(batch.column(1).to_pylist(), rule.width):
-                c1, keep = _signed(one), np.ones(len(sets), bool)
-                if known is not None:
-                    place = np.searchsorted(known.value, c1)
-                    keep = np.zeros(len(sets), bool)
-                    inside = place < len(known.value)
-                    keep[inside] = known.value[place[inside]] == c1[inside]
-                part = [_signed(sets[k]) for k in np.flatnonzero(keep)]
-                flat = np.concatenate(part) if part else np.zeros(0, np.int64)
-                codes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, part)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(c1[keep]), pa.array(_signed(two)[keep]), codes], ["c1", "c2", "codes"])
-
-    rows = docs.mapInArrow(made, "c1 long, c2 long, codes array<long>")
-    return rows.groupBy("c1", "c2").agg(F.first("codes").alias("codes")).join(wanted, ["c1", "c2"]).select("cid", "codes")
-
-
-def _connected(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs (doc_id, _text): classes (cid, c1, c2, doc, weight, n, sketch), and of those that list a word with another labels (cid, label) and sets (cid, codes)."""
+                codes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(_signed(np.concatenate(sets))))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), codes], ["c1", "c2", "codes"])
+
+    rows = texts.mapInArrow(made, "c1 long, c2 long, codes array<long>")
+    return rows.join(wanted.select("cid", "t", "c1", "c2"), ["c1", "c2"]).select("cid", "codes")
+
+
+def rarest_words(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """(cid, word): the words that sets (cid, codes) list if those that fewest of them have come first; words without shingles are the last."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, ends = batch.column(1).flatten().to_numpy().view(U), np.cumsum(batch.column(1).value_lengths().to_numpy())
+            for cid, low, high in zip(batch.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                for band, size, first in rule.schemes(high - low):
+                    keys, _, empty = cell_words(codes[low:high], band, size)
+                    empty = np.sort(empty)[: max(0, first - len(keys))]
+                    n = len(keys) + len(empty)
+                    words = np.concatenate([keys, empty])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x)) for x in (cid, band, first)] + [pa.array(_signed(words)), pa.array(np.arange(n) >= len(keys))], ["cid", "band", "first", "word", "empty"])
+
+    rows = scratch.write(sets.select("cid", "codes").mapInArrow(cells, "cid long, band long, first long, word long, empty boolean"), "cells")
+    often = scratch.write(rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "often")
+    place = F.row_number().over(Window.partitionBy("cid", "band").orderBy("empty", F.coalesce("_n", F.lit(1)), "word"))  # one set's words in one band
+    return rows.join(often, "word", "left").withColumn("_k", place).where("_k <= first").where("_n > 1").select("cid", "word")
+
+
+def _shared_words(words: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of words (cid, word) whose word stands in another row."""
+    shared = scratch.write(words.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("word"), "shared")
+    out = scratch.write(words.join(shared, "word"), "members")
+    scratch.drop("shared")
+    return out
+
+
+def _connected(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, _t, _text): classes (cid, c1, c2, doc, first, weight, n, sketch), and of those that list a word with another labels (cid, label) and sets (cid, codes).
+
+    first (none, doc, t) tells the row that stands for the class: its id, ids first, and the code of its text.
+    """
     full = signatures(docs, rule, listing=True).where("n > 0")
-    keep = [F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight"), *(F.first(x).alias(x) for x in ("n", "sketch", "words"))]
-    classes = materialize(full.groupBy("c1", "c2").agg(*keep).withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    words = classes.select("cid", F.explode("words").alias("word"))
-    shared = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("word"), "shared")
-    small = shared.count() <= BROADCAST_ROWS
-    members = materialize(words.join(F.broadcast(shared) if small else shared, "word"), "members")
-    facts = classes.select("cid", "c1", "c2", "n", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
-    facts = materialize(facts, "facts")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("_t").alias("t"))
+    keep = [F.min("doc_id").alias("doc"), F.min(first).alias("first"), F.count(F.lit(1)).alias("weight"), *(F.first(x).alias(x) for x in ("n", "sketch", "words"))]
+    found = scratch.write(full.groupBy("c1", "c2").agg(*keep).withColumn("cid", F.monotonically_increasing_id()), "found")
+    classes = scratch.write(found.drop("words"), "classes")
+    members = _shared_words(found.select("cid", F.explode("words").alias("word")), scratch)
+    scratch.drop("found")
+
+    facts = classes.select("cid", "c1", "c2", "n", "sketch", F.col("first.t").alias("t")).join(members.select("cid").distinct(), "cid", "left_semi")
+    facts = scratch.write(facts, "facts")
+    sets = scratch.write(fetch_sets(docs, facts.select("cid", "t", "c1", "c2"), rule), "sets")
     labels = facts.select("cid", F.col("cid").alias("label"))
-    sets = materialize(fetch_sets(docs, facts.select("cid", "c1", "c2"), rule), "sets")
+    side = lambda x: facts.select(F.col("cid").alias(x), F.struct("n", "sketch").alias(f"_{x}"))
 
     tried = None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(2 * STAR_ROUNDS + 1):
         groups = members.join(labels, "cid")
-        open_words = groups.groupBy("word").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)), "cid", "label")).alias("_hub"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
-        open_words = open_words.where("_low < _high")
-        if turn < STAR_ROUNDS:
+        hub = F.min(F.struct(F.xxhash64("cid", F.pmod("word", F.lit(HUBS)), F.lit(turn)), "cid", "label")).alias("_hub")
+        open_words = groups.groupBy("word").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), hub).where("_low < _high")
+        if turn == STAR_ROUNDS:  # from now on by rare words
+            still = groups.join(open_words, "word", "left_semi").select("cid").distinct()
+            members = _shared_words(rarest_words(sets.join(still, "cid", "left_semi"), rule, scratch), scratch)
+            scratch.drop("cells", "often")
+            scratch.drop("members", last=1)
+            groups = members.join(labels, "cid")
+            open_words = groups.groupBy("word").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), hub).where("_low < _high")
+        if turn < 2 * STAR_ROUNDS:
             pairs = groups.join(open_words, "word").where("label <> _hub.label").select(F.least("cid", "_hub.cid").alias("a"), F.greatest("cid", "_hub.cid").alias("b"))
             pairs = pairs.distinct()
-            f = lambda x: facts.select(F.col("cid").alias(x), F.struct("n", "sketch").alias(f"_{x}"))
-            pairs = pairs.join(f("a"), "a").join(f("b"), "b").where(near_bound("_a", "_b", rule)).select("a", "b")
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(near_bound("_a", "_b", rule)).select("a", "b")
         else:
-            left = groups.join(open_words.select("word", "_blocks"), "word").join(facts.select("cid", "n", "sketch"), "cid")
-            block = {"a": F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))}
-            sides = [left.select("word", F.col("cid").alias(x), F.col("label").alias(f"{x}_label"), F.struct("n", "sketch").alias(f"_{x}"), block[x].alias("_block")) for x in ("a", "b")]
+            left = scratch.write(groups.join(open_words.select("word"), "word", "left_semi").join(facts.select("cid", "n", "sketch"), "cid"), "left")
+            sides = [left.select("word", F.col("cid").alias(x), F.col("label").alias(f"{x}_label"), F.struct("n", "sketch").alias(f"_{x}")) for x in ("a", "b")]
             apart = (F.col("a_label") != F.col("b_label")) & (F.col("a") < F.col("b"))
-            pairs = sides[0].join(sides[1], ["word", "_block"]).where(apart & near_bound("_a", "_b", rule)).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+            pairs = sides[0].join(sides[1], "word").where(apart & near_bound("_a", "_b", rule)).select("a", "b").distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs, "pairs")
         if not pairs.limit(1).count():
-            if turn < STAR_ROUNDS:
-                continue
-            break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = materialize(linked_pairs(pairs, sets, rule), "edges")
-        labels = materialize(merged(labels, edges), "labels")
+        edges = scratch.write(linked_pairs(pairs, sets, rule), "edges")
+        labels = merged(labels, edges, scratch)
+        scratch.drop("edges")
+        scratch.drop("labels", last=1)
+    labels = scratch.write(labels, "components")
+    scratch.drop("members", "facts", "pairs", "left", "labels")
     return classes, labels, sets
 
 
+def _components(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, rep): of each component of labels (cid, label) the row that stands for it, by ids, then by texts."""
+    return labels.join(classes.select("cid", "first"), "cid").groupBy("label").agg(F.min("first").alias("rep"))
+
+
 def _placed(docs: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, more: DataFrame | None = None) -> DataFrame:
     """components() by what _connected() gives; more (cid, others) adds n_links, the links to rows of other classes and of the row's own."""
-    lowest = labels.join(classes.select("cid", "doc"), "cid").groupBy("label").agg(F.min("doc").alias("component"))
-    found = classes.select("cid", "c1", "c2", "doc", "weight").join(salted_lookup(labels, "label", lowest, "cid"), "cid", "left")
+    lowest = _components(classes, labels).select("label", F.col("rep.doc").alias("component"))
+    found = classes.select("cid", "c1", "c2", "doc", "weight").join(labels.join(lowest, "label"), "cid", "left")
     count = F.lit(0).cast("long")
     if more is not None:
         found, count = found.join(more, "cid", "left"), F.coalesce("others", F.lit(0)) + F.col("weight") - 1
@@ -279,24 +313,30 @@ def _placed(docs: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule,
     return out.select("doc_id", F.col("n").alias("n_shingles"), pick("component_id"), pick("class_id"), *last)
 
 
+def _keyed(docs: DataFrame, text: str, *more: Column) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(text).alias("_t"), F.col(text).alias("_text"), *more)
+
+
 def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
     """Components only: one row per row of docs: doc_id, n_shingles, component_id, class_id. Links within what is connected already aren't looked for.
 
     component_id is the smallest doc_id that links lead to, itself included; class_id is the smallest with the very same
     set. A null, empty or blank text has no shingles and is linked with nothing, so both are its own doc_id. Rows with a null
     doc_id take part in links; their ids are null if no row with an id is reached. Repeated rows keep a row each, an empty
-    table gives an empty result, and other columns aren't read.
+    table gives an empty result, other columns aren't read, and a very long text is one set as others are.
     """
-    docs = docs.select("doc_id", F.col(text).alias("_text"))
-    classes, labels, _ = _connected(docs, rule)
+    docs, scratch = _keyed(docs, text), Scratch(docs.sparkSession, "join")
+    classes, labels, _ = _connected(docs, rule, scratch)
+    scratch.drop("sets")
     return _placed(docs, classes, labels, rule)
 
 
 def linked(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
     """components() and n_links, the number of other rows whose sets are linked with the row's, rows with the very same set included."""
-    docs = docs.select("doc_id", F.col(text).alias("_text"))
-    classes, labels, sets = _connected(docs, rule)
-    counts = materialize(tile_links(classes, labels, sets, rule, pairs=False), "links")
+    docs, scratch = _keyed(docs, text), Scratch(docs.sparkSession, "join")
+    classes, labels, sets = _connected(docs, rule, scratch)
+    counts = scratch.write(tile_links(classes, labels, sets, rule, pairs=False), "counts")
+    scratch.drop("sets")
     return _placed(docs, classes, labels, rule, counts.groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "cid"))
 
 
@@ -306,9 +346,10 @@ def links(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame
     class_id is the class's smallest doc_id as in components(), null if no row has one; rows counts its rows, c1 and c2 are
     the codes of its set. Rows of one class are linked with each other, which isn't listed.
     """
-    docs = docs.select("doc_id", F.col(text).alias("_text"))
-    classes, labels, sets = _connected(docs, rule)
-    pairs = materialize(tile_links(classes, labels, sets, rule, pairs=True), "links")
+    docs, scratch = _keyed(docs, text), Scratch(docs.sparkSession, "join")
+    classes, labels, sets = _connected(docs, rule, scratch)
+    pairs = scratch.write(tile_links(classes, labels, sets, rule, pairs=True), "pairs")
+    scratch.drop("sets")
     side = lambda x: classes.select(F.col("cid").alias(x), F.struct(F.col("doc").alias("class_id"), F.col("weight").alias("rows"), "c1", "c2").alias(f"_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
@@ -318,7 +359,7 @@ def tile_links(classes: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rul
     known = labels.join(classes.select("cid", "n", "weight", "sketch"), "cid")
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_codes")).where("_k > 1")
     sizes = sizes.select("label", F.ceil(F.greatest(F.col("_k") / TILE_ROWS, F.col("_codes") / TILE_CODES)).cast("int").alias("_blocks"))
-    dealt = salted_lookup(known, "label", sizes, "cid").where("_blocks is not null").join(sets, "cid")
+    dealt = known.join(sizes, "label").join(sets, "cid")
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     dealt = dealt.select("label", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), "_block", "cid", "n", "weight", "sketch", "codes")
     tiles = dealt.repartition("label", "_low", "_high").sortWithinPartitions("label", "_low", "_high")
@@ -356,7 +397,8 @@ def _tile(part: list[pa.RecordBatch], rule: Rule, pairs: bool) -> Iterator[tuple
     flat = lambda k: np.concatenate([b.column(k).flatten().to_numpy() for b in part])
     column = lambda k: np.concatenate([b.column(k).to_numpy() for b in part])
     low, high, block, cid, n, weight = (column(k) for k in range(1, 7))
-    sketch, codes = flat(7).view(np.uint64).reshape(len(cid), -1), np.unique(flat(8), return_inverse=True)[1]
+    sketch = np.stack([np.bitwise_xor.reduce(b[7][k].values.to_numpy().view(U).reshape(-1, LEAST_BITS // 64)) for b in part for k in range(b.num_rows)])  # folded to the least
+    codes = np.unique(flat(8), return_inverse=True)[1]
     ends = np.cumsum(n)
     starts = ends - n
     rows, others = np.flatnonzero(block == low), np.flatnonzero(block == high)
@@ -387,13 +429,23 @@ def _tile(part: list[pa.RecordBatch], rule: Rule, pairs: bool) -> Iterator[tuple
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id, and of repeated rows of that id one.
+    """docs with one row of each component: that of its smallest doc_id, and if that stands in several rows the one whose text has the smallest code.
 
-    Rows without shingles or without a doc_id are all kept.
+    Rows without an id come after all ids. Of rows with the same id and text one stays, by the code of its other columns.
+    Rows without shingles (null, empty and blank texts) are linked with nothing and all stay. An empty table gives an empty one;
+    columns may have any names.
     """
-    found = components(docs, rule, text)
-    kept = found.where("doc_id = component_id").select("doc_id", (F.col("n_shingles") > 0).alias("_once")).distinct()
-    rows = docs.select("doc_id", F.struct("*").alias("row"))  # so that no column of docs clashes with one of ours
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    once = rows.join(kept, "doc_id").withColumn("_row", first).where(~F.col("_once") | (F.col("_row") == 1))
-    return once.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
+    scratch = Scratch(docs.sparkSession, "join")
+    keyed = _keyed(docs, text)
+    classes, labels, _ = _connected(keyed, rule, scratch)
+    alone = classes.join(labels, "cid", "left_anti").select(F.col("first").alias("rep"))
+    key = lambda doc, t: [F.col(t).alias("_t"), F.col(doc).isNull().alias("_none"), F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("_id")]
+    kept = materialize(alone.unionByName(_components(classes, labels).select("rep")).select(*key("rep.doc", "rep.t")), "kept")
+    scratch.drop("sets", "components", "classes")
+
+    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = _keyed(docs, text, F.xxhash64(*plain).alias("_order"), F.struct("*").alias("row"))  # so that no column of docs clashes with one of ours
+    filled = F.coalesce("_text", F.lit("")).rlike(f"[^{BLANK}]")
+    one = F.row_number().over(Window.partitionBy("_t", "_none", "_id").orderBy("_order"))  # each task passes on one row of a key
+    some = rows.where(filled).select(*key("doc_id", "_t"), "_order", "row").withColumn("_k", one).where("_k = 1")
+    return some.join(kept, ["_t", "_none", "_id"], "left_semi").select("row.*").unionByName(rows.where(~filled).select("row.*"))

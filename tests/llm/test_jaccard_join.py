@@ -71,19 +71,23 @@ def test_near_copies_at_the_edge(spark, seed):
     assert sorted(kept) == sorted([i for i, (n, c) in want.items() if c == i] + [i for i, (n, _) in want.items() if n == 0])
 
 
+def test_a_row_goes_only_for_its_own_component(spark):
+    one, two = "x y z w v u t", "k l m n o p q r"
+    df = spark.createDataFrame([(6, one), (6, two), (7, one.upper()), (None, two)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.drop_near_duplicates(df).collect())) == [(6, two), (6, one)]
+    mixed_rows = [(k, t, j) for k in range(40) for t in (one if k == 0 else f"{k} " + one.replace("x", f"q{k} r{k} s{k}"), None) for j in range(1)]
+    df = spark.createDataFrame(mixed_rows, "doc_id long, text string, other int")
+    assert sorted(map(str, jaccard_join.drop_near_duplicates(df).collect())) == sorted(map(str, df.collect()))
+    df = spark.createDataFrame([(None, one), (None, one), (None, one + " end of it"), (None, None), (None, None), (3, "")], "doc_id long, text string")
+    assert sorted(map(str, jaccard_join.drop_near_duplicates(df).collect())) == sorted(map(str, [r for k, r in enumerate(df.collect()) if k != 1]))
+
+
 def test_nulls_repeats_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "A b c d e f"), (7, "A b c d e f"), (None, "z"), (8, None)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in jaccard_join.components(df).collect())
     assert got == [("7", 2, 7), ("7", 2, 7), ("8", 0, 8), ("None", 1, None), ("None", 2, 7), ("None", 2, 7)]
     assert jaccard_join.components(df.where("false")).count() == 0
-    assert jaccard_join.drop_near_duplicates(df).count() == 5
-
-
-def test_broadcasts_are_not_needed(spark, documents, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
-    docs = [(i, d["text"]) for i, d in documents.items() if i < 300]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == brute(docs)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in jaccard_join.drop_near_duplicates(df).collect()) == [("7", "A b c d e f"), ("8", "None"), ("None", "z")]
 
 
 def test_listed_words_meet(spark):
@@ -102,14 +106,54 @@ def test_listed_words_meet(spark):
             assert set(jaccard_join.listed_words(a, rule)) & set(jaccard_join.listed_words(b, rule))
 
 
-def test_blocks_alone_find_every_link(spark, documents, monkeypatch):
-    for name, value in (("STAR_ROUNDS", 0), ("BLOCK_ROWS", 3)):
+@pytest.mark.parametrize(("rounds", "hubs"), [(0, 1), (1, 1)])
+def test_full_comparison_finds_what_is_left(spark, documents, monkeypatch, rounds, hubs):
+    for name, value in (("STAR_ROUNDS", rounds), ("HUBS", hubs)):
         monkeypatch.setattr(jaccard_join, name, value)
     docs = [(i, d["text"]) for i, d in documents.items()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
 
 
+def test_rare_words_keep_linked_sets_together(spark, tmp_path):
+    rng = random.Random(21)
+    common = [rng.getrandbits(64) for _ in range(90)]
+    sets = []
+    for _ in range(30):
+        base = common + [rng.getrandbits(64) for _ in range(rng.randint(0, 60))]
+        sets.append(base)
+        sets.append(base[: len(base) - rng.randint(0, len(base) // 12)] + [rng.getrandbits(64) for _ in range(rng.randint(0, len(base) // 12))])
+    rows = [(k, sorted(x - 2**64 if x >= 2**63 else x for x in s)) for k, s in enumerate(sets)]
+    words = {}
+    for r in jaccard_join.rarest_words(spark.createDataFrame(rows, "cid long, codes array<long>"), jaccard_join.Rule(), jaccard_join.Scratch(spark, "test")).collect():
+        words.setdefault(r["cid"], set()).add(r["word"])
+    near = 0
+    for i, a in rows:
+        for j, b in rows[:i]:
+            both = len(set(a) & set(b))
+            if 100 * both >= 80 * (len(a) + len(b) - both) and set(a) != set(b):
+                near += 1
+                assert words[i] & words[j]
+    assert near > 30
+
+
+def test_folded_sketches_bound_the_difference(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rule, rows, linked = jaccard_join.Rule(), [], []
+    for _ in range(60):
+        n = rng.choice([200, 255, 256, 300, 500, 515, 1000, 1030])
+        both = [rng.getrandbits(64) for _ in range(n)]
+        a, b = (np.array(both + [rng.getrandbits(64) for _ in range(rng.randint(0, n // 4))], np.uint64) for _ in range(2))
+        rows.append(tuple((len(x), jaccard_join._signed(jaccard_join.bit_sketch(x)).tolist()) for x in (a, b)))
+        linked.append(100 * n >= 80 * (len(a) + len(b) - n))
+    kind = "struct<n:long,sketch:array<long>>"
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k int, a {kind}, b {kind}")
+    near = {r["k"] for r in df.where(jaccard_join.near_bound("a", "b", rule)).collect()}
+    assert {k for k, x in enumerate(linked) if x} <= near and any(linked) and len(near) < 60
+
+
 def passage_documents(rng, n=240):
     """Documents that all hold one passage and differ in the rest, with a near copy of every tenth."""
     passage = [f"p{k}" for k in range(45)]
