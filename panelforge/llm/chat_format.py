@@ -108,7 +108,8 @@ def format_conversations(
     null conv_id is one conversation. spans are (role, start, end) in code points; loss_spans are the parts of formatted that
     are assistant texts. Conversations are streamed turn by turn from sorted partitions, so none is ever gathered as a
     group; with keep_text off neither is its output. An empty table gives an empty result. All prefixes are rendered unless
-    memory declares how many turns the template looks back at.
+    memory declares how many turns the template looks back at. Where rewrites is true all that is read from the output is null.
+    A conversation is handled by one task, turn by turn; very long texts are texts like others; further columns aren't read.
     """
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -181,8 +182,8 @@ class _Conversation:
             "spans": self.places if whole else None,
             "loss_spans": self.loss if whole else None,
             "rewrites": rewrites,
-            "turns_sha256": self.turns_sha.hexdigest(),
-            "loss_chars": self.loss_chars,
-            "loss_sha256": self.loss_sha.hexdigest(),
-            "formatted_chars": self.chars,
+            "turns_sha256": None if rewrites else self.turns_sha.hexdigest(),
+            "loss_chars": None if rewrites else self.loss_chars,
+            "loss_sha256": None if rewrites else self.loss_sha.hexdigest(),
+            "formatted_chars": None if rewrites else self.chars,
         }

@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-#: Bounds of the sample that the trees are fitted on: documents per language, characters per document, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 8_000, 200
+#: Bounds of the sample that the trees are fitted on: documents per language, characters per document, and documents in all (but one per language).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 400, 8_000, 80_000
+#: Bytes whose code lengths are held at once, over all languages.
+PIECE_CELLS = 1 << 24
 ORDER = 4
 UNKNOWN = "und"
 
@@ -30,24 +31,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
-    """At most docs_per_language (lang, text) for each of the max_languages languages with most rows, in the order of a hash of the id.
+def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, docs_in_all: int = SAMPLE_ALL) -> list[tuple[str, str]]:
+    """(lang, text) to learn from: of each language docs_per_language rows at most, fewer if there are so many languages that docs_in_all wouldn't do, but one at least.
 
-    Only rows with a language and a text that isn't empty or held out; of longer texts the first chars characters. The bounds hold at every input size.
+    Only rows with a language and a text that isn't empty or held out; of longer texts the first chars characters; by a hash
+    of id and text. The languages' counts tell which hashes are low enough, so no language is gathered in a task. The bounds
+    hold at every input size, and no language is left out.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    labelled = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("_key"))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    names = [r["lang"] for r in common.collect()]
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))  # tasks cut to docs_per_language before the shuffle
-    chosen = labelled.where(F.col("lang").isin(names)).withColumn("_n", first).where(F.col("_n") <= docs_per_language)
-    ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]  # bounded: max_languages * docs_per_language
-    if not ids:
+    labelled = docs.where(F.col("lang").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
         return []
-    picked = docs.join(F.broadcast(chosen.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")), "doc_id", "left_semi")
-    picked = picked.where(F.col("lang").isin(names) & (F.length("text") > 0)).withColumn("text", F.substring("text", 1, chars))
-    rows = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.*", "doc_id").collect()  # of repeated ids one row
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"])))]
+    each = min(docs_per_language, max(1, docs_in_all // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, (each + 6 * each**0.5) / n)) for k, n in counts.items()], "lang string, share double")
+    rows = labelled.select("lang", F.xxhash64("doc_id", F.substring("text", 1, chars)).alias("_key"), F.substring("text", 1, chars).alias("text"))
+    low = F.shiftrightunsigned("_key", 11) < F.col("share") * F.lit(float(1 << 53))
+    rows = rows.join(shares, "lang").where(low)
+    picked = rows.groupBy("lang", "_key").agg(F.first("text").alias("text")).collect()  # of repeated rows one
+    by_lang: dict[str, list[tuple[int, str]]] = {}
+    for r in picked:
+        by_lang.setdefault(r["lang"], []).append((r["_key"] % (1 << 64), r["text"]))
+    return [(lang, text) for lang in sorted(by_lang) for _, text in sorted(by_lang[lang])[:each]]
 
 
 def grams(data: np.ndarray, width: int) -> np.ndarray:
@@ -111,7 +115,10 @@ class Trees:
         return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of every text in every language: a row per text. Texts are coded one by one, together in one array."""
+        """Bits of every text in every language: a row per text. Texts are coded one by one, together in one array; a very long one in pieces."""
+        most = max(1 << 12, PIECE_CELLS // max(1, len(self.languages)))
+        if any(len(t) > most for t in texts):
+            return np.stack([self._in_pieces(t, most) if len(t) > most else self.code_lengths([t])[0] for t in texts])
         size = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.cumsum(size) - size
@@ -136,6 +143,13 @@ class Trees:
         return out
 
 
+    def _in_pieces(self, text: bytes, most: int) -> np.ndarray:
+        total = self.code_lengths([text[:most]])[0]
+        for at in range(most, len(text), most):  # with the bytes before it as context
+            total = total + self.bits(grams(np.frombuffer(text[at - self.order : at + most], np.uint8), self.order + 1), self.order).sum(axis=0)
+        return total
+
+
 def search(known: np.ndarray, runs: np.ndarray) -> np.ndarray:
     """The place of each run among the known ones, or -1."""
     if not len(known):
@@ -213,7 +227,10 @@ def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", ca
 
 
 def keep_identified(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> DataFrame:
-    """docs without the rows that have no text, or no letter in it, whose language is und; where nothing could be learned all others stay, too."""
+    """docs without the rows that have no text, or no letter in it, whose language is und; where nothing could be learned all others stay, too.
+
+    Null ids, repeated and very long rows are rows like others, columns may have any names, an empty table gives an empty one.
+    """
     names = docs.columns
     if trees is None:
         trees = Trees(training_sample(docs.select("doc_id", "lang", F.col(text).alias("text"))))

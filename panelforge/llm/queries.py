@@ -41,7 +41,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [r.kind for r in secret_scan.RULES[:3]]
 
     def listed(spans: Column) -> Column:
@@ -73,6 +73,30 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_jaccard_join, op4_chat_format, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_quality_rules, op10_suffix_dedup)}
 
 SQL: dict[str, str] = {
+    "op1_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight
+  FROM sized GROUP BY source
+), queue AS (
+  SELECT doc_id, d.source, size, source_size, cap, weight, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5('17:' || doc_id || ':' || size), 1, 15), doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+  FROM sized d JOIN sources s ON s.source IS NOT DISTINCT FROM d.source
+), turns AS (
+  SELECT weight, size, stop + k * source_size AS upto FROM queue, (VALUES (0), (1)) AS v(k) WHERE size > 0
+), events AS (
+  SELECT (upto - size) / weight AS moment, 0::DOUBLE AS whole, weight AS active, (upto - size)::DOUBLE AS origin FROM turns
+  UNION ALL SELECT upto / weight, size::DOUBLE, -weight, -(upto - size)::DOUBLE FROM turns
+), sums AS (
+  SELECT moment, whole, active, origin, sum(whole) OVER w AS a, sum(active) OVER w AS b, sum(origin) OVER w AS c FROM events WINDOW w AS (ORDER BY moment, active ROWS UNBOUNDED PRECEDING)
+), cut AS (
+  SELECT CASE WHEN b - active > 0 THEN least((budget - (a - whole) + (c - origin)) / (b - active), moment) ELSE moment END AS t
+  FROM sums, (SELECT 0.75::DOUBLE * sum(cap) AS budget FROM sources) WHERE a + moment * b - c >= budget ORDER BY moment, active LIMIT 1
+), shared AS (SELECT q.*, least(cap, (SELECT t FROM cut) * weight) AS target FROM queue q)
+SELECT doc_id, size, source_size, target, stop / weight AS finish,
+       CAST(least(greatest(round(target)::BIGINT - (stop - size), 0), size) + least(greatest(round(target)::BIGINT - (stop - size + source_size), 0), size) AS BIGINT) AS taken
+FROM shared
+""",
     "op2_url_filter": r"""
 WITH parts AS (
   SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS place FROM pages

@@ -2,18 +2,19 @@
 
 Every version of every path is addressed by the SHA-256 of its content. A blob is scanned once for each version of the
 rules, however many paths hold it: what the ledger already has is left out, and findings are joined back to all paths.
-Scanning is native: split() and regexp_extract_all() cut a text at the same matches, so the lengths of the pieces and of
+The ledger is a table in the shared folder that every scan adds to. Scanning is native: split() and regexp_extract_all() cut a text at the same matches, so the lengths of the pieces and of
 the matches, summed up, give each match's place.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialize
+from panelforge.llm.common import materialize, shared_folder
 
 
 @dataclass(frozen=True)
@@ -66,56 +67,67 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.where("weight >= least").select("blob", "kind", "rank", F.col("start").cast("long"), F.col("end").cast("long"), "value")
 
 
-def new_blobs(versions: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """(blob, text), once for each content of versions (path, blob, text) that the ledger (blob, rule_version, ...) hasn't seen under rule_version."""
-    fresh = versions
-    if ledger is not None:
-        fresh = fresh.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    # first() combines on the map side: a blob held by a third of all paths leaves each task once
-    return fresh.groupBy("blob").agg(F.first("text").alias("text"))
+FINDINGS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Scans the contents in versions (blob, text, ...) that the ledger lacks; returns (findings, ledger).
+class Ledger:
+    """Blobs that were scanned, by rule version: a table (blob, rule_version, findings) at a path, by default a new one in the shared folder.
 
-    findings has a row for each blob of versions that has any: blob, findings, an array of (start, rank, end, kind, value)
-    by start, then rank. The ledger has a row for each blob and rule version ever scanned: blob, rule_version, findings.
+    findings are (start, rank, end, kind, value), by start, then rank; empty where the blob has none. Every scan adds its files.
     """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+        spark.createDataFrame([], f"blob string, rule_version int, findings {FINDINGS}").write.mode("append").parquet(self.path)
+
+    def read(self, rule_version: int) -> DataFrame:
+        """(blob, findings) of what was scanned under the rule version."""
+        rows = self.spark.read.schema(f"blob string, rule_version int, findings {FINDINGS}").parquet(self.path)
+        return rows.where(F.col("rule_version") == rule_version).select("blob", "findings")
+
+    def add(self, scanned: DataFrame) -> None:
+        scanned.select("blob", "rule_version", "findings").write.mode("append").parquet(self.path)
+
+
+def new_blobs(versions: DataFrame, ledger: Ledger, rule_version: int = RULE_VERSION) -> DataFrame:
+    """(blob, text), once for each content of versions (blob, text, ...) that the ledger hasn't seen under the rule version."""
+    fresh = versions.join(ledger.read(rule_version).select("blob"), "blob", "left_anti")
+    # first() combines on the map side: a blob held by a third of all paths leaves each task once
+    return fresh.groupBy("blob").agg(F.first("text").alias("text"))
+
+
+def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
+    """Scans the contents in versions (blob, text, ...) that the ledger lacks and adds them to it; returns what it then has of findings, (blob, findings) where there are any."""
     fresh = new_blobs(versions, ledger, rule_version)
-    entry = F.struct("start", "rank", "end", "kind", "value")
-    found = materialize(scan_blobs(fresh, rules).groupBy("blob").agg(F.sort_array(F.collect_list(entry)).alias("findings")), "findings")
-    none = F.array().cast(found.schema["findings"].dataType)
-    done = fresh.select("blob") if ledger is None else versions.select("blob").distinct().join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    seen = done.distinct().join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", none).alias("findings"))
-    if ledger is None:
-        return found, seen
-    old = ledger.select("blob", "rule_version", "findings")
-    known = old.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
-    known = known.join(versions.select("blob"), "blob", "left_semi")
-    return found.unionByName(known), seen.unionByName(old)
-
-
-def scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Scans all versions in docs; returns (findings by path, the ledger with what this scan added).
-
-    The first has a row for each row of docs: path, blob, and findings, empty where there are none. Null texts are empty
-    texts. Rows with a null path and repeated rows keep a row each; an empty table gives empty results.
+    entry = F.struct("start", F.col("rank").cast("int").alias("rank"), "end", "kind", "value")
+    found = scan_blobs(fresh, rules).groupBy("blob").agg(F.sort_array(F.collect_list(entry)).alias("findings"))
+    found = materialize(found, "findings")
+    new = versions.select("blob").join(ledger.read(rule_version).select("blob"), "blob", "left_anti").distinct()
+    ledger.add(new.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings")))
+    return ledger.read(rule_version).where(F.size("findings") > 0)
+
+
+def scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
+    """Scans all versions in docs that the ledger (by default an empty one) hasn't seen, and adds them to it: path, blob, and findings, empty where there are none, for each row of docs.
+
+    Null texts are empty texts, very long ones are scanned whole. Rows with a null path and repeated rows keep a row each; an
+    empty table gives an empty result; other columns aren't read.
     """
     versions = docs.select(F.col(path).alias("_path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
-    found, seen = scan_versions(versions, ledger, rules, rule_version)
-    none = F.array().cast(found.schema["findings"].dataType)
+    found = scan_versions(versions, ledger or Ledger(docs.sparkSession), rules, rule_version)
     by_path = versions.select("_path", "blob").join(found, "blob", "left")
-    return by_path.select(F.col("_path").alias(path), "blob", F.coalesce("findings", none).alias("findings")), seen
+    return by_path.select(F.col("_path").alias(path), "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger: DataFrame | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger: Ledger | None = None) -> DataFrame:
     """docs with every found span replaced by mark (spans that overlap by one), all other characters and columns as they were.
 
-    Null texts stay null.
+    Null texts stay null; rows with null ids and repeated rows are rows like others; columns may have any names; an empty
+    table gives an empty one.
     """
     rows = docs.select(blob_id(F.col(text)).alias("blob"), F.col(text).alias("_text"), F.struct("*").alias("row"))  # so that no names clash
-    found, _ = scan_versions(rows.select("blob", F.coalesce("_text", F.lit("")).alias("text")), ledger)
-    rows = rows.join(found.select("blob", "findings"), "blob", "left")
+    found = scan_versions(rows.select("blob", F.coalesce("_text", F.lit("")).alias("text")), ledger or Ledger(docs.sparkSession))
+    rows = rows.join(found, "blob", "left")
     cut = F.aggregate(
         "findings",
         F.struct(F.lit(0).cast("long").alias("upto"), F.lit("").alias("out")),

@@ -30,6 +30,7 @@ def test_stages_and_run(spark):
                 out += [text[upto:a], "[secret]"]
             upto = max(upto, b)
         texts[i] = "".join([*out, text[upto:]])
+    assert all(r["text"] == texts[i] and r["lang"] == rows[i]["lang"] for i, r in got.items())
     sizes, taken = Counter(), Counter()
     for i, r in got.items():
         assert r["size"] == len(WORD.findall(texts[i]))
@@ -44,11 +45,11 @@ def test_stages_and_run(spark):
 
 
 def test_odd_rows_pass_every_stage(spark):
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = [(None, "some words here", None, None, None), (None, "some words here", None, None, None), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "x " * 4000, "en", "b", 8000), (3, "x " * 4000, "en", "b", 8000), (4, "123", "en", "b", 3)]
-    docs = spark.createDataFrame(odd, columns)
+    columns = "doc_id long, text string, lang string, source string, n_chars long, size string, row int, blob string, component_id int, _text string"
+    odd = [(None, "some words here", None, None, None), (None, "some words here", None, None, None), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "x " * 400_000, "en", "b", 8000), (3, "x " * 400_000, "en", "b", 8000), (4, "123", "en", "b", 3), (5, "token = abcdefgh", "en", "b", 3)]
+    docs = spark.createDataFrame([(*r, "clash", k, "b", k, "t") for k, r in enumerate(odd)], columns)
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         docs, empty = stage(spark, docs, SF), stage(spark, empty, SF)
         assert empty.count() == 0
-    assert sorted((str(r["doc_id"]), r["size"]) for r in docs.collect()) == [("3", 4000), ("None", 3), ("None", 3)]
+    assert sorted((str(r["doc_id"]), r["size"], r["text"][:8], r["blob"]) for r in docs.collect()) == [("3", 400_000, "x x x x ", "b"), ("5", 1, "[secret]", "b"), ("None", 3, "some wor", "b")]
