@@ -1,36 +1,45 @@
-"""A corpus pipeline of five stages over documents; every stage works on all that the one before has kept."""
+"""A corpus pipeline of five stages over documents; every stage works on all that the one before has kept.
+
+Every stage takes and returns the columns of documents (the last one adds its own), whatever further columns there are and
+however they are called; an empty table stays empty; very long texts are texts like others. What a stage does with null
+and repeated rows is said below.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import decontaminate, jaccard_join, language_id, mixing, secret_scan
-from panelforge.llm.common import materialize
+from panelforge.llm.common import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or without a letter go."""
+    """Documents whose text is null, empty or without a letter go: they have no language. Repeated rows and null ids stay as they are."""
     return language_id.keep_identified(docs)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of similarity 0.8 and more connect, the one with the smallest id stays."""
+    """Of each group of documents that links of similarity 0.8 and more connect, the one with the smallest id stays, then that of the smallest text code.
+
+    Repeated rows are one document; rows without an id come last; null and blank texts are linked with nothing and stay.
+    """
     return jaccard_join.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly one, go."""
+    """Documents that hold a benchmark item of 24 characters and more, or nearly one, go; row by row, null texts stay."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets found in a text are replaced by a mark; all documents stay. n_chars stays that of the original text."""
+    """Secrets found in a text are replaced by a mark; all rows stay, null texts null. n_chars stays that of the original text."""
     return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in its order: doc_id, source, size, source_size, target, taken, finish, rounds."""
-    return mixing.mix(docs)
+    """The mix in its order: the documents with size, source_size, target, taken, finish, rounds; null texts are taken 0 times, repeated rows count each."""
+    own = ("doc_id", "source", "size", "source_size", "target", "taken", "finish", "rounds")
+    return mixing.mix(docs, carry=tuple(x for x in docs.columns if x not in own))
 
 
 STAGES = [
@@ -46,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage returns is written to the shared folder and read again, and deleted when the next one is written."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
