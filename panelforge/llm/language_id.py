@@ -20,6 +20,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 #: Bounds of the sample that the trees are fitted on: documents per language, characters per document, and documents in all (but one per language).
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 400, 8_000, 80_000
+#: Shares of up to so many languages are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Bytes whose code lengths are held at once, over all languages.
 PIECE_CELLS = 1 << 24
 ORDER = 4
@@ -46,7 +48,7 @@ def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, (each + 6 * each**0.5) / n)) for k, n in counts.items()], "lang string, share double")
     rows = labelled.select("lang", F.xxhash64("doc_id", F.substring("text", 1, chars)).alias("_key"), F.substring("text", 1, chars).alias("text"))
     low = F.shiftrightunsigned("_key", 11) < F.col("share") * F.lit(float(1 << 53))
-    rows = rows.join(shares, "lang").where(low)
+    rows = rows.join(F.broadcast(shares) if len(counts) <= BROADCAST_LANGUAGES else shares, "lang").where(low)
     picked = rows.groupBy("lang", "_key").agg(F.first("text").alias("text")).collect()  # of repeated rows one
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for r in picked:

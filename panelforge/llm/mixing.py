@@ -19,7 +19,7 @@ from pyspark.sql import Window
 from panelforge.llm.common import Scratch, materialize, words
 
 #: Rows that a range of the shuffle key has on average.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 
 def ranked(values: DataFrame, value: str, name: str) -> DataFrame:
