@@ -6,13 +6,18 @@ for each date of the panel, with a null where there is no value (see panelforge.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("panel_id", "ticker")
 METHODS = ("log", "simple")
 
 
+def day_keys(rates: DataFrame) -> list[str]:
+    """What rates are joined by: the panel and the date, or the date alone if all panels share them."""
+    return ["panel_id", "date"] if "panel_id" in rates.columns else ["date"]
+
+
 def along(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*(keys or KEYS)).orderBy(order)
 

@@ -53,3 +53,27 @@ def ewma_covariance(rets: np.ndarray, span: int, annualize: float | None = None,
     out = moving_covariance(used, decay, cov)
     out[: len(first)] = np.nan
     return out * annualize if annualize else out
+
+
+def prepared(x: np.ndarray, span: int, clip: bool = True, demean: bool = True, sigmas: float = 5.0) -> np.ndarray:
+    """One series of returns, outliers cut and the running mean taken off, as ewma_covariance() has it."""
+    if not len(x):
+        return x
+    decay, first = 1 - 2 / (1 + span), x[:span, None]
+    used = clip_by_volatility(x[:, None], decay, first.std(axis=0), sigmas) if clip else x[:, None]
+    return (used - moving_mean(used, decay, first.mean(axis=0)) if demean else used)[:, 0]
+
+
+def pair_covariance(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, span: int, alone: bool = False) -> np.ndarray:
+    """The covariances of one pair: started with the first span rows of the returns x and y, run on with the prepared u and v; NaN for these rows.
+
+    The population's variance starts a series that is alone, 0 a pair with one row.
+    """
+    first = min(span, len(x))
+    if alone:
+        start = x[:first].var()
+    else:
+        start = np.cov(x[:first], y[:first])[0, 1] if first > 1 else 0.0
+    out = moving_mean((u * v)[:, None], 1 - 2 / (1 + span), np.array([start]))[:, 0]
+    out[:first] = np.nan
+    return out

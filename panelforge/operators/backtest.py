@@ -6,10 +6,13 @@ one; on all other dates the state is the last one, and values are a join away.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.series import along, upto
+from panelforge.sources.panel import invalid_rows
 
 
 def targets(rebal: DataFrame, weights: DataFrame) -> DataFrame:
@@ -72,6 +75,18 @@ def backtest(prices: DataFrame, target: DataFrame, initial_cash: float = 1_000_0
     return held.select(*day, "nav", "cash", "cost", positions.alias("positions"))
 
 
+def run_backtest(prices: DataFrame, target: DataFrame, initial_cash: float = 1_000_000.0, cost_rate: float = 0.0010) -> DataFrame:
+    """backtest() after checking its input: raises ValueError for what invalid_rows() finds, warns of negative weights."""
+    if not target.limit(1).count():
+        raise ValueError("no rebalance date has target weights")
+    found = {r["problem"]: r["rows"] for r in invalid_rows(prices, target).collect() if r["rows"]}
+    if found.pop("weight negative", 0):
+        warnings.warn("negative weights", RuntimeWarning, stacklevel=2)
+    if found:
+        raise ValueError(f"a backtest can't take this: {found}")
+    return backtest(prices, target, initial_cash, cost_rate)
+
+
 def holdings(result: DataFrame) -> DataFrame:
     """(panel_id, date, ticker, units, price, weight), a row for each position of a backtest."""
     return result.select("panel_id", "date", F.inline("positions"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,21 @@ def rebalance_mask(dates: DataFrame, rebal: DataFrame) -> DataFrame:
     return dates.select("panel_id", "date").distinct().join(marked, ["panel_id", "date"], "left").select("panel_id", "date", F.coalesce("_on", F.lit(False)).alias("is_rebal"))
 
 
+def check_period(start: dt.date, end: dt.date, first: dt.date, last: dt.date, least_end: dt.date = dt.date(2022, 6, 1), years: float = 3.5, override: bool = False) -> tuple[dt.date, dt.date] | None:
+    """A requested period as the analysis takes it: long enough (unless override) and within the data (first to last); None if nothing of it is.
+
+    Raises ValueError for an end before least_end, and for a start that isn't before the end.
+    """
+    if end < least_end:
+        raise ValueError(f"the end must not be before {least_end}")
+    if start >= end:
+        raise ValueError("the start must be before the end")
+    if not override:
+        start = min(start, end - dt.timedelta(int(years * 365)))
+    start, end = max(start, first), min(end, last)
+    return (start, end) if start <= end else None
+
+
 def clamp_period(start: Column, end: Column, least_end: str = "2022-06-01", years: float = 3.5) -> tuple[Column, Column]:
     """A period whose end isn't before least_end and which lasts at least so many years."""
     end = F.greatest(end, F.lit(least_end).cast("date"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,11 @@ SCHEMA = "panel_id string, date date, i string, j string, cov double"
 
 
 def pairs(rets: DataFrame, value: str = "ret") -> DataFrame:
-    """(panel_id, date, i, j, x, y) of dates on which all tickers have a return; each unordered pair once, and each ticker with itself."""
+    """(panel_id, date, i, j, x, y, n tickers) of dates on which all tickers have a return; each unordered pair once, and each ticker with itself."""
     day = complete_dates(rets, value).groupBy("panel_id", "date").agg(F.sort_array(F.collect_list(F.struct(F.col("ticker").alias("i"), F.col(value).alias("x")))).alias("_r"))
     left = day.select("panel_id", "date", "_r", F.posexplode("_r").alias("_k", "a"))
-    return left.select("panel_id", "date", "a", F.explode(F.expr("slice(_r, _k + 1, size(_r))")).alias("b")).select("panel_id", "date", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.x").alias("x"), F.col("b.x").alias("y"))
+    both = left.select("panel_id", "date", "a", F.explode(F.expr("slice(_r, _k + 1, size(_r))")).alias("b"), F.size("_r").alias("n"))
+    return both.select("panel_id", "date", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.x").alias("x"), F.col("b.x").alias("y"), "n")
 
 
 def both_ways(cov: DataFrame) -> DataFrame:
@@ -40,29 +41,28 @@ def correlation(rets: DataFrame, value: str = "ret") -> DataFrame:
     return half.unionByName(half.where("i <> j").select("panel_id", F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
 
 
-def by_panel(rets: DataFrame, value: str, make: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """make(wide frame of complete rows, dates by tickers) for each panel; a panel has one value per date and ticker, so it is small."""
-
-    def run(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="date", columns="ticker", values=value).sort_index().dropna()
-        out = make(wide)
-        out.insert(0, "panel_id", key[0])
-        return out
-
-    return rets.select("panel_id", "date", "ticker", value).groupBy("panel_id").applyInPandas(run, schema)
+def ewma_covariance(rets: DataFrame, span: int, annualize: float | None = None, clip: bool = True, demean: bool = True, value: str = "ret") -> DataFrame:
+    """Exponentially weighted covariance of complete rows; null for the first span rows.
 
+    Series are cut and centred one by one, then every pair of them runs its recursion by itself.
+    """
 
-def ewma_covariance(rets: DataFrame, span: int, annualize: float | None = None, clip: bool = True, demean: bool = True, value: str = "ret") -> DataFrame:
-    """Exponentially weighted covariance of complete rows; null for the first span rows."""
+    def prepare(key: tuple[str, str], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        x = rows["ret"].to_numpy(np.float64)
+        return pd.DataFrame({"panel_id": key[0], "date": rows["date"], "ticker": key[1], "ret": x, "used": ewma.prepared(x, span, clip, demean)})
 
-    def make(wide: pd.DataFrame) -> pd.DataFrame:
-        names, n = list(wide.columns), len(wide.columns)
-        cov = ewma.ewma_covariance(wide.to_numpy(np.float64), span, annualize, clip, demean)
-        flat = pd.Series(cov.reshape(-1)).astype(object)
-        flat[flat.isna()] = None
-        return pd.DataFrame({"date": np.repeat(wide.index.to_numpy(), n * n), "i": np.tile(np.repeat(names, n), len(wide)), "j": np.tile(names, n * len(wide)), "cov": flat})
+    def run(key: tuple[str, str, str], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        x, y, u, v = (rows[c].to_numpy(np.float64) for c in ("x", "y", "u", "v"))
+        cov = pd.Series(ewma.pair_covariance(x, y, u, v, span, alone=rows["n"].iloc[0] == 1) * (annualize or 1.0), rows.index).astype(object)
+        return pd.DataFrame({"panel_id": key[0], "date": rows["date"], "i": key[1], "j": key[2], "cov": cov.where(cov.notna(), None)})
 
-    return by_panel(rets, value, make, SCHEMA)
+    whole = complete_dates(rets.select("panel_id", "date", "ticker", F.col(value).alias("ret")), "ret")
+    used = whole.groupBy("panel_id", "ticker").applyInPandas(prepare, "panel_id string, date date, ticker string, ret double, used double")
+    rows = pairs(used.select("panel_id", "date", "ticker", F.struct("ret", "used").alias("v")), "v")
+    rows = rows.select("panel_id", "date", "i", "j", F.col("x.ret").alias("x"), F.col("y.ret").alias("y"), F.col("x.used").alias("u"), F.col("y.used").alias("v"), "n")
+    return both_ways(rows.groupBy("panel_id", "i", "j").applyInPandas(run, SCHEMA))
 
 
 def ewma_moments(rets: DataFrame, span: int, value: str = "ret") -> DataFrame:
@@ -80,7 +80,8 @@ def ewma_moments(rets: DataFrame, span: int, value: str = "ret") -> DataFrame:
     return rets.select("panel_id", "date", "ticker", value).groupBy("panel_id", "ticker").applyInPandas(run, "panel_id string, date date, ticker string, clipped double, mean double, vol double")
 
 
-def latest(cov: DataFrame) -> DataFrame:
-    """The covariances of each panel's last date."""
+def latest_matrix(cov: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(panel_id, date, label, a column for each label): the covariances of each panel's last date as a matrix."""
     last = cov.groupBy("panel_id").agg(F.max("date").alias("date"))
-    return cov.join(last, ["panel_id", "date"], "left_semi")
+    rows = cov.join(last, ["panel_id", "date"], "left_semi").where(F.col("i").isin(list(labels)))
+    return rows.groupBy("panel_id", "date", F.col("i").alias("label")).pivot("j", list(labels)).agg(F.first("cov"))

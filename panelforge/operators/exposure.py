@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.series import along, fill_budget, full_window, lagged_return
+from panelforge.functions.series import along, day_keys, fill_budget, full_window, lagged_return
 from panelforge.kernels import regression
 
 MODES = ("rolling", "full")
+#: Dates whose windows are fitted in one task.
+BLOCK_ROWS = 250
 SCHEMA = "panel_id string, date date, term string, beta double, t_stat double, rsq double, resid_var double"
 
 
@@ -21,8 +23,9 @@ def regression_returns(levels: DataFrame, nav: DataFrame, rf: DataFrame, window:
     """
     rows = levels.select("panel_id", "date", F.col("factor").alias("series"), F.col("level").alias("v")).unionByName(nav.select("panel_id", "date", F.lit("nav").alias("series"), F.col("nav").alias("v")))
     w = along("panel_id", "series")
-    free = rf.select("date", F.log1p("rf").alias("_rf"))
-    rows = rows.join(free, "date", "left").select("panel_id", "date", "series", (lagged_return(F.col("v"), w, window) - window * F.coalesce("_rf", F.lit(0.0))).alias("x"))
+    on = day_keys(rf)
+    free = rf.select(*on, F.log1p("rf").alias("_rf"))
+    rows = rows.join(free, on, "left").select("panel_id", "date", "series", (lagged_return(F.col("v"), w, window) - window * F.coalesce("_rf", F.lit(0.0))).alias("x"))
     return rows.select("panel_id", "date", "series", fill_budget(F.col("x"), w).alias("x"))
 
 
@@ -35,7 +38,7 @@ def exposures(levels: DataFrame, nav: DataFrame, rf: DataFrame, mode: str = "rol
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
 
-    def run(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[str, ...], rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="date", columns="series", values="x").sort_index()
         names = [c for c in wide.columns if c != "nav"]
         x, y = wide[names].to_numpy(np.float64), wide["nav"].to_numpy(np.float64)
@@ -43,8 +46,12 @@ def exposures(levels: DataFrame, nav: DataFrame, rf: DataFrame, mode: str = "rol
             found = [np.array(v)[None] for v in regression.ols_hac(x, y, max_lags)]
             dates = wide.index[-1:]
         else:
-            found, dates = regression.rolling_ols_hac(x, y, lookback, max_lags, missing_share), wide.index
+            own = wide.index.get_indexer(rows.loc[rows["_own"], "date"].unique())
+            own.sort()
+            found, dates = [v[own] for v in regression.rolling_ols_hac(x, y, lookback, max_lags, missing_share)], wide.index[own]
         k = len(names) + 1
+        if not len(dates):
+            return pd.DataFrame(columns=[x.split()[0] for x in SCHEMA.split(", ")])
         out = pd.DataFrame({"panel_id": key[0], "date": np.repeat(dates.to_numpy(), k), "term": np.tile(["const", *names], len(dates))})
         for name, v in zip(("beta", "t_stat", "rsq", "resid_var"), found, strict=True):
             flat = pd.Series(np.asarray(v, np.float64).reshape(len(dates), -1).repeat(k if np.ndim(v) == 1 else 1, axis=1).reshape(-1)).astype(object)
@@ -52,7 +59,15 @@ def exposures(levels: DataFrame, nav: DataFrame, rf: DataFrame, mode: str = "rol
             out[name] = flat
         return out
 
-    return regression_returns(levels, nav, rf, window).groupBy("panel_id").applyInPandas(run, SCHEMA)
+    rows = regression_returns(levels, nav, rf, window)
+    if mode == "full":
+        return rows.groupBy("panel_id").applyInPandas(run, SCHEMA)
+    # windows don't depend on each other: blocks of dates, each with the rows before it that its windows reach
+    place = F.row_number().over(along("panel_id", "series")) - 1  # series are dense, so dates have one place
+    block = lambda x: F.floor(x / BLOCK_ROWS)
+    rows = rows.withColumn("_k", place).withColumn("_block", F.explode(F.sequence(block(F.col("_k")), block(F.col("_k") + lookback))))
+    rows = rows.withColumn("_own", block(F.col("_k")) == F.col("_block"))
+    return rows.groupBy("panel_id", "_block").applyInPandas(run, SCHEMA)
 
 
 def single_beta(x: DataFrame, factor: str) -> DataFrame:
@@ -75,11 +90,12 @@ def attribution(betas: DataFrame, levels: DataFrame, nav: DataFrame, rf: DataFra
     On dates that betas (without const), levels and nav share. Without betas the residual is the whole excess return.
     """
     w = along("panel_id", "factor")
-    free = rf.select("date", F.log1p("rf").alias("_rf"))
+    on = day_keys(rf)
+    free = rf.select(*on, F.log1p("rf").alias("_rf"))
     f = levels.select("panel_id", "date", "factor", lagged_return(F.col("level"), w).alias("_f"))
     p = nav.select("panel_id", "date", lagged_return(F.col("nav"), along("panel_id")).alias("_p"))
     b = betas.where(F.col("term") != "const").select("panel_id", "date", F.col("term").alias("factor"), "beta")
-    rows = b.join(f, ["panel_id", "date", "factor"]).join(p, ["panel_id", "date"]).join(free, "date")
+    rows = b.join(f, ["panel_id", "date", "factor"]).join(p, ["panel_id", "date"]).join(free, on)
     rows = rows.withColumn("contrib", F.col("beta") * (F.col("_f") - F.col("_rf")))
     total = rows.groupBy("panel_id", "date").agg(F.first("_p").alias("_p"), F.first("_rf").alias("_rf"), F.coalesce(F.sum("contrib"), F.lit(0.0)).alias("_c"))
     parts = (("RiskFree", F.col("_rf")), ("Residual", F.col("_p") - F.col("_rf") - F.col("_c")), ("Total", F.col("_p")))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.series import day_keys
 from panelforge.operators.covariance import ewma_covariance
 from panelforge.operators.returns import excess_returns
 from panelforge.kernels import regression
@@ -77,8 +78,9 @@ def construct(prices: DataFrame, rf: DataFrame, factors: tuple[Factor, ...], cov
     ex = excess_returns(prices.where(F.col("ticker").isin([f.ticker for f in factors])), rf, window)
     cov = ewma_covariance(ex.select("panel_id", "date", "ticker", F.col("exw").alias("ret")), cov_span)
     raw = residualize(ex.select("panel_id", "date", "ticker", F.col("ex1").alias("ret")), cov, factors)
-    free = rf.select("date", F.log1p("rf").alias("_rf"))
-    out = raw.join(free, "date", "left")
+    on = day_keys(rf)
+    free = rf.select(*on, F.log1p("rf").alias("_rf"))
+    out = raw.join(free, on, "left")
     if scale:
         vols = ewma_covariance(raw.select("panel_id", "date", F.col("factor").alias("ticker"), "ret"), scale_span, annualize=252.0)
         vols = vols.where("i = j").select("panel_id", "date", F.col("i").alias("factor"), F.nullif(F.sqrt("cov"), F.lit(0.0)).alias("_vol"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.series import along, fill_both_ways, padded_change
+from panelforge.functions.series import along, day_keys, fill_both_ways, padded_change
 
 CURRENCIES = ("USD", "EUR", "CHF")
 
@@ -24,10 +24,11 @@ def normalize(panel: DataFrame, assets: DataFrame, rates: DataFrame, base: str)
     if lost:
         raise ValueError(f"no rate between {base} and {lost}")
     known = panel.join(F.broadcast(assets.select("ticker", "currency")), "ticker", "left")  # a dimension of a few rows
-    direct = rates.select("date", F.col("pair").alias("_direct"), F.nullif("rate", F.lit(0.0)).alias("_times"))
-    inverse = rates.select("date", F.col("pair").alias("_inverse"), F.nullif("rate", F.lit(0.0)).alias("_over"))
+    on = day_keys(rates)
+    direct = rates.select(*on, F.col("pair").alias("_direct"), F.nullif("rate", F.lit(0.0)).alias("_times"))
+    inverse = rates.select(*on, F.col("pair").alias("_inverse"), F.nullif("rate", F.lit(0.0)).alias("_over"))
     known = known.withColumns({"_direct": F.concat("currency", F.lit(f"{base}=X")), "_inverse": F.concat(F.lit(base), F.col("currency"), F.lit("=X"))})
-    out = known.join(direct, ["date", "_direct"], "left").join(inverse, ["date", "_inverse"], "left")
+    out = known.join(direct, [*on, "_direct"], "left").join(inverse, [*on, "_inverse"], "left")
     has_direct = F.col("_direct").isin(sorted(pairs))
     price = F.when(F.col("currency").isNull() | (F.col("currency") == base), F.col("price")).when(has_direct, F.col("price") * F.col("_times")).otherwise(F.col("price") / F.col("_over"))
     return out.select("panel_id", "date", "ticker", price.alias("price"))
@@ -37,8 +38,9 @@ def triangulate(series: DataFrame, rates: DataFrame, base: str) -> DataFrame:
     """series (panel_id, date, price), quoted in USD, in the base currency: over the base's rate in USD, filled both ways on the series' dates."""
     if base == "USD":
         return series.select("panel_id", "date", "price")
-    rate = rates.where(F.col("pair") == f"{base}USD=X").select("date", "rate")
-    joined = series.join(rate, "date", "left")
+    on = day_keys(rates)
+    rate = rates.where(F.col("pair") == f"{base}USD=X").select(*on, "rate")
+    joined = series.join(rate, on, "left")
     full = fill_both_ways(F.col("rate"), along("panel_id"))
     return joined.select("panel_id", "date", F.try_divide("price", full).alias("price"))
 

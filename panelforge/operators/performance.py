@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.series import along, fill_budget, full_window, upto
+from panelforge.functions.series import along, day_keys, fill_budget, full_window, upto
 
 YEAR = 252
 
@@ -13,7 +13,7 @@ YEAR = 252
 def nav_returns(nav: DataFrame, rf: DataFrame) -> DataFrame:
     """(panel_id, date, nav, ret, excess): simple returns, and these less the risk-free rate (date, rf); missing rates are 0, up to five of them."""
     w = along("panel_id")
-    joined = nav.select("panel_id", "date", "nav").join(rf.select("date", "rf"), "date", "left")
+    joined = nav.select("panel_id", "date", "nav").join(rf.select(*day_keys(rf), "rf"), day_keys(rf), "left")
     joined = joined.withColumn("_rf", fill_budget(F.col("rf"), w)).withColumn("ret", F.try_divide("nav", F.lag("nav").over(w)) - 1)
     return joined.select("panel_id", "date", "nav", "ret", (F.col("ret") - F.col("_rf")).alias("excess"))
 
@@ -63,6 +63,15 @@ def trailing_returns(nav: DataFrame) -> DataFrame:
     return rows.groupBy("panel_id").agg(change(F.col("date") >= F.trunc("_last", "year"), "ytd"), *spans)
 
 
+def benchmark_excess(rets: DataFrame, benchmark: DataFrame, rf: DataFrame) -> DataFrame:
+    """(panel_id, date, excess, benchmark): nav_returns() beside the simple returns of benchmark (panel_id, date, price) on their dates, 0 where it has none, less the risk-free rate."""
+    on, price = day_keys(rf), F.col("price")
+    own = benchmark.select("panel_id", "date", (F.try_divide(price, F.lag(price).over(along("panel_id"))) - 1).alias("_b"))
+    rows = rets.select("panel_id", "date", "excess").join(own, ["panel_id", "date"], "left").join(rf.select(*on, "rf"), on, "left")
+    rows = rows.withColumn("_rf", fill_budget(F.col("rf"), along("panel_id")))
+    return rows.select("panel_id", "date", "excess", (F.coalesce("_b", F.lit(0.0)) - F.col("_rf")).alias("benchmark"))
+
+
 def rolling_volatility(rets: DataFrame, window: int = 126) -> DataFrame:
     """(panel_id, date, vol): yearly volatility of the last window excess returns, missing ones left out beforehand."""
     x = F.col("excess")
@@ -80,7 +89,7 @@ def monthly_returns(rets: DataFrame) -> DataFrame:
 
 
 def summary(rets: DataFrame) -> DataFrame:
-    """(panel_id, ord, metric, value, day): the key figures of nav_returns() in a fixed order; those that don't exist are left out."""
+    """(panel_id, ord, metric, value, day): the key figures of nav_returns() in a fixed order; those that don't exist are left out, but for Sharpe and Max drawdown, which are null then."""
     dd = drawdowns(rets)
     one = rets.groupBy("panel_id").agg(F.min("date").alias("start"), F.max("date").alias("end"))
     for more in (sharpe(rets), dd.groupBy("panel_id").agg(F.min("drawdown").alias("max_dd")), longest_drawdown(dd), trailing_returns(rets), cagr_and_vol(rets)):
@@ -99,4 +108,4 @@ def summary(rets: DataFrame) -> DataFrame:
         ("Annualized Historical Volatility", "vol", None),
     )
     rows = [F.struct(F.lit(k).alias("ord"), F.lit(name).alias("metric"), (F.col(v).cast("double") if v else F.lit(None).cast("double")).alias("value"), (F.col(d) if d else F.lit(None).cast("date")).alias("day")) for k, (name, v, d) in enumerate(figures, 1)]
-    return one.select("panel_id", F.inline(F.array(*rows))).where("value is not null or day is not null")
+    return one.select("panel_id", F.inline(F.array(*rows))).where("value is not null or day is not null or metric in ('Sharpe', 'Max drawdown')")

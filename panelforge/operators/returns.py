@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.series import along, fill_budget, growth_index, lagged_return, padded_change
+from panelforge.functions.series import along, day_keys, fill_budget, growth_index, lagged_return, padded_change
 from panelforge.sources.panel import densify
 
 
@@ -26,10 +26,11 @@ def growth(rets: DataFrame, method: str = "log") -> DataFrame:
 def excess_returns(panel: DataFrame, rf: DataFrame, window: int = 5) -> DataFrame:
     """(panel_id, date, ticker, ex1, exw): log returns over one row and over window rows, less the log risk-free rate once and window times.
 
-    rf is (date, rf), a simple daily rate. Missing returns are filled with 0 before the rate is taken off, up to five in a series.
+    rf is (date, rf), a simple daily rate, with a panel_id if panels have rates of their own. Missing returns are filled with 0 before the rate is taken off, up to five in a series.
     """
     w = along()
     both = densify(panel).select("panel_id", "date", "ticker", lagged_return(F.col("price"), w).alias("r1"), lagged_return(F.col("price"), w, window).alias("rw"))
     filled = both.select("panel_id", "date", "ticker", fill_budget(F.col("r1"), w).alias("r1"), fill_budget(F.col("rw"), w).alias("rw"))
-    free = rf.select("date", F.log1p("rf").alias("_rf"))
-    return filled.join(free, "date", "left").select("panel_id", "date", "ticker", (F.col("r1") - F.col("_rf")).alias("ex1"), (F.col("rw") - window * F.col("_rf")).alias("exw"))
+    on = day_keys(rf)
+    free = rf.select(*on, F.log1p("rf").alias("_rf"))
+    return filled.join(free, on, "left").select("panel_id", "date", "ticker", (F.col("r1") - F.col("_rf")).alias("ex1"), (F.col("rw") - window * F.col("_rf")).alias("exw"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,60 @@ def context_snapshot(summary: DataFrame, weights: DataFrame, current: DataFrame,
     risk = split.groupBy("panel_id").agg(F.max_by(F.struct(percent(F.col("systematic_share"), 1).alias("systematic"), percent(F.col("idio_share"), 1).alias("idiosyncratic")), "date").alias("variance"))
     rows = stats.join(current.select("panel_id", percent(F.col("current")).alias("current_drawdown")), "panel_id").join(held, "panel_id", "left").join(exposed, "panel_id", "left").join(risk, "panel_id", "left")
     return rows.select("panel_id", F.to_json(F.struct("summary_stats", "current_drawdown", "weights", "factor_exposures", "variance")).alias("json"))
+
+
+def ranked_risk(contribs: DataFrame, least: float | None = None) -> DataFrame:
+    """(panel_id, rank, label, exposure, mctr, ctr, ctr_pct, labelled) by falling share of risk, for each date's rows; labelled says whether the share is worth a label."""
+    place = F.row_number().over(Window.partitionBy("panel_id", "date").orderBy(F.desc_nulls_last("ctr_pct"), "label"))
+    rows = contribs.withColumn("rank", place).withColumn("labelled", F.coalesce(F.col("ctr_pct") >= 0.05, F.lit(False)))
+    rows = rows if least is None else rows.where(F.col("ctr_pct") >= least)
+    return rows.select("panel_id", "date", "rank", "label", "exposure", "mctr", "ctr", "ctr_pct", "labelled")
+
+
+def markdown_risk(ranked: DataFrame) -> DataFrame:
+    """(panel_id, table): ranked_risk() of one date as a Markdown table with four decimals."""
+    cell = lambda x: F.when(F.col(x).isNull(), "nan").otherwise(F.format_string("%.4f", x))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "label", *map(cell, ("exposure", "mctr", "ctr", "ctr_pct"))), F.lit(" |"))
+    head = "| label | exposure | mctr | ctr | ctr_pct |\n| --- | --- | --- | --- | --- |\n"
+    lines = ranked.groupBy("panel_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("_l"))  # a row for each asset or factor
+    return lines.select("panel_id", F.concat(F.lit(head), F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("table"))
+
+
+def symmetric_range(monthly: DataFrame) -> DataFrame:
+    """(panel_id, low, high): the largest distance of a monthly return from 0, both ways."""
+    far = F.greatest(F.abs(F.least(F.min("ret"), F.lit(0.0))), F.greatest(F.max("ret"), F.lit(0.0)))
+    return monthly.groupBy("panel_id").agg((-far).alias("low"), far.alias("high"))
+
+
+def month_cells(monthly: DataFrame) -> DataFrame:
+    """Monthly returns with their order on show: years falling, months rising."""
+    place = F.row_number().over(Window.partitionBy("panel_id").orderBy(F.desc("year"), "month"))
+    return monthly.select("panel_id", place.alias("place"), "year", "month", "ret")
+
+
+def by_beta(latest: DataFrame) -> DataFrame:
+    """latest_betas() with their order on show: falling betas."""
+    return latest.withColumn("place", F.row_number().over(Window.partitionBy("panel_id").orderBy(F.desc("beta"), "factor")))
+
+
+def shown_factors(present: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(place, factor): those of an ordered list of names that stand in present (factor)."""
+    listed = present.sparkSession.createDataFrame(list(enumerate(order, 1)), "place long, factor string")
+    return listed.join(present.select("factor").distinct(), "factor", "left_semi").select("place", "factor")
+
+
+def cost_in_bps(rate: Column) -> Column:
+    return F.format_string("Transaction costs: %.1f bps per trade", rate * 10_000)
+
+
+def risk_free_note(bases: DataFrame, proxies: dict[str, str], assets: DataFrame) -> DataFrame:
+    """(base, note): for each currency of bases (base) the ticker that its risk-free rate is made of, and what that is, as far as known."""
+    key = F.upper(F.trim("base"))
+    known = bases.sparkSession.createDataFrame(sorted(proxies.items()), "_key string, ticker string")
+    rows = bases.withColumn("_key", key).join(F.broadcast(known), "_key", "left").join(F.broadcast(assets.select("ticker", "description")), "ticker", "left")  # a few rows each
+    note = (
+        F.when(F.col("ticker").isNull(), F.format_string("The risk-free rate follows the base currency (%s)", "base"))
+        .when(F.col("description").isNull(), F.format_string("Risk-free rate: %s (base currency %s)", "ticker", "base"))
+        .otherwise(F.format_string("Risk-free rate: %s, %s (base currency %s)", "ticker", "description", "base"))
+    )
+    return rows.select("base", note.alias("note"))

@@ -5,6 +5,7 @@ Dates are shown as text and floats rounded, so that results can be compared with
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 from panelforge.functions import series
 from panelforge.operators import backtest as bt
 from panelforge.operators import calendar, covariance, exposure, factors, fx, performance, returns, risk, views
+from panelforge.plans import analysis
 from panelforge.sources import dims, panel
 from panelforge.sources.shared import written
 
+#: Covariances are shown by year, in squared percent.
+SHOWN = 252e4
 #: Spans for the derived panel's length (the defaults need about a thousand complete dates).
 COV_SPAN, SCALE_SPAN, LOOKBACK, RISK_WINDOW, TREND = 120, 60, 120, 63, 126
 TICKERS = [f"T{k}" for k in range(1, 8)]
@@ -23,18 +27,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _KEPT.clear()  # a query sees its input as it is now, whatever ran before
+        return f(spark, sf_dir)
 
+    fresh.__name__ = f.__name__
+    QUERIES[f.__name__] = fresh
+    return fresh
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+_KEPT: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Writes what f returns to the shared folder, once for each session and input: queries that build on it have short plans."""
+    """Writes what f returns to the shared folder, once in a query: what builds on it has a short plan, and steps needed twice run once."""
 
     def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, f.__name__)
+        key = (sf_dir, f.__name__)
         if key not in _KEPT:
             _KEPT[key] = written(f(spark, sf_dir), f.__name__)
         return _KEPT[key]
@@ -81,6 +90,14 @@ def rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.risk_free(yields(spark, sf_dir), "USD").select("date", "rf")
 
 
+def money(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
+    """(panel_id, date, value): what the base currency's risk-free rate is made of."""
+    if base == "USD":
+        return yields(spark, sf_dir)
+    ticker = dims.RISK_FREE[base]
+    return dense(spark, sf_dir).where(F.col("ticker") == ticker).select("panel_id", "date", F.col("price").alias("value"))
+
+
 @shared
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.densify(prices(spark, sf_dir))
@@ -190,11 +207,9 @@ def fx_triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def risk_free_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dense(spark, sf_dir)
     out = fx.risk_free(yields(spark, sf_dir), "USD").select("panel_id", "date", F.lit("USD").alias("base"), "rf")
-    for base, ticker in (("EUR", "T3"), ("CHF", "T4")):
-        money = d.where(F.col("ticker") == ticker).select("panel_id", "date", F.col("price").alias("value"))
-        out = out.unionByName(fx.risk_free(money, base).select("panel_id", "date", F.lit(base).alias("base"), "rf"))
+    for base in ("EUR", "CHF"):
+        out = out.unionByName(fx.risk_free(money(spark, sf_dir, base), base).select("panel_id", "date", F.lit(base).alias("base"), "rf"))
     return shown(out, "date", "base", rf=8)
 
 
@@ -302,7 +317,7 @@ def drawdown_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(performance.drawdowns(portfolio_returns(spark, sf_dir)).agg(F.min("drawdown").alias("max_dd")), max_dd=6)
+    return shown(performance.drawdowns(portfolio_returns(spark, sf_dir)).groupBy("panel_id").agg(F.min("drawdown").alias("max_dd")), max_dd=6)
 
 
 @query
@@ -359,7 +374,7 @@ def log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sample_cov_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(covariance.sample_covariance(log_returns(spark, sf_dir), RISK_WINDOW, 252e4), "date", "i", "j", cov=4)
+    return shown(covariance.sample_covariance(log_returns(spark, sf_dir), RISK_WINDOW, SHOWN), "date", "i", "j", cov=4)
 
 
 @query
@@ -374,12 +389,12 @@ def ewma_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ewma_cov_noclip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(covariance.ewma_covariance(log_returns(spark, sf_dir), 63, 252e4, clip=False, demean=False), "date", "i", "j", cov=4)
+    return shown(covariance.ewma_covariance(log_returns(spark, sf_dir), 63, SHOWN, clip=False, demean=False), "date", "i", "j", cov=4)
 
 
 @query
 def ewma_cov_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(covariance.ewma_covariance(log_returns(spark, sf_dir), 63, 252e4), "date", "i", "j", cov=4)
+    return shown(covariance.ewma_covariance(log_returns(spark, sf_dir), 63, SHOWN), "date", "i", "j", cov=4)
 
 
 @shared
@@ -562,3 +577,88 @@ def context_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = risk.variance_split(factor_risk(spark, sf_dir), fits.where("term = 'const'"))
     summary = performance.summary(performance.nav_returns(result, rf(spark, sf_dir)))
     return views.context_snapshot(summary, views.latest_weights(bt.holdings(result)), performance.current_drawdown(result), views.latest_betas(fits, dims.factors(spark)), split)
+
+
+@query
+def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one call by other parameters than the queries above: in EUR, from the month ends, at even weights."""
+    request = analysis.Request("EUR", dt.date(1980, 1, 1), dt.date(2010, 1, 1), "month_end", {"T1": 0.5, "T2": 0.5}, least_end=dt.date(1995, 1, 1))
+    found = analysis.portfolio_tables(prices(spark, sf_dir), dims.assets(spark), rates(spark, sf_dir), money(spark, sf_dir, "EUR"), request)
+    return shown(found["summary"], "ord", "metric", "day", value=6)
+
+
+# tables for display
+
+
+@query
+def benchmark_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = prices(spark, sf_dir).where("ticker = 'T6'").select("panel_id", "date", "price")
+    return shown(performance.benchmark_excess(portfolio_returns(spark, sf_dir), other, rf(spark, sf_dir)), "date", excess=8, benchmark=8)
+
+
+@query
+def latest_cov_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = covariance.latest_matrix(covariance.sample_covariance(log_returns(spark, sf_dir), RISK_WINDOW, SHOWN), TICKERS)
+    return shown(m, "date", "label", **dict.fromkeys(TICKERS, 4))
+
+
+@query
+def risk_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = risk.contributions(risk.pick_dates(asset_exposures(spark, sf_dir)), asset_cov(spark, sf_dir))
+    return shown(views.ranked_risk(c), "rank", "label", "labelled", ctr_pct=6)
+
+
+@query
+def risk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = risk.contributions(risk.pick_dates(asset_exposures(spark, sf_dir)), asset_cov(spark, sf_dir))
+    return views.markdown_risk(views.ranked_risk(c)).select("table")
+
+
+@query
+def monthly_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(views.symmetric_range(performance.monthly_returns(portfolio_returns(spark, sf_dir))), low=6, high=6)
+
+
+@query
+def monthly_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(views.month_cells(performance.monthly_returns(portfolio_returns(spark, sf_dir))), "place", "year", "month", ret=6)
+
+
+@query
+def risk_free_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the currencies of the assets that the panel has, and one that no rate is known for."""
+    held = prices(spark, sf_dir).select("ticker").distinct().join(dims.assets(spark), "ticker").select(F.lower("currency").alias("base")).distinct()
+    return views.risk_free_note(held.unionByName(spark.createDataFrame([("xyz",)], "base string")), dims.RISK_FREE, dims.assets(spark))
+
+
+@query
+def backtest_cost_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trade day's cost, and the rate it comes to on what is traded."""
+    result = portfolio_backtest(spark, sf_dir)
+    traded = bt.turnover(result).join(result.select("panel_id", "date", "nav", "cost").where("cost > 0"), ["panel_id", "date"])
+    return traded.select(F.col("date").cast("string").alias("date"), views.cost_in_bps(F.col("cost") / (F.col("turnover") * F.col("nav"))).alias("note"), r("cost", 4))
+
+
+@query
+def period_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each month of the panel as a requested start, its last date as the end: the period that the rules make of it."""
+    span = prices(spark, sf_dir).groupBy("panel_id", F.trunc("date", "month").alias("start")).agg(F.max("date").alias("end"))
+    start, end = calendar.clamp_period(F.col("start"), F.col("end"), "1995-06-01")
+    return span.select(F.col("start").cast("string").alias("asked"), start.cast("string").alias("start"), end.cast("string").alias("end"))
+
+
+@query
+def ticker_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.ticker_union(prices(spark, sf_dir), dims.assets(spark), dims.factors(spark))
+
+
+@query
+def present_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = prices(spark, sf_dir).select("ticker").distinct().join(dims.factors(spark).where("size(parents) < 4"), "ticker").select(F.col("name").alias("factor"))
+    return views.shown_factors(have, [f.name for f in reversed(dims.FACTORS)])
+
+
+@query
+def betas_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.by_beta(views.latest_betas(fitted(spark, sf_dir), dims.factors(spark)))
+    return shown(t, "place", "factor", beta=6)

@@ -106,13 +106,24 @@ ew AS (
   UNION ALL
   SELECT o.t, o.i, o.j, o.date, (1 - 0.96875::DOUBLE) * xy + 0.96875::DOUBLE * e.c FROM ew e JOIN ordered o ON o.i = e.i AND o.j = e.j AND o.t = e.t + 1
 )"""
-_ASSET_COV = f"""simple AS (SELECT date, 'T1' AS ticker, p1 / lag(p1) OVER (ORDER BY date) - 1 AS ret FROM two UNION ALL SELECT date, 'T2', p2 / lag(p2) OVER (ORDER BY date) - 1 FROM two),
-live AS (SELECT * FROM simple WHERE ret IS NOT NULL), {pairs('live', 'ret')},
-cov AS (SELECT date, i, j, CASE WHEN count(*) OVER w = 63 THEN covar_samp(x, y) OVER w END AS cov FROM pairs WINDOW w AS (PARTITION BY i, j ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
-sx AS (SELECT h.date, i AS label, sum(cov * h.weight) AS sx FROM cov c JOIN held h ON h.date = c.date AND h.ticker = c.j GROUP BY 1, 2),
+_SIMPLE = """simple AS (SELECT date, 'T1' AS ticker, p1 / lag(p1) OVER (ORDER BY date) - 1 AS ret FROM two UNION ALL SELECT date, 'T2', p2 / lag(p2) OVER (ORDER BY date) - 1 FROM two),
+live AS (SELECT * FROM simple WHERE ret IS NOT NULL)"""
+_RISK = """sx AS (SELECT h.date, i AS label, sum(cov * h.weight) AS sx FROM cov c JOIN held h ON h.date = c.date AND h.ticker = c.j GROUP BY 1, 2),
 vols AS (SELECT s.date, CASE WHEN sum(weight * sx) > 0 THEN sqrt(sum(weight * sx)) END AS vol FROM sx s JOIN held h ON h.date = s.date AND h.ticker = s.label GROUP BY s.date),
 rc AS (SELECT s.date, s.label, h.weight AS exposure, vol, sx / vol AS mctr, h.weight * sx / vol AS ctr, h.weight * sx / vol / vol AS ctr_pct
        FROM sx s JOIN held h ON h.date = s.date AND h.ticker = s.label JOIN vols v ON v.date = s.date)"""
+_ASSET_COV = f"""{_SIMPLE}, {pairs('live', 'ret')},
+cov AS (SELECT date, i, j, CASE WHEN count(*) OVER w = 63 THEN covar_samp(x, y) OVER w END AS cov FROM pairs WINDOW w AS (PARTITION BY i, j ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
+{_RISK}"""
+#: Covariances of what _EWMA has cut and centred.
+_EWFULL = """used AS (SELECT e.t, e.ticker, e.date, o.ret, e.clipped - e.m AS u FROM ew e JOIN ordered o ON o.ticker = e.ticker AND o.t = e.t WHERE e.t > 0),
+duo AS (SELECT a.t, a.date, a.ticker AS i, b.ticker AS j, a.ret AS x, b.ret AS y, a.u * b.u AS uv FROM used a JOIN used b ON a.date = b.date),
+opening AS (SELECT i, j, covar_samp(x, y) AS c FROM duo WHERE t <= 63 GROUP BY i, j),
+ewc AS (
+  SELECT CAST(0 AS BIGINT) AS t, i, j, CAST(NULL AS DATE) AS date, c FROM opening
+  UNION ALL
+  SELECT d.t, d.i, d.j, d.date, (1 - 0.96875::DOUBLE) * d.uv + 0.96875::DOUBLE * e.c FROM ewc e JOIN duo d ON d.i = e.i AND d.j = e.j AND d.t = e.t + 1
+)"""
 _RC = f"SELECT {D}, label, {x('exposure')}, {x('vol', 6, 'vol * sqrt(252.0::DOUBLE)')}, {x('mctr', 6, 'mctr * sqrt(252.0::DOUBLE)')}, {x('ctr', 6, 'ctr * sqrt(252.0::DOUBLE)')}, {x('ctr_pct')} FROM rc"
 _FIT = f"""lv AS (
   SELECT date, ln(price / lag(price, 5) OVER (ORDER BY date)) AS f FROM complete WHERE ticker = 'T1'
@@ -160,7 +171,8 @@ SQL: dict[str, str] = {
 SELECT 'price missing or not finite' AS problem, count(*) FILTER (price IS NULL) AS rows FROM grid
 UNION ALL SELECT 'price not positive', count(*) FILTER (price <= 0) FROM grid
 UNION ALL SELECT 'weight missing or not finite', 0 UNION ALL SELECT 'weight negative', count(*) FILTER (weight < 0) FROM wanted
-UNION ALL SELECT 'weight without price', count(*) FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM tickers t WHERE t.ticker = w.ticker)""",
+UNION ALL SELECT 'weight without price', count(*) FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM tickers t WHERE t.ticker = w.ticker)
+UNION ALL SELECT 'price without weight', count(*) FROM tickers WHERE ticker NOT IN ('T1', 'T2', 'T9')""",
         HOLIDAYS.format(days="days"),
     ).replace("\n,", ","),
     "returns_log": grid_returns(f"ln(price / lag(price) {W})"),
@@ -204,7 +216,7 @@ FROM (SELECT date, ticker, last_value(price IGNORE NULLS) {W} AS f FROM grid WHE
         BACKTEST,
         ASSETS,
     ),
-    "perf_summary": of(f"SELECT CAST(ord AS BIGINT) AS ord, metric, day, {x('value')} FROM lines WHERE value IS NOT NULL OR day IS NOT NULL", BACKTEST, _SUMMARY),
+    "perf_summary": of(f"SELECT CAST(ord AS BIGINT) AS ord, metric, day, {x('value')} FROM lines WHERE value IS NOT NULL OR day IS NOT NULL OR metric IN ('Sharpe', 'Max drawdown')", BACKTEST, _SUMMARY),
     "ytd_trailing_returns": of(f"SELECT {x('ytd')}, {x('m3')}, {x('m6')}, {x('y1')} FROM figures", BACKTEST, _SUMMARY),
     "cagr_vol": of(f"SELECT {x('cagr')}, {x('vol')} FROM figures", BACKTEST, _SUMMARY),
     "sharpe": of(f"SELECT {x('sharpe')} FROM figures", BACKTEST, _SUMMARY),
@@ -257,4 +269,46 @@ WHERE y.ticker = 'T3'""",
     "beta_rolling_single": of(
         f"SELECT {D}, {x('beta', 6, 'CASE WHEN count(*) OVER w = 120 THEN covar_samp(y, x) OVER w / var_samp(x) OVER w END')} FROM fit WINDOW w AS (ORDER BY date ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)", BACKTEST, _FIT
     ),
+    "ewma_cov_full": of(f"SELECT {D}, i, j, {x('cov', 4, 'CASE WHEN t > 63 THEN c * 2520000.0::DOUBLE END')} FROM ewc WHERE t > 0", _LOG, _EWMA, _EWFULL),
+    "risk_asset_ewma": of(_RC, BACKTEST, _SIMPLE, _EWMA, _EWFULL, "cov AS (SELECT date, i, j, CASE WHEN t > 63 THEN c END AS cov FROM ewc WHERE t > 0)", _RISK),
+    "benchmark_excess": of(
+        f"SELECT CAST(r.date AS VARCHAR) AS date, {x('excess', 8)}, {x('benchmark', 8, 'coalesce(b, 0) - rf')} FROM rets r JOIN rf ON rf.date = r.date LEFT JOIN (SELECT date, price / lag(price) OVER (ORDER BY date) - 1 AS b FROM panel WHERE ticker = 'T6') k ON k.date = r.date",
+        BACKTEST,
+    ),
+    "latest_cov_matrix": of(
+        f"SELECT {D}, i AS label, " + ", ".join(f"round(max(cov) FILTER (j = 'T{k}') * 2520000.0::DOUBLE, 4) + 0.0::DOUBLE AS T{k}" for k in range(1, 8)) + " FROM cov WHERE date = (SELECT max(date) FROM cov) GROUP BY date, i",
+        _LOG,
+        pairs("live", "ret"),
+        "cov AS (SELECT date, i, j, CASE WHEN count(*) OVER w = 63 THEN covar_samp(x, y) OVER w END AS cov FROM pairs WINDOW w AS (PARTITION BY i, j ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))",
+    ),
+    "risk_ranked": of(f"SELECT row_number() OVER (ORDER BY ctr_pct DESC NULLS LAST, label) AS rank, label, coalesce(ctr_pct >= 0.05, false) AS labelled, {x('ctr_pct')} FROM rc WHERE date = (SELECT max(date) FROM held)", BACKTEST, _ASSET_COV),
+    "risk_markdown": of(
+        """SELECT '| label | exposure | mctr | ctr | ctr_pct |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY ctr_pct DESC NULLS LAST, label) AS "table"
+FROM (SELECT label, ctr_pct, printf('| %s | %.4f | %.4f | %.4f | %.4f |', label, exposure, mctr * sqrt(252.0::DOUBLE), ctr * sqrt(252.0::DOUBLE), ctr_pct) AS line FROM rc WHERE date = (SELECT max(date) FROM held))""",
+        BACKTEST,
+        _ASSET_COV,
+    ),
+    "monthly_range": of(f"SELECT {x('low', 6, '-far')}, {x('high', 6, 'far')} FROM (SELECT greatest(abs(least(min(ret), 0)), greatest(max(ret), 0)) AS far FROM monthly)", BACKTEST, _MONTHS),
+    "monthly_cells": of(f"SELECT row_number() OVER (ORDER BY year DESC, month) AS place, year, month, {x('ret')} FROM monthly", BACKTEST, _MONTHS),
+    "risk_free_notes": of(
+        """SELECT base, CASE base WHEN 'usd' THEN 'Risk-free rate: ^IRX (base currency usd)' WHEN 'xyz' THEN 'The risk-free rate follows the base currency (xyz)'
+  ELSE 'Risk-free rate: ' || p.ticker || ', ' || a.description || ' (base currency ' || base || ')' END AS note
+FROM (SELECT DISTINCT lower(currency) AS base FROM assets JOIN tickers USING (ticker) UNION ALL SELECT 'xyz') b LEFT JOIN (VALUES ('eur', 'T3'), ('chf', 'T4')) AS p(k, ticker) ON p.k = b.base LEFT JOIN assets a ON a.ticker = p.ticker""",
+        ASSETS,
+    ),
+    "backtest_cost_note": of(f"SELECT {D}, printf('Transaction costs: %.1f bps per trade', cost / moved * 10000) AS note, {x('cost', 4)} FROM nav WHERE cost > 0", BACKTEST),
+    "period_rules": of(
+        """SELECT CAST(CAST(m AS DATE) AS VARCHAR) AS asked, CAST(least(CAST(m AS DATE), fin - 1277) AS VARCHAR) AS start, CAST(fin AS VARCHAR) AS "end"
+FROM (SELECT date_trunc('month', date) AS m, greatest(max(date), DATE '1995-06-01') AS fin FROM panel GROUP BY 1)"""
+    ),
+    "ticker_union": of("SELECT ticker FROM tickers UNION SELECT 'T' || k FROM (SELECT unnest(range(1, 8)) AS k)"),
+    "present_factors": of("SELECT CAST(place AS BIGINT) AS place, factor FROM (VALUES (3, 'ForeignCurrency', 'T5'), (4, 'Commodities', 'T4'), (5, 'Credit', 'T3'), (6, 'Rates', 'T2'), (7, 'Equity', 'T1')) AS f(place, factor, ticker) JOIN tickers USING (ticker)"),
+    "analysis_summary": of(
+        f"SELECT CAST(ord AS BIGINT) AS ord, metric, day, {x('value')} FROM lines WHERE value IS NOT NULL OR day IS NOT NULL OR metric IN ('Sharpe', 'Max drawdown')",
+        RATES,
+        f"euro AS (SELECT date, coalesce(f / lag(f) OVER (ORDER BY date) - 1, 0) AS rf FROM (SELECT date, last_value(price IGNORE NULLS) {W} AS f FROM grid WHERE ticker = 'T3'))",
+        "local AS (SELECT p.date, ticker, price / rate AS price FROM panel p JOIN rates r ON r.date = p.date AND pair = 'EURUSD=X')",
+        BACKTEST.replace("FROM panel WHERE ticker IN", "FROM local WHERE ticker IN").replace("IN (SELECT date FROM starts)", "IN (SELECT date FROM ends)").replace("0.6::DOUBLE", "0.5::DOUBLE").replace("0.4::DOUBLE", "0.5::DOUBLE").replace("JOIN rf ON rf.date", "JOIN euro rf ON rf.date"),
+        _SUMMARY,
+    ),
 }

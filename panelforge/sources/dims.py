@@ -1,8 +1,8 @@
-"""Dimension tables: assets, factors and their parents, currencies, rebalance policies, settings."""
+"""Dimension tables: assets, factors and their parents, currencies, portfolios."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,30 +26,6 @@ class Factor:
     parents: tuple[str, ...] = ()
 
 
-@dataclass(frozen=True)
-class Settings:
-    """Defaults that results depend on."""
-
-    fill_limit: int = 5
-    days_in_year: int = 252
-    initial_cash: float = 1_000_000.0
-    cost_rate: float = 0.0010
-    smoothing_window: int = 5
-    lookback: int = 120
-    risk_span: int = 63
-    cov_span: int = 750
-    scale_span: int = 120
-    target_vol: float = 0.15
-    max_lags: int = 5
-    missing_share: float = 0.10
-    ridge: float = 1e-7
-    clip_sigmas: float = 5.0
-    corridor: float = 0.02
-    trend_window: int = 126
-    significance: float = 1.96
-    parents: dict[str, tuple[str, ...]] = field(default_factory=dict)
-
-
 #: The universe of the derived panel: seven tickers that stand for seven asset classes.
 ASSETS = (
     Asset("Stocks", "Equity", "T1", "USD", "Broad stock basket"),
@@ -70,6 +46,8 @@ FACTORS = (
     Factor("Value", "T6", "cheap stocks", _FOUR),
     Factor("Momentum", "T7", "recent winners", _FOUR),
 )
+#: What the risk-free rate of a currency is made of.
+RISK_FREE = {"USD": "^IRX", "EUR": "T3", "CHF": "T4"}
 PORTFOLIO = {"T1": 0.6, "T2": 0.4}
 
 

@@ -122,15 +122,30 @@ def cached_or_loaded(spark: SparkSession, cache: str, source: PriceSource, requi
 
 
 def clamp(panel: DataFrame, start: str, end: str) -> DataFrame:
-    """The rows between start and end, both included, as far as the panel goes."""
+    """The rows between start and end, both included, as far as the panel goes; none if it has no date in between."""
     return _between(panel, start, end)
 
 
+def write_wide_csv(panel: DataFrame, path: str, tickers: Sequence[str]) -> None:
+    """One panel's prices as CSV files that WideCsvSource reads: Date and a column for each ticker, by date."""
+    wide = to_wide(panel, tickers).withColumnRenamed("date", "Date")
+    wide.select("Date", *(f"`{t}`" for t in tickers)).orderBy("Date").write.mode("overwrite").csv(path, header=True)
+
+
+def ticker_union(*tables: DataFrame) -> DataFrame:
+    """(ticker): the tickers of all tables, each once."""
+    out = tables[0].select("ticker")
+    for more in tables[1:]:
+        out = out.unionByName(more.select("ticker"))
+    return out.distinct()
+
+
 def invalid_rows(prices: DataFrame, weights: DataFrame) -> DataFrame:
     """(problem, rows) for prices (date, ticker, price) and target weights (date, ticker, weight) that a backtest can't take."""
     bad = lambda x: F.col(x).isNull() | F.isnan(x) | (F.abs(F.col(x)) == float("inf"))
     one = prices.agg(F.count_if(bad("price")).alias("price missing or not finite"), F.count_if(F.col("price") <= 0).alias("price not positive"))
     two = weights.agg(F.count_if(bad("weight")).alias("weight missing or not finite"), F.count_if(F.col("weight") < 0).alias("weight negative"))
     lost = weights.join(prices.select("date", "ticker"), ["date", "ticker"], "left_anti").agg(F.count(F.lit(1)).alias("weight without price"))
-    parts = [x.unpivot([], x.columns, "problem", "rows") for x in (one, two, lost)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    unused = prices.join(weights.select("ticker").distinct(), "ticker", "left_anti").agg(F.count_distinct("ticker").alias("price without weight"))
+    parts = [x.unpivot([], x.columns, "problem", "rows") for x in (one, two, lost, unused)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
