@@ -24,8 +24,12 @@ def pairs(rets: DataFrame, value: str = "ret") -> DataFrame:
     return both.select("panel_id", "date", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.x").alias("x"), F.col("b.x").alias("y"), "n")
 
 
-def both_ways(cov: DataFrame) -> DataFrame:
-    return cov.unionByName(cov.where("i <> j").select("panel_id", "date", F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
+def both_ways(half: DataFrame) -> DataFrame:
+    """Each pair (i, j) as (j, i) too, in one pass."""
+    same, turned = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    ways = F.when(F.col("i") == F.col("j"), F.array(same)).otherwise(F.array(same, turned))
+    rest = [c for c in half.columns if c not in ("i", "j")]
+    return half.select(*rest, F.inline(ways)).select(*half.columns)
 
 
 def sample_covariance(rets: DataFrame, window: int, annualize: float = 1.0, value: str = "ret") -> DataFrame:
@@ -37,8 +41,7 @@ def sample_covariance(rets: DataFrame, window: int, annualize: float = 1.0, valu
 
 def correlation(rets: DataFrame, value: str = "ret") -> DataFrame:
     """(panel_id, i, j, corr) over all complete dates, both ways."""
-    half = pairs(rets, value).groupBy("panel_id", "i", "j").agg(F.corr("x", "y").alias("corr"))
-    return half.unionByName(half.where("i <> j").select("panel_id", F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
+    return both_ways(pairs(rets, value).groupBy("panel_id", "i", "j").agg(F.corr("x", "y").alias("corr")))
 
 
 def ewma_covariance(rets: DataFrame, span: int, annualize: float | None = None, clip: bool = True, demean: bool = True, value: str = "ret") -> DataFrame:

@@ -14,6 +14,7 @@ from panelforge.operators.covariance import ewma_covariance
 from panelforge.operators.returns import excess_returns
 from panelforge.kernels import regression
 from panelforge.sources.dims import Factor, check_factors
+from panelforge.sources.shared import written
 
 RESIDUAL = "panel_id string, date date, factor string, ret double"
 
@@ -75,9 +76,10 @@ def construct(prices: DataFrame, rf: DataFrame, factors: tuple[Factor, ...], cov
     lost = [f.ticker for f in factors if f.ticker not in present]
     if lost:
         raise ValueError(f"prices lack {lost}")
-    ex = excess_returns(prices.where(F.col("ticker").isin([f.ticker for f in factors])), rf, window)
+    # both are needed twice
+    ex = written(excess_returns(prices.where(F.col("ticker").isin([f.ticker for f in factors])), rf, window), "excess")
     cov = ewma_covariance(ex.select("panel_id", "date", "ticker", F.col("exw").alias("ret")), cov_span)
-    raw = residualize(ex.select("panel_id", "date", "ticker", F.col("ex1").alias("ret")), cov, factors)
+    raw = written(residualize(ex.select("panel_id", "date", "ticker", F.col("ex1").alias("ret")), cov, factors), "raw")
     on = day_keys(rf)
     free = rf.select(*on, F.log1p("rf").alias("_rf"))
     out = raw.join(free, on, "left")

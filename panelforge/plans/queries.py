@@ -503,7 +503,8 @@ def beta_rolling_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(exposure.single_beta_rolling(proxy_inputs(spark, sf_dir), "T1", LOOKBACK), "date", beta=6)
 
 
-FIT = {"beta": 6, "t_stat": 4, "rsq": 6, "resid_var": 8}
+#: t statistics in the thousands have no more digits that two orders of summation share.
+FIT = {"beta": 6, "t_stat": 2, "rsq": 6, "resid_var": 8}
 
 
 @query
@@ -519,12 +520,12 @@ def beta_rolling_multi_hac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rolling_beta_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(views.rolling_betas(fitted(spark, sf_dir)), "date", "factor", beta=6, t_stat=4)
+    return shown(views.rolling_betas(fitted(spark, sf_dir)), "date", "factor", beta=6, t_stat=2)
 
 
 @query
 def latest_beta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(views.latest_betas(fitted(spark, sf_dir), dims.factors(spark)), "factor", "significant", "color_key", "note", beta=6, t_stat=4)
+    return shown(views.latest_betas(fitted(spark, sf_dir), dims.factors(spark)), "factor", "significant", "color_key", "note", beta=6, t_stat=2)
 
 
 @shared
