@@ -179,5 +179,16 @@ prior AS (SELECT mean, CASE WHEN room AND between > 0 THEN least(greatest(within
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (SELECT (h.f + mean * strength) / (h.n + strength) <= 0.5 FROM prior) AS kept
 FROM judged j JOIN hosts h ON h.source IS NOT DISTINCT FROM j.source
+""",
+    "op10_suffix_dedup": r"""
+WITH bytes AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS d, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT r, i, md5(d[i + 1:i + 200]) AS s FROM (SELECT r, d, unnest(range(0, n - 199)) AS i FROM bytes)),
+hits AS (SELECT r, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+runs AS (
+  SELECT r, min(i) AS low, max(i) + 200 AS high FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true)::INT AS fresh FROM hits)) GROUP BY r, g
+), pieces AS (SELECT r, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY low) AS a, low AS b FROM (SELECT r, low, high FROM runs UNION ALL SELECT r, n, n FROM bytes)),
+kept AS (SELECT r, sha256(unhex(string_agg(hex(d[a + 1:b]), '' ORDER BY a))) AS kept_sha256 FROM pieces JOIN bytes USING (r) GROUP BY r),
+cut AS (SELECT r, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM bytes JOIN kept USING (r) LEFT JOIN cut USING (r)
 """,
 }
