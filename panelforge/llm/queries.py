@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, repeat_spans, secret_scan, url_filter
+from panelforge.llm import (
+    chat_format, decontaminate, jaccard_join, language_id, license_scan, mixing, personal_data, prefix_trie, quality_rules, repeat_spans, secret_scan, structure_sql, turn_repair, url_filter,
+)
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -70,7 +72,62 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_spans.strip_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_jaccard_join, op4_chat_format, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_quality_rules, op10_suffix_dedup)}
+def grafted(convs: DataFrame) -> DataFrame:
+    """convs (conv_id, turns) rebuilt: the first h turns of conversation c - c % 5, then c's own after its first h; h is crc32 of c's decimals, modulo 9.
+
+    A null conv_id stays as it is.
+    """
+    c, h = F.col("conv_id"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    first = convs.select(c.alias("_base"), F.col("turns").alias("_first"))
+    both = convs.withColumns({"_base": c - c % 5, "_h": h}).join(first, "_base", "left")
+    head = F.coalesce(F.slice("_first", 1, F.col("_h")), F.expr(f"cast(array() as {prefix_trie.TURNS})"))
+    tail = F.when(F.size("turns") > F.col("_h"), F.slice("turns", F.col("_h") + 1, F.size("turns"))).otherwise(F.expr(f"cast(array() as {prefix_trie.TURNS})"))
+    return both.select("conv_id", F.when(c.isNull(), F.col("turns")).otherwise(F.concat(head, tail)).alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(grafted(prefix_trie.turn_lists(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    own = F.filter("findings", lambda x: x["kind"].isin(*personal_data.BASE))
+    return found.select("doc_id", *map(count, personal_data.BASE), F.sha2(listed(own).cast("binary"), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """rows with faults by crc32(conv_id:turn) % 20: 0 drops a row, 1 empties its text, 2 removes its . ! ?, 3 repeats it, 4 makes it a user's; nulls are one space."""
+    blank = F.lit(" ")
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), (F.crc32(name.cast("binary")) % 20).alias("_fault"))
+    rows = rows.where("_fault <> 0").withColumn("_copy", F.explode(F.when(F.col("_fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", F.when(F.col("_fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    found = turn_repair.audit_conversations(damaged(rows)).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct()
+    out = every.join(found, every["conv_id"].eqNullSafe(found["_conv"]), "left")
+    zero = {x: F.coalesce(x, F.lit(0).cast("long")).alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return out.select("conv_id", *zero.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_url_filter, op3_jaccard_join, op4_chat_format, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_quality_rules, op10_suffix_dedup,
+        op11_prefix_trie, op12_personal_data, op13_turn_repair,
+    )
+}
 
 SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -191,4 +248,7 @@ kept AS (SELECT r, sha256(unhex(string_agg(hex(d[a + 1:b]), '' ORDER BY a))) AS
 cut AS (SELECT r, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM bytes JOIN kept USING (r) LEFT JOIN cut USING (r)
 """,
+    "op11_prefix_trie": structure_sql.PREFIX_TRIE,
+    "op12_personal_data": structure_sql.PERSONAL_DATA,
+    "op13_turn_repair": structure_sql.TURN_REPAIR,
 }
