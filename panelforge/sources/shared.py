@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 #: With it, Spark removes a query's shuffle files when the query has ended; what was written doesn't need them.
@@ -25,12 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # for this write only: other plans may be run again and then need their files
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +40,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _written(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
 
 
+def at_path(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """The file system of a path and the path in it, as Hadoop has them."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, there = at_path(spark, path)
+    return system.exists(there)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, there = at_path(spark, path)
+    system.delete(there, True)
+
+
 class Scratch:
     """The intermediate tables of one computation, in one folder of the shared folder; drop() deletes those that nothing needs any more."""
 
@@ -59,6 +76,5 @@ class Scratch:
         for name in names:
             paths = self.paths.get(name, [])
             for path in paths[: len(paths) - last]:
-                at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                delete(self.spark, path)
             self.paths[name] = paths[len(paths) - last :]
