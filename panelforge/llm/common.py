@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelforge.sources.shared import Scratch, shared_folder
+from panelforge.sources.shared import Scratch, exists, shared_folder
 from panelforge.sources.shared import written as materialize
 
-__all__ = ["BLANK", "Scratch", "chars_outside", "materialize", "shared_folder", "word_chars", "words"]
+__all__ = ["BLANK", "Scratch", "chars_outside", "column", "exists", "materialize", "shared_folder", "word_chars", "words"]
 
 #: Characters between words.
 BLANK = "\\x20\\x09-\\x0D"
@@ -28,3 +28,8 @@ def chars_outside(text: Column, dropped: str) -> Column:
 def word_chars(text: Column) -> Column:
     """How many code points of the text stand in words."""
     return chars_outside(text, _BLANKS)
+
+
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`").alias(name)

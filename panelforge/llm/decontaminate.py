@@ -180,7 +180,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
     Short items, which may be everyday words, count with drop_short only. Null and empty texts, repeated rows and further
     columns of any name stay as they are; an empty table gives an empty one.
     """
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
+    docs = docs.toDF(*(f"_c{k}" for k in range(len(names))))  # whatever they are called
 
     def clean(rows: DataFrame, shared: Broadcast) -> DataFrame:
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
             for batch in batches:
                 yield batch.filter(pa.array([not match_text(fold(t), known, machine) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        return rows.mapInArrow(kept, docs.schema)
+        return rows.mapInArrow(kept, rows.schema)
 
     count = item_blocks(benchmark, block_chars)
     for k in range(count):
@@ -198,4 +200,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
         if count > 1:
             docs = materialize(docs, "clean")
             shared.unpersist()
-    return docs
+    return docs.toDF(*names)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BLANK, Scratch, materialize
+from panelforge.llm.common import BLANK, Scratch, column, materialize
 from panelforge.llm.shingles import U, mixed, shingle_codes
 
 #: Bits of the smallest bit sketch.
@@ -443,7 +443,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text
     kept = materialize(alone.unionByName(_components(classes, labels).select("rep")).select(*key("rep.doc", "rep.t")), "kept")
     scratch.drop("sets", "components", "classes")
 
-    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    plain = [column(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = _keyed(docs, text, F.xxhash64(*plain).alias("_order"), F.struct("*").alias("row"))  # so that no column of docs clashes with one of ours
     filled = F.coalesce("_text", F.lit("")).rlike(f"[^{BLANK}]")
     one = F.row_number().over(Window.partitionBy("_t", "_none", "_id").orderBy("_order"))  # each task passes on one row of a key

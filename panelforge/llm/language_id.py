@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-#: Bounds of the sample that the trees are fitted on: documents per language, characters per document, and documents in all (but one per language).
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 400, 8_000, 80_000
-#: Shares of up to so many languages are broadcast.
-BROADCAST_LANGUAGES = 100_000
+#: Bounds of the sample that the trees are fitted on: pieces per language, characters per piece, pieces in all (but one per language), and languages.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL, SAMPLE_LANGUAGES = 400, 8_000, 2_000, 1_000
+#: Languages whose code lengths stand in one table.
+TABLE_LANGUAGES = 8
 #: Bytes whose code lengths are held at once, over all languages.
 PIECE_CELLS = 1 << 24
 ORDER = 4
@@ -33,26 +33,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, docs_in_all: int = SAMPLE_ALL) -> list[tuple[str, str]]:
-    """(lang, text) to learn from: of each language docs_per_language rows at most, fewer if there are so many languages that docs_in_all wouldn't do, but one at least.
+def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, docs_in_all: int = SAMPLE_ALL, languages: int = SAMPLE_LANGUAGES) -> list[tuple[str, str]]:
+    """(lang, text) to learn from: of each language docs_per_language pieces at most, fewer if there are so many languages that docs_in_all wouldn't do, but one at least.
 
-    Only rows with a language and a text that isn't empty or held out; of longer texts the first chars characters; by a hash
-    of id and text. The languages' counts tell which hashes are low enough, so no language is gathered in a task. The bounds
-    hold at every input size, and no language is left out.
+    Whole texts are cut into pieces of chars characters, and pieces are chosen by a hash of what they say, so a piece counts
+    once however many rows repeat it, and any part of a long text may be chosen. Only rows with a language and a text that
+    isn't empty or held out. The languages' counts tell which hashes are low enough, and the lowest one is always taken, so no
+    language is gathered in a task and none is lost. The bounds hold at every input size; if a table has more than
+    so many languages, those with the most different pieces are learned.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    piece = F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chars}}}"), F.lit(0)))
+    pieces = labelled.select("lang", piece.alias("text")).withColumn("_key", F.shiftrightunsigned(F.xxhash64("text"), 11))
+    counts = pieces.groupBy("lang").agg(F.count_distinct("_key").alias("n"), F.min("_key").alias("low")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return []
     each = min(docs_per_language, max(1, docs_in_all // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, (each + 6 * each**0.5) / n)) for k, n in counts.items()], "lang string, share double")
-    rows = labelled.select("lang", F.xxhash64("doc_id", F.substring("text", 1, chars)).alias("_key"), F.substring("text", 1, chars).alias("text"))
-    low = F.shiftrightunsigned("_key", 11) < F.col("share") * F.lit(float(1 << 53))
-    rows = rows.join(F.broadcast(shares) if len(counts) <= BROADCAST_LANGUAGES else shares, "lang").where(low)
-    picked = rows.groupBy("lang", "_key").agg(F.first("text").alias("text")).collect()  # of repeated rows one
+    limits = [(r["lang"], max(r["low"], int(min(1.0, (each + 6 * each**0.5) / r["n"]) * (1 << 53)))) for r in counts]
+    shares = docs.sparkSession.createDataFrame(limits, "lang string, limit long")
+    rows = pieces.join(F.broadcast(shares), "lang").where(F.col("_key") <= F.col("limit"))  # a row for each of a bounded number of languages
+    picked = rows.groupBy("lang", "_key").agg(F.first("text").alias("text")).collect()  # of repeated pieces one
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for r in picked:
-        by_lang.setdefault(r["lang"], []).append((r["_key"] % (1 << 64), r["text"]))
+        by_lang.setdefault(r["lang"], []).append((r["_key"], r["text"]))
     return [(lang, text) for lang in sorted(by_lang) for _, text in sorted(by_lang[lang])[:each]]
 
 
@@ -74,6 +77,12 @@ class Trees:
     def __init__(self, sample: list[tuple[str, str]], order: int = ORDER):
         self.languages = sorted({lang for lang, _ in sample})
         self.order = order
+        self.rates: np.ndarray | None = None
+        groups = [self.languages[k : k + TABLE_LANGUAGES] for k in range(0, len(self.languages), TABLE_LANGUAGES)]
+        # a table has a column for each language and a row for each run that any of them knows: few languages a table, so that memory goes with the sample
+        self.parts = [Trees([x for x in sample if x[0] in group], order) for group in map(set, groups)] if len(groups) > 1 else []
+        if self.parts:
+            return
         n = len(self.languages)
         texts = {lang: [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for x, t in sample if x == lang] for lang in self.languages}
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,6 +127,8 @@ class Trees:
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text in every language: a row per text. Texts are coded one by one, together in one array; a very long one in pieces."""
+        if self.parts:
+            return np.hstack([part.code_lengths(texts) for part in self.parts])
         most = max(1 << 12, PIECE_CELLS // max(1, len(self.languages)))
         if any(len(t) > most for t in texts):
             return np.stack([self._in_pieces(t, most) if len(t) > most else self.code_lengths([t])[0] for t in texts])
@@ -125,7 +136,7 @@ class Trees:
         data = np.frombuffer(b"".join(texts), np.uint8)
         starts = np.cumsum(size) - size
         place = np.arange(len(data)) - np.repeat(starts, size)  # within its text
-        total = np.zeros((len(data), len(self.languages)), np.float32) if len(data) else np.zeros((0, len(self.languages)), np.float32)
+        total = np.zeros((len(data), len(self.languages)))
         whole = grams(data, self.order + 1)
         full = place[self.order :] >= self.order
         if full.all():
@@ -144,6 +155,9 @@ class Trees:
             out[filled] = np.add.reduceat(total, starts[filled], axis=0, dtype=np.float64)
         return out
 
+    def typical_rates(self) -> np.ndarray:
+        """Bits a byte that unseen text of each language takes, at most 8: by trees of three quarters of its pieces, the others coded; of a language with one piece 8."""
+        return self.rates if self.rates is not None else np.full(len(self.languages), 8.0)
 
     def _in_pieces(self, text: bytes, most: int) -> np.ndarray:
         total = self.code_lengths([text[:most]])[0]
@@ -152,6 +166,25 @@ class Trees:
         return total
 
 
+def fitted(sample: list[tuple[str, str]], order: int = ORDER) -> Trees:
+    """The trees of all pieces, with the rates that a quarter of them takes under trees of the rest."""
+    trees = Trees(sample, order)
+    tried: dict[str, list[str]] = {}
+    learned: list[tuple[str, str]] = []
+    for k, (lang, text) in enumerate(sample):
+        if k % 4 == 3:
+            tried.setdefault(lang, []).append(text)
+        else:
+            learned.append((lang, text))
+    some = Trees(learned, order)
+    trees.rates = np.full(len(trees.languages), 8.0)
+    for at, lang in enumerate(some.languages):
+        texts = [t.encode("utf-8", "surrogatepass") for t in tried.get(lang, [])]
+        if texts:
+            trees.rates[trees.languages.index(lang)] = min(8.0, some.code_lengths(texts)[:, at].sum() / sum(map(len, texts)))
+    return trees
+
+
 def search(known: np.ndarray, runs: np.ndarray) -> np.ndarray:
     """The place of each run among the known ones, or -1."""
     if not len(known):
@@ -195,7 +228,7 @@ def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", ca
     no special case; columns that aren't asked for aren't read.
     """
     if trees is None:
-        trees = Trees(training_sample(docs))
+        trees = Trees(training_sample(docs.select("doc_id", "lang", F.col(text).alias("text"))))
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(F.col(text).rlike("\\p{L}"), F.col(text)).alias("_text"), *carry)
     rows = rows.toDF(*(f"_{k}" for k in range(3 + len(carry))))
@@ -228,16 +261,30 @@ def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", ca
     return rows.mapInArrow(scored, StructType([StructField(f"_{k}", kind) for k, (_, kind) in enumerate(out)])).toDF(*(name for name, _ in out))
 
 
-def keep_identified(docs: DataFrame, trees: Trees | None = None, text: str = "text") -> DataFrame:
-    """docs without the rows that have no text, or no letter in it, whose language is und; where nothing could be learned all others stay, too.
+#: A text may take so many bits more than its limit: short ones tell little.
+SLACK_BITS = 64.0
 
-    Null ids, repeated and very long rows are rows like others, columns may have any names, an empty table gives an empty one.
+
+def keep_identified(docs: DataFrame, trees: Trees | None = None, text: str = "text", slack: float = SLACK_BITS) -> DataFrame:
+    """docs without the rows that are in no known language: those without a text or a letter in it, and those that the best tree hardly compresses.
+
+    The limit lies half-way between what unseen text of the predicted language takes (measured on a quarter of the sample,
+    under trees of the rest) and the 8 bits of a byte that no tree knows anything of; slack bits a text are added. A text
+    in a script that nothing was learned of, or of random characters, goes; noise within prose stays. Where nothing could
+    be learned, all rows with a letter stay. Null ids, repeated and very long rows are rows like others, columns may
+    have any names, an empty table gives an empty one.
     """
     names = docs.columns
+    plain = docs.toDF(*(f"_c{k}" for k in range(len(names))))
+    at = {x: plain[f"_c{names.index(x)}"] for x in ("doc_id", "lang", text)}
+    plain = plain.withColumns({"doc_id": at["doc_id"], "lang": at["lang"], "text": at[text]})
     if trees is None:
-        trees = Trees(training_sample(docs.select("doc_id", "lang", F.col(text).alias("text"))))
+        trees = fitted(training_sample(plain.select("doc_id", "lang", "text")))
+    own = tuple(f"_c{k}" for k in range(len(names)))
     if not trees.languages:
-        return docs.where(F.col(text).rlike("\\p{L}"))
-    plain = docs.toDF(*(f"_{x}" for x in names)).withColumns({"doc_id": F.col("_doc_id"), "lang": F.col("_lang"), "text": F.col(f"_{text}")})
-    found = identify(plain, trees, carry=tuple(f"_{x}" for x in names))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"_{x}").alias(x) for x in names))
+        return plain.where(F.col("text").rlike("\\p{L}")).select(*own).toDF(*names)
+    found = identify(plain, trees, carry=own)
+    limits = F.create_map(*(F.lit(x) for lang, rate in zip(trees.languages, trees.typical_rates(), strict=True) for x in (lang, float(rate + 8.0) / 2)))
+    size = F.octet_length(F.col(own[names.index(text)]))
+    low = F.col("bits_per_byte") * size <= F.try_element_at(limits, F.col("lang_pred")) * size + slack
+    return found.where((F.col("lang_pred") != UNKNOWN) & low).select(*own).toDF(*names)

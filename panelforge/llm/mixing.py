@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from panelforge.llm.common import Scratch, materialize, words
+from panelforge.llm.common import Scratch, column, materialize, words
 
 #: Rows that a range of the shuffle key has on average.
 RANGE_ROWS = 1024
@@ -80,18 +80,18 @@ def mix(
     Sources in code point order, null last, weigh as weights says, repeating. Together they get budget_share times all
     sizes (at most passes times); no source more than passes times its size, and what it can't use goes to the others by weight.
     taken (long) is how many words the mix takes, over all passes; finish is the virtual finish time of the first pass; rounds
-    says how many passes take the document whole; target is what the source has been served at the cut. size: a long column,
+    says how many passes take the document whole; a column of these that has the name of a carried one is called mix_ and its name; target is what the source has been served at the cut. size: a long column,
     by default the number of words. A null text has size 0, is taken 0 times and keeps its row; so do rows with null ids, and
-    repeated rows count each. An empty table gives an empty result; other columns, whatever their names, aren't read.
+    repeated rows count each. Rows of one id are served in the order of their texts' codes, so reruns agree on which text is taken. An empty table gives an empty result; other columns, whatever their names, aren't read.
     """
-    row = [F.struct(*carry).alias("_row")] if carry else []
+    row = [F.struct(*(column(x) for x in carry)).alias("_row")] if carry else []
     size = F.size(words(F.col("text"))).cast("long") if size is None else size
-    sized = docs.select("doc_id", F.col(source).alias("_source"), size.alias("size"), *([F.xxhash64("text").alias("_text")] if "text" in docs.columns else [F.lit(0).cast("long").alias("_text")]), *row)
+    sized = docs.select("doc_id", column(source).alias("_source"), size.alias("size"), *([F.xxhash64("text").alias("_text")] if "text" in docs.columns else [F.lit(0).cast("long").alias("_text")]), *row)
     # 60 bits of a digest that other engines have, too; rows without an id are told apart by their texts
     name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.col("_text").cast("string")), F.col("size").cast("string"))
     key = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
     scratch = Scratch(docs.sparkSession, "mix")
-    sized = scratch.write(sized.select("doc_id", "_source", "size", key.alias("_key"), *(["_row"] if carry else [])), "sized")
+    sized = scratch.write(sized.select("doc_id", "_source", "size", "_text", key.alias("_key"), *(["_row"] if carry else [])), "sized")
 
     sources = sized.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     sources = ranked(sources, "_source", "sources")
@@ -108,7 +108,7 @@ def mix(
     ranges = sized.groupBy(*keys).agg(F.sum("size").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0).cast("long")))
     shares = sources.select(F.col("_source").isNull().alias("_null"), F.coalesce("_source", F.lit("")).alias("_name"), "source_size", "weight", "cap")
     ranges = ranges.join(shares, ["_null", "_name"]).drop("_sum")
-    upto = Window.partitionBy(*keys).orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*keys).orderBy("_key", "doc_id", "size", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     queue = sized.join(ranges, keys).withColumn("_end", F.col("_start") + F.sum("size").over(upto))
     queue = scratch.write(queue.drop("_null", "_name", "_range", "_start", "_key"), "queue")
     scratch.drop("sized")
@@ -123,4 +123,7 @@ def mix(
         served = served + F.least(F.greatest(quota - start, F.lit(0).cast("long")), F.col("size"))
     out = queue.withColumns({"finish": F.col("_end") / F.col("weight"), "taken": served, "target": target})
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return out.select("doc_id", F.col("_source").alias(source), "size", "source_size", "target", "taken", "finish", whole.alias("rounds"), *(F.col("_row")[x].alias(x) for x in carry)).orderBy("finish", "doc_id")
+    own = {"doc_id": F.col("doc_id"), source: F.col("_source"), **{x: F.col(x) for x in ("size", "source_size", "target", "taken", "finish")}, "rounds": whole}
+    # the order is set first: what is shown may have any names
+    ordered = out.orderBy("finish", "doc_id", "_text")
+    return ordered.select(*(v.alias(f"mix_{x}" if x in carry else x) for x, v in own.items()), *(F.col("_row").getField(x).alias(x) for x in carry))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialize, shared_folder
+from panelforge.llm.common import column, exists, materialize, shared_folder
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def blob_id(text: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, rank, start, end, value) for all matches in blobs (blob, text); places in code points, end exclusive.
+    """(blob, kind, rank, start, end) for all matches in blobs (blob, text); places in code points, end exclusive.
 
     Matches of a kind are the leftmost non-overlapping ones; those that are too short are dropped after matching. Blobs
     are taken to be distinct; empty texts have no findings.
@@ -64,29 +64,35 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     # the rows of one blob only, so a window is as long as a text has matches
     until = "sum(before + length(value)) over (partition by blob, rank order by i rows between unbounded preceding and current row)"
     rows = rows.withColumn("end", F.expr(until)).withColumn("start", F.col("end") - F.length("value"))
-    return rows.where("weight >= least").select("blob", "kind", "rank", F.col("start").cast("long"), F.col("end").cast("long"), "value")
+    return rows.where("weight >= least").select("blob", "kind", "rank", F.col("start").cast("long"), F.col("end").cast("long"))
 
 
-FINDINGS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
+FINDINGS = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
 class Ledger:
-    """Blobs that were scanned, by rule version: a table (blob, rule_version, findings) at a path, by default a new one in the shared folder.
+    """Blobs that were scanned, by rule version: a table (blob, findings) for each version under a path, by default a new one in the shared folder.
 
-    findings are (start, rank, end, kind, value), by start, then rank; empty where the blob has none. Every scan adds its files.
+    findings are (start, rank, end, kind), by start, then rank; empty where the blob has none: places only, the secrets
+    themselves aren't stored. Every scan adds its files; a blob that two scans at once have found new stands there twice,
+    with the same findings, and is read once.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
-        spark.createDataFrame([], f"blob string, rule_version int, findings {FINDINGS}").write.mode("append").parquet(self.path)
+
+    def _of(self, rule_version: int) -> str:
+        return f"{self.path}/rule_version={rule_version}"
 
     def read(self, rule_version: int) -> DataFrame:
-        """(blob, findings) of what was scanned under the rule version."""
-        rows = self.spark.read.schema(f"blob string, rule_version int, findings {FINDINGS}").parquet(self.path)
-        return rows.where(F.col("rule_version") == rule_version).select("blob", "findings")
+        """(blob, findings), a row for each blob that was scanned under the rule version; other versions' files aren't read."""
+        schema = f"blob string, findings {FINDINGS}"
+        if not exists(self.spark, self._of(rule_version)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._of(rule_version)).dropDuplicates(["blob"])
 
-    def add(self, scanned: DataFrame) -> None:
-        scanned.select("blob", "rule_version", "findings").write.mode("append").parquet(self.path)
+    def add(self, scanned: DataFrame, rule_version: int) -> None:
+        scanned.select("blob", "findings").write.mode("append").parquet(self._of(rule_version))
 
 
 def new_blobs(versions: DataFrame, ledger: Ledger, rule_version: int = RULE_VERSION) -> DataFrame:
@@ -99,21 +105,21 @@ def new_blobs(versions: DataFrame, ledger: Ledger, rule_version: int = RULE_VERS
 def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
     """Scans the contents in versions (blob, text, ...) that the ledger lacks and adds them to it; returns what it then has of findings, (blob, findings) where there are any."""
     fresh = new_blobs(versions, ledger, rule_version)
-    entry = F.struct("start", F.col("rank").cast("int").alias("rank"), "end", "kind", "value")
+    entry = F.struct("start", F.col("rank").cast("int").alias("rank"), "end", "kind")
     found = scan_blobs(fresh, rules).groupBy("blob").agg(F.sort_array(F.collect_list(entry)).alias("findings"))
     found = materialize(found, "findings")
     new = versions.select("blob").join(ledger.read(rule_version).select("blob"), "blob", "left_anti").distinct()
-    ledger.add(new.join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings")))
+    ledger.add(new.join(found, "blob", "left").select("blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings")), rule_version)
     return ledger.read(rule_version).where(F.size("findings") > 0)
 
 
 def scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Scans all versions in docs that the ledger (by default an empty one) hasn't seen, and adds them to it: path, blob, and findings, empty where there are none, for each row of docs.
+    """Scans all versions in docs that the ledger (by default an empty one) hasn't seen, and adds them to it: path, blob, and findings (start, rank, end, kind), empty where there are none, for each row of docs.
 
     Null texts are empty texts, very long ones are scanned whole. Rows with a null path and repeated rows keep a row each; an
     empty table gives an empty result; other columns aren't read.
     """
-    versions = docs.select(F.col(path).alias("_path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
+    versions = docs.select(column(path).alias("_path"), F.coalesce(column(text), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
     found = scan_versions(versions, ledger or Ledger(docs.sparkSession), rules, rule_version)
     by_path = versions.select("_path", "blob").join(found, "blob", "left")
     return by_path.select(F.col("_path").alias(path), "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
@@ -125,7 +131,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger:
     Null texts stay null; rows with null ids and repeated rows are rows like others; columns may have any names; an empty
     table gives an empty one.
     """
-    rows = docs.select(blob_id(F.col(text)).alias("blob"), F.col(text).alias("_text"), F.struct("*").alias("row"))  # so that no names clash
+    rows = docs.select(blob_id(column(text)).alias("blob"), column(text).alias("_text"), F.struct("*").alias("row"))  # so that no names clash
     found = scan_versions(rows.select("blob", F.coalesce("_text", F.lit("")).alias("text")), ledger or Ledger(docs.sparkSession))
     rows = rows.join(found, "blob", "left")
     cut = F.aggregate(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -40,11 +42,34 @@ def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
     counts = np.diff(np.concatenate([[0], np.searchsorted(first, ends)]))
-    # a word's code: the sum of its bytes' codes times powers of BASE, as a difference of running sums, moved to place 0
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_CODE[LOWER[data]] * powers(BASE, len(data)), out=sums[1:])
-    back = powers(U(pow(int(BASE), -1, 2**64)), len(data))
-    return mixed((sums[last] - sums[first]) * back[first] + (last - first).astype(U)), counts
+    return _digests(LOWER[data], first, last - first), counts
+
+
+#: Words longer than so many bytes are digested one by one.
+LONG = 256
+
+
+def _digests(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The code of each word: its length and then its bytes, eight at a time, go through a bijection that starts from the last result.
+
+    Unlike sums of powers, which are equal for certain pairs of words whatever their base, this has no known structure. Of
+    long words the BLAKE2 digest is taken.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,)) if len(data) else np.zeros(1, U)
+    codes = mixed(size.astype(U) * PLACE_CODE[60] ^ PLACE_CODE[61])
+    chained = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(chained):
+        left = size[chained] - at
+        part = eights[first[chained] + at]
+        part = np.where(left < 8, part & ((U(1) << (np.minimum(left, 7) * 8).astype(U)) - U(1)), part)
+        codes[chained] = mixed(mixed(codes[chained] ^ part) + PLACE_CODE[62])
+        at += 8
+        chained = chained[left > 8]
+    for k in np.flatnonzero(size > LONG):
+        codes[k] = int.from_bytes(blake2b(data[first[k] : first[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
+    return codes
 
 
 def shingle_codes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from panelforge.llm import jaccard_join, queries
+from panelforge.llm import shingles as shingles_module
 from tests.llm.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,3 +207,17 @@ def test_every_link_is_listed(spark, monkeypatch, tile):
     degrees = sorted((str(docs[k][0]), sum(k in p for p in near)) for k in range(len(docs)))
     assert sorted((str(r["doc_id"]), r["n_links"]) for r in jaccard_join.linked(df).collect()) == degrees
     assert jaccard_join.links(df.where("false")).count() == jaccard_join.linked(df.where("false")).count() == 0
+
+
+def test_words_with_structure_have_codes_of_their_own():
+    words = []
+    for size in (1024, 2048, 4096):
+        a = "".join("ab"[k.bit_count() % 2] for k in range(size))
+        words += [a, a.translate({97: "b", 98: "a"})]
+    rng = random.Random(2)
+    words += ["".join(rng.choice("ab") for _ in range(n)) for n in (7, 8, 9, 15, 16, 17, 255, 256, 257, 600) for _ in range(40)]
+    words += ["a" * n for n in range(1, 300)] + ["a" * n + "\0" for n in range(1, 20)]
+    words = list(dict.fromkeys(words))
+    codes, counts = shingles_module.word_codes([" ".join(words).encode(), b"", b" A  a "])
+    assert counts.tolist() == [len(words), 0, 2] and len(set(codes.tolist())) == len(words)
+    assert codes[-1] == codes[-2] == codes[words.index("a")]
