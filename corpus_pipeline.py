@@ -14,7 +14,7 @@ from panelforge.llm.common import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is null, empty or without a letter go: they have no language. Repeated rows and null ids stay as they are."""
+    """Documents in no known language go: without a text or a letter in it, or hardly compressed by any language's tree. Repeated rows and null ids stay as they are."""
     return language_id.keep_identified(docs)
 
 
@@ -37,9 +37,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in its order: the documents with size, source_size, target, taken, finish, rounds; null texts are taken 0 times, repeated rows count each."""
-    own = ("doc_id", "source", "size", "source_size", "target", "taken", "finish", "rounds")
-    return mixing.mix(docs, carry=tuple(x for x in docs.columns if x not in own))
+    """The mix in its order: the documents with size, source_size, target, taken, finish, rounds; null texts are taken 0 times, repeated rows count each.
+
+    Where the documents have a column of such a name, it stays, and the mix's own is called mix_size and so on.
+    """
+    return mixing.mix(docs, carry=tuple(x for x in docs.columns if x not in ("doc_id", "source")))
 
 
 STAGES = [
