@@ -45,11 +45,6 @@ def forward_fill(x: Column, w: WindowSpec, limit: int | None = None) -> Column:
     return F.last(x, ignorenulls=True).over(frame)
 
 
-def fill_both_ways(x: Column, w: WindowSpec) -> Column:
-    """Forward fill, and before the first value that value."""
-    return F.coalesce(forward_fill(x, w), F.first(x, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-
-
 def fill_budget(x: Column, w: WindowSpec, value: float = 0.0, limit: int = 5) -> Column:
     """value for the first limit nulls of the whole series; later nulls stay."""
     used = F.sum(x.isNull().cast("long")).over(upto(w))
@@ -62,12 +57,6 @@ def padded_change(x: Column, w: WindowSpec) -> Column:
     return F.try_divide(full, F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))) - 1
 
 
-def growth_index(ret: Column, w: WindowSpec, method: str = "log") -> Column:
-    """Value of 1 invested before the first row; rows without a return stay null and count as no change."""
-    total = F.exp(F.sum(ret).over(upto(w))) if check_method(method) == "log" else F.product(1 + ret).over(upto(w))
-    return F.when(ret.isNotNull(), total)
-
-
 def full_window(x: Column, value: Column, w: WindowSpec, rows: int) -> Column:
     """value over the last so many rows, null unless all of them have x."""
     frame = w.rowsBetween(-(rows - 1), 0)

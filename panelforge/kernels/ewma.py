@@ -1,79 +1,76 @@
-"""Exponentially weighted moments of a matrix of returns (rows: dates, columns: assets)."""
+"""The clip of returns by their own weighted volatility: as a loop, and as a map from the variance before a block to the one after it."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterable, Sequence
+from math import sqrt
 
+SIGMAS = 5.0
+#: A series whose volatility isn't above this is dead: its returns are cut to 0 and its variance stays.
+DEAD = 1e-8
 
-def clip_by_volatility(rets: np.ndarray, decay: float, start_vols: np.ndarray, sigmas: float = 5.0) -> np.ndarray:
-    """Returns cut to sigmas times the volatility known before them; 0 while an asset has no volatility."""
-    var, out = start_vols**2, np.zeros_like(rets)
-    for t, row in enumerate(rets):
-        vol = np.sqrt(var)
-        live = vol > 1e-8
-        cut = np.where(live, np.clip(row, -sigmas * vol, sigmas * vol), 0.0)
-        out[t] = cut
-        var = np.where(live, decay * var + (1 - decay) * cut**2, var)
-    return out
 
+def clip(rets: Sequence[float], decay: float, var: float, sigmas: float = SIGMAS) -> tuple[list[float], float]:
+    """Returns cut to sigmas times the volatility known before them, and the variance after them; var is the one before."""
+    out = []
+    for r in rets:
+        vol = sqrt(var)
+        cut = 0.0
+        if vol > DEAD:
+            cut = max(-sigmas * vol, min(sigmas * vol, r))
+            var = decay * var + (1 - decay) * cut * cut
+        out.append(cut)
+    return out, var
 
-def moving_mean(rets: np.ndarray, decay: float, start: np.ndarray) -> np.ndarray:
-    """The mean at each row, that row included."""
-    out, now = np.empty_like(rets), start
-    for t, row in enumerate(rets):
-        now = (1 - decay) * row + decay * now
-        out[t] = now
-    return out
 
+Line = tuple[float, float]
 
-def moving_covariance(rets: np.ndarray, decay: float, start: np.ndarray) -> np.ndarray:
-    """The covariance at each row, that row included."""
-    out, now = np.empty((len(rets), *start.shape)), start
-    for t, row in enumerate(rets):
-        now = (1 - decay) * np.outer(row, row) + decay * now
-        out[t] = now
-    return out
 
+def lower(lines: list[Line], floor: float) -> list[Line]:
+    """Those of the rising lines (slope, offset) that are the lowest one somewhere above floor, by falling slope."""
+    kept: list[Line] = []
+    cross = lambda a, b: (b[1] - a[1]) / (a[0] - b[0])
+    for line in sorted(lines, key=lambda x: (-x[0], x[1])):
+        if kept and kept[-1][0] == line[0]:
+            continue
+        while kept and (line[1] <= kept[-1][1] or len(kept) > 1 and cross(kept[-1], line) <= cross(kept[-2], kept[-1])):
+            kept.pop()
+        kept.append(line)
+    first = 0
+    while first + 1 < len(kept) and cross(kept[first], kept[first + 1]) <= floor:
+        first += 1
+    return kept[first:]
 
-def ewma_covariance(rets: np.ndarray, span: int, annualize: float | None = None, clip: bool = True, demean: bool = True, sigmas: float = 5.0) -> np.ndarray:
-    """Covariances by row of complete rows of returns; NaN for the first span rows, from which the recursions start.
 
-    The decay is 1 - 2 / (1 + span). Outliers are cut first, then the running mean (which has the row's own return in it)
-    is taken off.
-    """
-    rows, n = rets.shape
-    if not rows:
-        return np.empty((0, n, n))
-    decay, first = 1 - 2 / (1 + span), rets[: min(span, rows)]
-    mean = first.mean(axis=0)
-    cov = np.atleast_2d(np.cov(first, rowvar=False)) if n > 1 and len(first) > 1 else np.diag(first.var(axis=0))
-    used = clip_by_volatility(rets, decay, first.std(axis=0), sigmas) if clip else rets
-    if demean:
-        used = used - moving_mean(used, decay, mean)
-    out = moving_covariance(used, decay, cov)
-    out[: len(first)] = np.nan
-    return out * annualize if annualize else out
-
-
-def prepared(x: np.ndarray, span: int, clip: bool = True, demean: bool = True, sigmas: float = 5.0) -> np.ndarray:
-    """One series of returns, outliers cut and the running mean taken off, as ewma_covariance() has it."""
-    if not len(x):
-        return x
-    decay, first = 1 - 2 / (1 + span), x[:span, None]
-    used = clip_by_volatility(x[:, None], decay, first.std(axis=0), sigmas) if clip else x[:, None]
-    return (used - moving_mean(used, decay, first.mean(axis=0)) if demean else used)[:, 0]
+class ClipMap:
+    """What a block of returns makes of the variance before it.
 
-
-def pair_covariance(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, span: int, alone: bool = False) -> np.ndarray:
-    """The covariances of one pair: started with the first span rows of the returns x and y, run on with the prepared u and v; NaN for these rows.
-
-    The population's variance starts a series that is alone, 0 a pair with one row.
+    While a series is alive, a return takes its variance v to the lesser of decay * v + (1 - decay) * r^2 and, if r is cut,
+    (decay + (1 - decay) * sigmas^2) * v. Both are rising lines in v, so a block is the lower envelope of lines. dies is the
+    largest variance with which the series is dead at the end; for such ones the block has to be gone through.
     """
-    first = min(span, len(x))
-    if alone:
-        start = x[:first].var()
-    else:
-        start = np.cov(x[:first], y[:first])[0, 1] if first > 1 else 0.0
-    out = moving_mean((u * v)[:, None], 1 - 2 / (1 + span), np.array([start]))[:, 0]
-    out[:first] = np.nan
-    return out
+
+    def __init__(self, rets: Sequence[float], decay: float, sigmas: float = SIGMAS):
+        self.decay, self.sigmas, self.rets = decay, sigmas, rets
+        floor = DEAD * DEAD
+        up = decay + (1 - decay) * sigmas * sigmas
+        self.lines: list[Line] = [(1.0, 0.0)]
+        self.dies = floor
+        for r in rets:
+            gain = (1 - decay) * r * r
+            self.lines = lower([(decay * s, decay * c + gain) for s, c in self.lines] + [(up * s, up * c) for s, c in self.lines], floor)
+            self.dies = max([self.dies, *((floor - c) / s for s, c in self.lines if s > 0)])
+
+    @classmethod
+    def known(cls, rets: Sequence[float], lines: Iterable[Line], dies: float, decay: float, sigmas: float = SIGMAS) -> ClipMap:
+        """The map that has these lines; rets may be empty if it was never to be gone through."""
+        out = cls((), decay, sigmas)
+        out.rets, out.lines, out.dies = rets, list(lines), dies
+        return out
+
+    def __call__(self, var: float) -> float:
+        # a hair above, so that rounding doesn't decide on which side of the edge a variance lies
+        if var <= self.dies * (1 + 1e-9):
+            # a series that was dead before stays as it is
+            return clip(self.rets, self.decay, var, self.sigmas)[1]
+        return min(s * var + c for s, c in self.lines)

@@ -31,16 +31,54 @@ def ols_hac(x: np.ndarray, y: np.ndarray, max_lags: int = 5) -> tuple[np.ndarray
         return beta, beta / errors, 1 - (rest @ rest) / total if total > 0 else np.nan, (rest @ rest) / (n - k)
 
 
+#: Normal equations (of columns scaled to length one) worse than this go to ols_hac(), which has a pseudo-inverse.
+WORST_CONDITION = 1e8
+
+
 def rolling_ols_hac(x: np.ndarray, y: np.ndarray, lookback: int, max_lags: int = 5, missing_share: float = 0.10) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ols_hac over the lookback rows before each row; NaN for the first rows and where a column lacks more than missing_share of its window."""
+    """ols_hac over the lookback rows before each row; NaN for the first rows and where a column lacks more than missing_share of its window.
+
+    All windows are fitted together: their normal equations are differences of running sums of products, their errors sums of
+    lagged products of each row's influence on the coefficients. Windows with a missing value or with columns that nearly
+    depend on each other are fitted one by one.
+    """
     rows, k = len(y), x.shape[1] + 1
     beta, t = np.full((rows, k), np.nan), np.full((rows, k), np.nan)
     r2, var = np.full(rows, np.nan), np.full(rows, np.nan)
     lost = np.isnan(np.column_stack([x, y])).astype(int)
     sums = np.vstack([np.zeros((1, lost.shape[1]), int), lost.cumsum(axis=0)])
-    for end in range(lookback, rows):
-        if (sums[end] - sums[end - lookback]).max() <= missing_share * lookback:
-            beta[end], t[end], r2[end], var[end] = ols_hac(x[end - lookback : end], y[end - lookback : end], max_lags)
+    ends = np.arange(lookback, rows)
+    missing = sums[ends] - sums[ends - lookback]
+    ends = ends[(missing.max(axis=1) <= missing_share * lookback)] if len(ends) else ends
+    clean = (sums[ends] - sums[ends - lookback]).max(axis=1) == 0 if len(ends) else np.zeros(0, bool)
+    together = ends[clean] if lookback > k else ends[:0]
+    if len(together):
+        full = np.nan_to_num(np.column_stack([np.ones(rows), x, y]))
+        products = np.vstack([np.zeros((1, k + 1, k + 1)), np.cumsum(full[:, :, None] * full[:, None, :], axis=0)])
+        moments = products[together] - products[together - lookback]
+        scale = np.sqrt(np.maximum(np.einsum("tii->ti", moments)[:, :k], 1e-300))
+        scaled = moments[:, :k, :k] / scale[:, :, None] / scale[:, None, :]
+        roots = np.linalg.eigvalsh(scaled)
+        good = roots[:, 0] * WORST_CONDITION > roots[:, -1]
+        together, moments, scale, scaled = together[good], moments[good], scale[good], scaled[good]
+    if len(together):
+        inverse = np.linalg.inv(scaled) / scale[:, :, None] / scale[:, None, :]
+        fit = np.einsum("tij,tj->ti", inverse, moments[:, :k, k])
+        # a view: no window is copied until it is multiplied
+        windows = np.lib.stride_tricks.sliding_window_view(full, lookback, axis=0)[together - lookback]
+        rest = windows[:, k, :] - np.einsum("til,ti->tl", windows[:, :k, :], fit)
+        pull = np.einsum("tij,tjl->til", inverse, windows[:, :k, :]) * rest[:, None, :]
+        square = (pull * pull).sum(axis=2)
+        for lag in range(1, max_lags + 1):
+            square += 2 * (1 - lag / (max_lags + 1)) * (pull[:, :, lag:] * pull[:, :, :-lag]).sum(axis=2)
+        left, target = (rest * rest).sum(axis=1), windows[:, k, :]
+        total = ((target - target.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            beta[together], t[together] = fit, fit / np.sqrt(np.maximum(square, 0))
+            r2[together] = np.where(total > 0, 1 - left / total, np.nan)
+        var[together] = left / (lookback - k)
+    for end in np.setdiff1d(ends, together):
+        beta[end], t[end], r2[end], var[end] = ols_hac(x[end - lookback : end], y[end - lookback : end], max_lags)
     return beta, t, r2, var
 
 

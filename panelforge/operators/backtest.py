@@ -1,16 +1,19 @@
 """Rebalancing backtests.
 
-A portfolio's state changes on rebalance dates only: a fold over these, within the row, gives cash, units and cost after each
-one; on all other dates the state is the last one, and values are a join away.
+A portfolio's state changes on rebalance dates only: a fold over these, streamed in order of date and carrying the last state,
+gives cash, units and cost after each one; on all other dates the state is the last one, and values are a join away.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.functions.scans import running
 from panelforge.functions.series import along, upto
 from panelforge.sources.panel import invalid_rows
 
@@ -22,6 +25,15 @@ def targets(rebal: DataFrame, weights: DataFrame) -> DataFrame:
     return rebal.select("panel_id", "date", F.inline(F.array(*[F.struct(F.lit(r["ticker"]).alias("ticker"), F.lit(r["weight"]).alias("weight")) for r in listed])))
 
 
+def rebalanced(cash: float, units: list[float], at: list[float], before: list[float], weights: list[float], cost_rate: float) -> tuple[float, list[float], float]:
+    """Cash, units and cost after one rebalancing: sized on the NAV at the prices before, traded at the prices at it."""
+    nav = cash + sum(u * p for u, p in zip(units, before, strict=True))
+    new = [nav * w / p for w, p in zip(weights, before, strict=True)]
+    moved = [n - u for n, u in zip(new, units, strict=True)]
+    cost = sum(abs(m) * p for m, p in zip(moved, at, strict=True)) * cost_rate
+    return cash - cost - sum(m * p for m, p in zip(moved, at, strict=True)), new, cost
+
+
 def backtest(prices: DataFrame, target: DataFrame, initial_cash: float = 1_000_000.0, cost_rate: float = 0.0010) -> DataFrame:
     """(panel_id, date, nav, cash, cost, positions array of (ticker, units, price, weight)) for every date of prices.
 
@@ -40,33 +52,25 @@ def backtest(prices: DataFrame, target: DataFrame, initial_cash: float = 1_000_0
         F.transform("before", lambda x: x["price"]).alias("b"),
         F.transform("q", lambda x: F.coalesce(F.try_element_at("w", x["ticker"]), F.lit(0.0))).alias("w"),
     )
-    folded = events.groupBy("panel_id").agg(F.sort_array(F.collect_list(F.struct("date", "p", "b", "w"))).alias("e"))
-    state = "struct<date:date,cash:double,units:array<double>,cost:double>"
-
-    def value(units, at):  # noqa: ANN001, ANN202
-        return F.aggregate(F.zip_with(units, at, lambda u, p: u * p), F.lit(0.0), lambda a, x: a + x)
-
-    def let(x, use):  # noqa: ANN001, ANN202
-        """use(x), with x computed once."""
-        return F.element_at(F.transform(F.array(x), use), 1)
-
-    def trade(done, e):  # noqa: ANN001, ANN202
-        start = F.struct(e["date"].alias("date"), F.lit(float(initial_cash)).alias("cash"), F.transform(e["p"], lambda _: F.lit(0.0)).alias("units"), F.lit(0.0).alias("cost"))
-
-        def settled(last, new):  # noqa: ANN001, ANN202
-            return let(F.zip_with(new, last["units"], lambda n, u: n - u), lambda moved: let(value(F.transform(moved, F.abs), e["p"]) * cost_rate, lambda cost: F.struct(
-                e["date"].alias("date"), (last["cash"] - cost - value(moved, e["p"])).alias("cash"), new.alias("units"), cost.alias("cost"))))
-
-        def sized(last):  # noqa: ANN001, ANN202
-            nav = last["cash"] + value(last["units"], e["b"])
-            return let(nav, lambda n: let(F.zip_with(e["w"], e["b"], lambda w, p: n * w / p), lambda new: settled(last, new)))
-
-        return F.concat(done, F.array(let(F.coalesce(F.try_element_at(done, F.lit(-1)), start), sized)))
-
-    steps = folded.select("panel_id", F.inline(F.aggregate("e", F.array().cast(f"array<{state}>"), trade)))
+    events = events.repartition("panel_id").sortWithinPartitions(*day)
+
+    def traded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, cash, units = None, initial_cash, None
+        for batch in batches:
+            out: list[dict] = []
+            for panel, date, at, before, weights in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if units is None or panel != name:
+                    name, cash, units = panel, initial_cash, [0.0] * len(at)
+                cash, units, cost = rebalanced(cash, units, at, before, weights, cost_rate)
+                out.append({"panel_id": panel, "date": date, "cash": cash, "units": units, "cost": cost})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("panel_id", pa.string()), ("date", pa.date32()), ("cash", pa.float64()), ("units", pa.list_(pa.float64())), ("cost", pa.float64())])
+    steps = events.mapInArrow(traded, "panel_id string, date date, cash double, units array<double>, cost double")
     held = quotes.join(steps, day, "left")
-    w = upto(along("panel_id"))
-    held = held.select(*day, "q", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce(F.last("cash", True).over(w), F.lit(float(initial_cash))).alias("cash"), F.last("units", True).over(w).alias("units"))
+    held = running(held.withColumnRenamed("cash", "_c").withColumnRenamed("units", "_u"), ["panel_id"], cash=("last", F.col("_c")), units=("last", F.col("_u")))
+    held = held.select(*day, "q", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("cash", F.lit(float(initial_cash))).alias("cash"), "units")
+    value = lambda units, at: F.aggregate(F.zip_with(units, at, lambda u, p: u * p), F.lit(0.0), lambda a, x: a + x)
     held = held.withColumn("units", F.coalesce("units", F.transform("q", lambda _: F.lit(0.0))))
     held = held.withColumn("nav", F.col("cash") + value(F.col("units"), F.transform("q", lambda x: x["price"])))
     held = held.withColumn("nav", F.when(F.col("nav") < 0, F.raise_error(F.lit("negative NAV")).cast("double")).otherwise(F.col("nav")))
@@ -106,7 +110,7 @@ def weight_deviation(result: DataFrame, target: DataFrame, assets: DataFrame, co
     """(panel_id, date, series, value): by asset class the weights less the targets in force, and the corridor's two lines."""
     rows = holdings(result).join(target.select("panel_id", "date", "ticker", F.col("weight").alias("_t")), ["panel_id", "date", "ticker"], "left")
     rows = rows.withColumn("_t", F.coalesce(F.last("_t", True).over(upto(along())), F.lit(0.0)))
-    rows = rows.join(F.broadcast(assets.select("ticker", "asset_class")), "ticker", "left")  # a dimension of a few rows
+    rows = rows.join(assets.select("ticker", "asset_class"), "ticker", "left")
     dev = rows.groupBy("panel_id", "date", F.coalesce("asset_class", F.lit("Other")).alias("series")).agg(F.sum(F.col("weight") - F.col("_t")).alias("value"))
     lines = result.select("panel_id", "date", F.inline(F.array(*[F.struct(F.lit(n).alias("series"), F.lit(v).alias("value")) for n, v in (("Upper corridor", corridor), ("Lower corridor", -corridor))])))
     return dev.unionByName(lines)

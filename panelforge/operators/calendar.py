@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 POLICIES = ("month_start", "month_end", "once")
 
@@ -38,7 +39,7 @@ def rebalance_dates(dates: DataFrame, policy: str = "month_start", generator: Ca
     """(panel_id, date): the policy's dates that are dates of the panel; a month whose date is missing there has none.
 
     month_start and month_end: the first and last business day of each month. once: the first of the month starts only.
-    generator, if given, makes the calendar from (panel_id, first, last) as (panel_id, date) instead.
+    generator, if given, makes the calendar from (panel_id, first, last) as (panel_id, date) instead; see generated_by().
     """
     if generator is None and policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
@@ -54,6 +55,31 @@ def rebalance_dates(dates: DataFrame, policy: str = "month_start", generator: Ca
     return first_only(found) if policy == "once" else found
 
 
+def date_function(make: Callable[[dt.date, dt.date], Iterable[dt.date]]) -> UserDefinedTableFunction:
+    """The table function (first, last) -> date of a calendar given as a plain function."""
+
+    class Dates:
+        def eval(self, first: dt.date, last: dt.date) -> Iterator[tuple[dt.date]]:
+            for d in make(first, last):
+                yield (d,)
+
+    return F.udtf(Dates, returnType="date date")
+
+
+def generated_by(make: Callable[[dt.date, dt.date], Iterable[dt.date]]) -> Callable[[DataFrame], DataFrame]:
+    """A generator for rebalance_dates() of a function from a panel's first and last date to its rebalance dates: joined laterally to each panel's span.
+
+    Dates outside the span or given twice do no harm; panels are made side by side.
+    """
+    dates = date_function(make)
+
+    def generator(span: DataFrame) -> DataFrame:
+        made = span.lateralJoin(dates(F.col("first").outer(), F.col("last").outer()))
+        return made.select("panel_id", "date")
+
+    return generator
+
+
 def first_only(dates: DataFrame) -> DataFrame:
     """The first date of each panel: buy and hold."""
     return dates.groupBy("panel_id").agg(F.min("date").alias("date"))

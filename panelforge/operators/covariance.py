@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from panelforge.functions.scans import RANGE_DAYS, decayed, ranges
 from panelforge.functions.series import along
 from panelforge.kernels import ewma
 from panelforge.sources.panel import complete_dates
-
-SCHEMA = "panel_id string, date date, i string, j string, cov double"
+from panelforge.sources.shared import written
 
 
 def pairs(rets: DataFrame, value: str = "ret") -> DataFrame:
     """(panel_id, date, i, j, x, y, n tickers) of dates on which all tickers have a return; each unordered pair once, and each ticker with itself."""
-    day = complete_dates(rets, value).groupBy("panel_id", "date").agg(F.sort_array(F.collect_list(F.struct(F.col("ticker").alias("i"), F.col(value).alias("x")))).alias("_r"))
+    return _all_pairs(complete_dates(rets, value), value)
+
+
+def _all_pairs(rets: DataFrame, value: str) -> DataFrame:
+    """pairs() of complete dates."""
+    day = rets.groupBy("panel_id", "date").agg(F.sort_array(F.collect_list(F.struct(F.col("ticker").alias("i"), F.col(value).alias("x")))).alias("_r"))
     left = day.select("panel_id", "date", "_r", F.posexplode("_r").alias("_k", "a"))
     both = left.select("panel_id", "date", "a", F.explode(F.expr("slice(_r, _k + 1, size(_r))")).alias("b"), F.size("_r").alias("n"))
     return both.select("panel_id", "date", F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.x").alias("x"), F.col("b.x").alias("y"), "n")
@@ -44,43 +50,115 @@ def correlation(rets: DataFrame, value: str = "ret") -> DataFrame:
     return both_ways(pairs(rets, value).groupBy("panel_id", "i", "j").agg(F.corr("x", "y").alias("corr")))
 
 
-def ewma_covariance(rets: DataFrame, span: int, annualize: float | None = None, clip: bool = True, demean: bool = True, value: str = "ret") -> DataFrame:
-    """Exponentially weighted covariance of complete rows; null for the first span rows.
+def clipped(rets: DataFrame, decay: float, sigmas: float = ewma.SIGMAS, days: int = RANGE_DAYS) -> DataFrame:
+    """rets (panel_id, ticker, date, ret, start_var, ...) with cut, the returns cut to sigmas times the volatility known before them.
 
-    Series are cut and centred one by one, then every pair of them runs its recursion by itself.
+    A series is cut range by range, side by side: ranges that others follow are first made into maps of the variance, these
+    are put together along the series (a row for each range), and then each range runs from its own start. No return is null,
+    and start_var is the same in all rows of a series.
+    """
+    keys, rest = ["panel_id", "ticker"], [c for c in rets.columns if c not in ("panel_id", "ticker")]
+    listed = rets.withColumn("_range", ranges("date", days)).groupBy(*keys, "_range").agg(F.sort_array(F.collect_list(F.struct("date", *(c for c in rest if c != "date")))).alias("_rows"))
+    listed = listed.select(*keys, "_range", "_rows", F.transform("_rows", lambda x: x["ret"]).alias("r"), F.get("_rows", F.lit(0))["start_var"].alias("_var"))
+    last = listed.groupBy(*keys).agg(F.max("_range").alias("_last"))
+    inner = listed.join(last, keys).where("_range < _last").select(*keys, "_range", "_last", "r", "_var")
+
+    def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            maps = [ewma.ClipMap(r.tolist(), decay, sigmas) for r in frame["r"]]
+            # the returns go along only if the range may have to be gone through
+            frame["r"] = [m.rets if m.dies > ewma.DEAD**2 else [] for m in maps]
+            yield frame.assign(slopes=[[x for x, _ in m.lines] for m in maps], offsets=[[x for _, x in m.lines] for m in maps], dies=[m.dies for m in maps])
+
+    def carry(key: tuple[str, str], rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_range")
+        var, starts = float(rows["_var"].iloc[0]), []
+        for r, slopes, offsets, dies in zip(rows["r"], rows["slopes"], rows["offsets"], rows["dies"], strict=True):
+            var = ewma.ClipMap.known(r.tolist(), zip(slopes, offsets, strict=True), dies, decay, sigmas)(var)
+            starts.append(var)
+        return pd.DataFrame({"panel_id": key[0], "ticker": key[1], "_range": [*rows["_range"].iloc[1:], rows["_last"].iloc[0]], "_in": starts})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [ewma.clip(r, decay, v, sigmas)[0] for r, v in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(done, pa.list_(pa.float64()))], ["panel_id", "ticker", "_rows", "cut"])
+
+    maps = inner.mapInPandas(mapped, "panel_id string, ticker string, _range long, _last long, r array<double>, _var double, slopes array<double>, offsets array<double>, dies double")
+    starts = maps.groupBy(*keys).applyInPandas(carry, "panel_id string, ticker string, _range long, _in double")
+    begun = listed.join(starts, [*keys, "_range"], "left").select(*keys, "_rows", "r", F.coalesce("_in", "_var").alias("_var"))
+    done = begun.mapInArrow(cut, StructType([*begun.select(*keys, "_rows").schema.fields, StructField("cut", ArrayType(DoubleType()))]))
+    return done.select(*keys, F.inline(F.zip_with("_rows", "cut", lambda x, c: F.struct(*(x[name].alias(name) for name in rest), c.alias("cut")))))
+
+
+def _early(rets: DataFrame, span: int) -> DataFrame:
+    """The first span rows of each series; a task passes on no more of a series than these."""
+    place = F.row_number().over(along("panel_id", "ticker"))
+    return rets.withColumn("_place", place).where(F.col("_place") <= span).drop("_place")
+
+
+def _started(rets: DataFrame, span: int) -> DataFrame:
+    """rets (panel_id, ticker, date, ret), none of which is null, with the mean and variance of the first span ones, and until, the last one's date."""
+    starts = _early(rets, span).groupBy("panel_id", "ticker").agg(F.avg("ret").alias("start_mean"), F.var_pop("ret").alias("start_var"), F.max("date").alias("until"))
+    return rets.join(starts, ["panel_id", "ticker"])
+
+
+def _prepared(rets: DataFrame, span: int, clip: bool, demean: bool, days: int) -> DataFrame:
+    """_started() with used: outliers cut, and the running mean taken off, the row's own return in it."""
+    keys, decay = ["panel_id", "ticker"], 1 - 2 / (1 + span)
+    rows = _started(rets, span)
+    rows = written(clipped(rows, decay, days=days), "cut") if clip else rows.withColumn("cut", F.col("ret"))
+    if not demean:
+        return rows.withColumnRenamed("cut", "used")
+    return decayed(rows, keys, F.col("cut"), F.col("start_mean"), decay, "_mean", days=days).withColumn("used", F.col("cut") - F.col("_mean"))
+
+
+def _whole(rets: DataFrame, value: str) -> DataFrame:
+    """Complete dates only, written: the steps below need them several times."""
+    return written(complete_dates(rets.select("panel_id", "date", "ticker", F.col(value).alias("ret")), "ret"), "whole")
+
+
+def _run(rows: DataFrame, early: DataFrame, span: int, annualize: float | None, days: int) -> DataFrame:
+    """(panel_id, date, i, j, cov) of rows (panel_id, date, i, j, u, v): started with the pairs (x, y, n) of the first span returns, run on with u times v; null for these rows.
+
+    The population's variance starts a series that is alone, 0 a pair with one row.
     """
+    keys = ["panel_id", "i", "j"]
+    start = F.when(F.max("n") == 1, F.var_pop("x")).when(F.count("x") > 1, F.covar_samp("x", "y")).otherwise(0.0)
+    starts = early.groupBy(*keys).agg(start.alias("_cov"), F.max("date").alias("_until"))
+    run = decayed(rows.join(starts, keys), keys, F.col("u") * F.col("v"), F.col("_cov"), 1 - 2 / (1 + span), "cov", days=days)
+    return run.select("panel_id", "date", "i", "j", F.when(F.col("date") > F.col("_until"), F.col("cov") * (annualize or 1.0)).alias("cov"))
 
-    def prepare(key: tuple[str, str], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        x = rows["ret"].to_numpy(np.float64)
-        return pd.DataFrame({"panel_id": key[0], "date": rows["date"], "ticker": key[1], "ret": x, "used": ewma.prepared(x, span, clip, demean)})
-
-    def run(key: tuple[str, str, str], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        x, y, u, v = (rows[c].to_numpy(np.float64) for c in ("x", "y", "u", "v"))
-        cov = pd.Series(ewma.pair_covariance(x, y, u, v, span, alone=rows["n"].iloc[0] == 1) * (annualize or 1.0), rows.index).astype(object)
-        return pd.DataFrame({"panel_id": key[0], "date": rows["date"], "i": key[1], "j": key[2], "cov": cov.where(cov.notna(), None)})
-
-    whole = complete_dates(rets.select("panel_id", "date", "ticker", F.col(value).alias("ret")), "ret")
-    used = whole.groupBy("panel_id", "ticker").applyInPandas(prepare, "panel_id string, date date, ticker string, ret double, used double")
-    rows = pairs(used.select("panel_id", "date", "ticker", F.struct("ret", "used").alias("v")), "v")
-    rows = rows.select("panel_id", "date", "i", "j", F.col("x.ret").alias("x"), F.col("y.ret").alias("y"), F.col("x.used").alias("u"), F.col("y.used").alias("v"), "n")
-    return both_ways(rows.groupBy("panel_id", "i", "j").applyInPandas(run, SCHEMA))
-
-
-def ewma_moments(rets: DataFrame, span: int, value: str = "ret") -> DataFrame:
-    """(panel_id, date, ticker, clipped, mean, vol): by series the return after clipping, the running mean of it, and the volatility that clipped it."""
-
-    def run(key: tuple[str, str], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date").dropna(subset=[value])
-        x = rows[[value]].to_numpy(np.float64)
-        decay, first = 1 - 2 / (1 + span), x[:span]
-        clipped = ewma.clip_by_volatility(x, decay, first.std(axis=0)) if len(x) else x
-        mean = ewma.moving_mean(clipped, decay, first.mean(axis=0)) if len(x) else x
-        square = ewma.moving_mean(clipped**2, decay, first.var(axis=0)) if len(x) else x
-        return pd.DataFrame({"panel_id": key[0], "date": rows["date"], "ticker": key[1], "clipped": clipped[:, 0], "mean": mean[:, 0], "vol": np.sqrt(square[:, 0])})
-
-    return rets.select("panel_id", "date", "ticker", value).groupBy("panel_id", "ticker").applyInPandas(run, "panel_id string, date date, ticker string, clipped double, mean double, vol double")
+
+def ewma_covariance(rets: DataFrame, span: int, annualize: float | None = None, clip: bool = True, demean: bool = True, value: str = "ret", days: int = RANGE_DAYS) -> DataFrame:
+    """Exponentially weighted covariance of complete rows; null for the first span rows.
+
+    The decay is 1 - 2 / (1 + span). Series are cut and centred one by one, then every pair of them runs by itself; both by
+    ranges of days, which don't change the result.
+    """
+    whole = _whole(rets, value)
+    used = _prepared(whole, span, clip, demean, days)
+    rows = _all_pairs(used, "used").withColumnsRenamed({"x": "u", "y": "v"}).drop("n")
+    return both_ways(_run(rows, _all_pairs(_early(whole, span), "ret"), span, annualize, days))
+
+
+def ewma_variance(rets: DataFrame, span: int, annualize: float | None = None, clip: bool = True, demean: bool = True, value: str = "ret", days: int = RANGE_DAYS) -> DataFrame:
+    """(panel_id, date, ticker, var): the diagonal of ewma_covariance(), without making pairs."""
+    whole = _whole(rets, value)
+    same = [F.col("ticker").alias("i"), F.col("ticker").alias("j")]
+    rows = _prepared(whole, span, clip, demean, days).select("panel_id", "date", *same, F.col("used").alias("u"), F.col("used").alias("v"))
+    n = whole.groupBy("panel_id").agg(F.count_distinct("ticker").alias("n"))
+    early = _early(whole, span).join(n, "panel_id").select("panel_id", "date", *same, F.col("ret").alias("x"), F.col("ret").alias("y"), "n")
+    return _run(rows, early, span, annualize, days).select("panel_id", "date", F.col("i").alias("ticker"), F.col("cov").alias("var"))
+
+
+def ewma_moments(rets: DataFrame, span: int, value: str = "ret", days: int = RANGE_DAYS) -> DataFrame:
+    """(panel_id, date, ticker, clipped, mean, vol): by series the return after clipping, the running mean of it, and the volatility that clipped it; missing returns left out."""
+    keys, decay = ["panel_id", "ticker"], 1 - 2 / (1 + span)
+    rows = rets.select("panel_id", "date", "ticker", F.col(value).alias("ret")).where("ret is not null")
+    rows = written(clipped(_started(rows, span), decay, days=days), "cut")
+    both = decayed(rows, keys, F.col("cut"), F.col("start_mean"), decay, "mean", days=days)
+    both = decayed(both, keys, F.col("cut") * F.col("cut"), F.col("start_var"), decay, "_square", days=days)
+    return both.select("panel_id", "date", "ticker", F.col("cut").alias("clipped"), "mean", F.sqrt("_square").alias("vol"))
 
 
 def latest_matrix(cov: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.series import day_keys
-from panelforge.operators.covariance import ewma_covariance
+from panelforge.operators.covariance import ewma_covariance, ewma_variance
 from panelforge.operators.returns import excess_returns
 from panelforge.kernels import regression
 from panelforge.sources.dims import Factor, check_factors
@@ -84,8 +84,8 @@ def construct(prices: DataFrame, rf: DataFrame, factors: tuple[Factor, ...], cov
     free = rf.select(*on, F.log1p("rf").alias("_rf"))
     out = raw.join(free, on, "left")
     if scale:
-        vols = ewma_covariance(raw.select("panel_id", "date", F.col("factor").alias("ticker"), "ret"), scale_span, annualize=252.0)
-        vols = vols.where("i = j").select("panel_id", "date", F.col("i").alias("factor"), F.nullif(F.sqrt("cov"), F.lit(0.0)).alias("_vol"))
+        vols = ewma_variance(raw.select("panel_id", "date", F.col("factor").alias("ticker"), "ret"), scale_span, annualize=252.0)
+        vols = vols.select("panel_id", "date", F.col("ticker").alias("factor"), F.nullif(F.sqrt("var"), F.lit(0.0)).alias("_vol"))
         children = [f.name for f in factors if f.parents]
         child = F.col("factor").isin(children)
         dead = F.count("_vol").over(Window.partitionBy("panel_id", "factor")) == 0

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.series import along, day_keys, fill_both_ways, padded_change
+from panelforge.functions.scans import fill_both_ways
+from panelforge.functions.series import along, day_keys, padded_change
 
 CURRENCIES = ("USD", "EUR", "CHF")
 
@@ -23,7 +24,7 @@ def normalize(panel: DataFrame, assets: DataFrame, rates: DataFrame, base: str)
     lost = [c for c in sorted(local) if f"{c}{base}=X" not in pairs and f"{base}{c}=X" not in pairs]
     if lost:
         raise ValueError(f"no rate between {base} and {lost}")
-    known = panel.join(F.broadcast(assets.select("ticker", "currency")), "ticker", "left")  # a dimension of a few rows
+    known = panel.join(assets.select("ticker", "currency"), "ticker", "left")
     on = day_keys(rates)
     direct = rates.select(*on, F.col("pair").alias("_direct"), F.nullif("rate", F.lit(0.0)).alias("_times"))
     inverse = rates.select(*on, F.col("pair").alias("_inverse"), F.nullif("rate", F.lit(0.0)).alias("_over"))
@@ -41,8 +42,8 @@ def triangulate(series: DataFrame, rates: DataFrame, base: str) -> DataFrame:
     on = day_keys(rates)
     rate = rates.where(F.col("pair") == f"{base}USD=X").select(*on, "rate")
     joined = series.join(rate, on, "left")
-    full = fill_both_ways(F.col("rate"), along("panel_id"))
-    return joined.select("panel_id", "date", F.try_divide("price", full).alias("price"))
+    full = fill_both_ways(joined.select("panel_id", "date", "price", "rate"), "rate", ["panel_id"])
+    return full.select("panel_id", "date", F.try_divide("price", "rate").alias("price"))
 
 
 def risk_free(series: DataFrame, base: str, days_in_year: int = 252) -> DataFrame:

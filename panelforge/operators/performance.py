@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.scans import running
 from panelforge.functions.series import along, day_keys, fill_budget, full_window, upto
 
 YEAR = 252
@@ -20,9 +21,9 @@ def nav_returns(nav: DataFrame, rf: DataFrame) -> DataFrame:
 
 def drawdowns(rets: DataFrame) -> DataFrame:
     """(panel_id, date, level, drawdown) of excess returns compounded, missing ones as 0."""
-    w = along("panel_id")
-    level = rets.select("panel_id", "date", F.product(1 + F.coalesce("excess", F.lit(0.0))).over(upto(w)).alias("level"))
-    return level.select("panel_id", "date", "level", (F.try_divide("level", F.max("level").over(upto(w))) - 1).alias("drawdown"))
+    level = running(rets.select("panel_id", "date", "excess"), ["panel_id"], level=("product", 1 + F.coalesce("excess", F.lit(0.0))))
+    peak = running(level.select("panel_id", "date", "level"), ["panel_id"], peak=("max", F.col("level")))
+    return peak.select("panel_id", "date", "level", (F.try_divide("level", "peak") - 1).alias("drawdown"))
 
 
 def longest_drawdown(dd: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.series import along, day_keys, fill_budget, growth_index, lagged_return, padded_change
+from panelforge.functions.scans import running
+from panelforge.functions.series import along, check_method, day_keys, fill_budget, lagged_return, padded_change
 from panelforge.sources.panel import densify
 
 
@@ -19,8 +20,11 @@ def padded_changes(panel: DataFrame) -> DataFrame:
 
 
 def growth(rets: DataFrame, method: str = "log") -> DataFrame:
-    """(panel_id, date, ticker, level) from returns."""
-    return rets.select("panel_id", "date", "ticker", growth_index(F.col("ret"), along(), method).alias("level"))
+    """(panel_id, date, ticker, level) from returns: what 1 invested before the first row is worth; rows without a return stay null and count as no change."""
+    step = ("sum", F.col("ret")) if check_method(method) == "log" else ("product", 1 + F.col("ret"))
+    total = running(rets.select("panel_id", "date", "ticker", "ret"), ["panel_id", "ticker"], total=step)
+    level = F.exp("total") if step[0] == "sum" else F.col("total")
+    return total.select("panel_id", "date", "ticker", F.when(F.col("ret").isNotNull(), level).alias("level"))
 
 
 def excess_returns(panel: DataFrame, rf: DataFrame, window: int = 5) -> DataFrame:

@@ -39,7 +39,7 @@ def contributions(exposures: DataFrame, cov: DataFrame, annualize: bool = True)
 
 def by_class(contribs: DataFrame, assets: DataFrame) -> DataFrame:
     """(panel_id, date, asset_class, ctr_pct), labels that assets lacks under Other."""
-    rows = contribs.join(F.broadcast(assets.select(F.col("ticker").alias("label"), "asset_class")), "label", "left")  # a dimension of a few rows
+    rows = contribs.join(assets.select(F.col("ticker").alias("label"), "asset_class"), "label", "left")
     return rows.where("ctr_pct is not null").groupBy("panel_id", "date", F.coalesce("asset_class", F.lit("Other")).alias("asset_class")).agg(F.sum("ctr_pct").alias("ctr_pct"))
 
 

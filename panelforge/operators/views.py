@@ -13,7 +13,7 @@ def universe_table(holdings: DataFrame, assets: DataFrame) -> DataFrame:
     w = Window.partitionBy("panel_id", "ticker")
     rows = holdings.select("panel_id", "ticker", "weight", F.row_number().over(w.orderBy("date")).alias("_k"), F.count(F.lit(1)).over(w).alias("_n"))
     ends = rows.groupBy("panel_id", "ticker").agg(F.max(F.when(F.col("_k") == F.least(F.lit(2), "_n"), F.col("weight"))).alias("a"), F.max(F.when(F.col("_k") == F.col("_n"), F.col("weight"))).alias("b"))
-    out = ends.join(F.broadcast(assets), "ticker")  # a dimension of a few rows
+    out = ends.join(assets, "ticker")
     return out.select("panel_id", "ticker", "asset_class", "currency", percent(F.col("a"), 1).alias("weight_start"), percent(F.col("b"), 1).alias("weight_end"), "description")
 
 
@@ -43,7 +43,7 @@ def latest_betas(exposures: DataFrame, factors: DataFrame, significance: float =
     """(panel_id, factor, beta, t_stat, significant, color_key, note) of the last date that has betas."""
     rows = exposures.where("term <> 'const' and beta is not null")
     rows = rows.join(rows.groupBy("panel_id").agg(F.max("date").alias("date")), ["panel_id", "date"], "left_semi")
-    rows = rows.join(F.broadcast(factors.select(F.col("name").alias("term"), "parents")), "term", "left")  # a dimension of a few rows
+    rows = rows.join(factors.select(F.col("name").alias("term"), "parents"), "term", "left")
     sig = F.abs("t_stat") >= significance
     note = F.when(F.size("parents") > 0, F.concat(F.lit("without "), F.array_join("parents", ", "))).when(F.col("parents").isNotNull(), "top level").otherwise("not defined")
     key = F.concat_ws("_", F.when(F.col("beta") >= 0, "pos").otherwise("neg"), F.when(sig, "sig").otherwise("nonsig"))
@@ -133,7 +133,7 @@ def risk_free_note(bases: DataFrame, proxies: dict[str, str], assets: DataFrame)
     """(base, note): for each currency of bases (base) the ticker that its risk-free rate is made of, and what that is, as far as known."""
     key = F.upper(F.trim("base"))
     known = bases.sparkSession.createDataFrame(sorted(proxies.items()), "_key string, ticker string")
-    rows = bases.withColumn("_key", key).join(F.broadcast(known), "_key", "left").join(F.broadcast(assets.select("ticker", "description")), "ticker", "left")  # a few rows each
+    rows = bases.withColumn("_key", key).join(known, "_key", "left").join(assets.select("ticker", "description"), "ticker", "left")  # a few rows each
     note = (
         F.when(F.col("ticker").isNull(), F.format_string("The risk-free rate follows the base currency (%s)", "base"))
         .when(F.col("description").isNull(), F.format_string("Risk-free rate: %s (base currency %s)", "ticker", "base"))

@@ -6,17 +6,19 @@ Dates are shown as text and floats rounded, so that results can be compared with
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.functions import series
+from panelforge.functions import scans, series
+from panelforge.functions.scans import running
 from panelforge.operators import backtest as bt
 from panelforge.operators import calendar, covariance, exposure, factors, fx, performance, returns, risk, views
 from panelforge.plans import analysis
-from panelforge.sources import dims, panel
-from panelforge.sources.shared import written
+from panelforge.sources import dims, fetched, panel
+from panelforge.sources.shared import shared_folder, written
 
 #: Covariances are shown by year, in squared percent.
 SHOWN = 252e4
@@ -138,12 +140,12 @@ def panel_ffill5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ffill_bfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dense(spark, sf_dir).withColumn("price", series.fill_both_ways(F.col("price"), series.along())), "date", "ticker", price=9)
+    return shown(scans.fill_both_ways(dense(spark, sf_dir), "price", series.KEYS), "date", "ticker", price=9)
 
 
 @query
 def fill_budget0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(dense(spark, sf_dir).withColumn("price", series.fill_budget(F.col("price"), series.along())), "date", "ticker", price=9)
+    return shown(scans.fill_budget(dense(spark, sf_dir), "price", series.KEYS), "date", "ticker", price=9)
 
 
 @query
@@ -588,6 +590,92 @@ def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(found["summary"], "ord", "metric", "day", value=6)
 
 
+@query
+def analysis_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor half of the one call: with all assets in the base currency, it is what the steps give one by one."""
+    request = analysis.Request("USD", dt.date(1980, 1, 1), dt.date(2010, 1, 1), least_end=dt.date(1995, 1, 1))
+    spans = analysis.Spans(COV_SPAN, SCALE_SPAN, LOOKBACK, RISK_WINDOW, TREND)
+    found = analysis.analyse(prices(spark, sf_dir), dims.assets(spark).withColumn("currency", F.lit("USD")), rates(spark, sf_dir), money(spark, sf_dir, "USD"), request, spans=spans)
+    return shown(found["split"], "date", systematic_vol=6, idio_vol=6, systematic_share=6, idio_share=6)
+
+
+# many panels at once: a panel for each region of suppliers
+
+
+@shared
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.lineitem_panels(spark, sf_dir, "region")
+
+
+@shared
+def region_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(panel_id, date, rf): made of the numbers of each panel's dates."""
+    days = running(regions(spark, sf_dir).select("panel_id", "date").distinct(), ["panel_id"], rn=("sum", F.lit(1).cast("long")))
+    return fx.risk_free(days.select("panel_id", "date", (F.lit(2.0) + F.lit(0.01) * (F.col("rn") % 50)).alias("value")), "USD")
+
+
+@shared
+def region_backtests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel.complete_dates(regions(spark, sf_dir).where(F.col("ticker").isin(list(dims.PORTFOLIO))))
+    return bt.backtest(p, bt.targets(calendar.rebalance_dates(p, "month_start"), dims.portfolio(spark)))
+
+
+@query
+def panels_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(region_backtests(spark, sf_dir), "panel_id", "date", nav=4, cash=4)
+
+
+@query
+def panels_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(performance.summary(performance.nav_returns(region_backtests(spark, sf_dir), region_rates(spark, sf_dir))), "panel_id", "ord", "metric", "day", value=6)
+
+
+@query
+def panels_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(performance.drawdowns(performance.nav_returns(region_backtests(spark, sf_dir), region_rates(spark, sf_dir))), "panel_id", "date", level=6, drawdown=6)
+
+
+@query
+def panels_ewma_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rets = returns.returns(panel.complete_dates(regions(spark, sf_dir)))
+    return shown(covariance.ewma_moments(rets, 63), "panel_id", "date", "ticker", clipped=8, mean=8, vol=8)
+
+
+# sources that fetch, and a calendar of one's own
+
+
+@query
+def fetched_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the tickers and three of the years, by a data source that is asked for these alone."""
+    source = fetched.FetchedSource("panelforge.sources.fetched:lineitem_prices", path=f"{sf_dir}/lineitem.parquet")
+    rows = source.load(spark, TICKERS).where(F.col("ticker").isin("T2", "T5") & F.col("date").between(dt.date(1993, 1, 1), dt.date(1995, 12, 31)))
+    return shown(rows, "date", "ticker", price=9)
+
+
+@query
+def cached_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a cache that has a year of one ticker and then loads what three years of two tickers lack."""
+    cache = fetched.GapCache(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}", panel.LineitemSource(f"{sf_dir}/lineitem.parquet"))
+    cache.prices(["T1"], "1994-01-01", "1994-12-31")
+    return shown(cache.prices(["T1", "T2"], "1993-01-01", "1995-12-31"), "date", "ticker", price=9)
+
+
+def third_fridays(first: dt.date, last: dt.date) -> Iterator[dt.date]:
+    day = first
+    while day <= last:
+        if day.weekday() == 4 and 15 <= day.day <= 21:
+            yield day
+        day += dt.timedelta(1)
+
+
+@query
+def rebal_third_friday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mask of a calendar made by a plain function of each panel's span."""
+    p = regions(spark, sf_dir).select("panel_id", "date")
+    rebal = calendar.rebalance_dates(p, generator=calendar.generated_by(third_fridays))
+    return calendar.rebalance_mask(p, rebal).select("panel_id", F.col("date").cast("string").alias("date"), "is_rebal")
+
+
 # tables for display
 
 

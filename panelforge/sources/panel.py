@@ -56,6 +56,18 @@ class LineitemSource(PriceSource):
         return _between(rows.where(F.col("ticker").isin(list(tickers))) if tickers else rows, start, end)
 
 
+def lineitem_panels(spark: SparkSession, folder: str, by: str = "region", damping: float = 5000.0) -> DataFrame:
+    """A panel for each region or nation of suppliers: (panel_id, date, ticker, price) derived from their order lines as in LineitemSource."""
+    lines, suppliers, nations = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("lineitem", "supplier", "nation"))
+    homes = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    if by == "region":
+        homes = homes.join(spark.read.parquet(f"{folder}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    homes = homes.select("s_suppkey", F.col({"region": "r_name", "nation": "n_name"}[by]).alias("panel_id"))
+    money = lambda x: F.sum(F.col(x).cast("decimal(18,2)")).cast("double")
+    rows = lines.join(homes, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("panel_id", F.to_date("l_shipdate").alias("date"), F.concat(F.lit("T"), F.col("l_linenumber")).alias("ticker"))
+    return rows.agg((100 + money("l_extendedprice") / money("l_quantity") / damping).alias("price"))
+
+
 def _between(rows: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start:
         rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
@@ -101,26 +113,11 @@ def fill_prices(panel: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def missing_tickers(panel: DataFrame, required: Sequence[str]) -> list[str]:
-    """Which of the required tickers the panel lacks; a loader fetches all anew if there are any."""
+    """Which of the required tickers the panel lacks."""
     have = {r["ticker"] for r in panel.where(F.col("ticker").isin(list(required))).select("ticker").distinct().collect()}
     return [t for t in dict.fromkeys(required) if t not in have]
 
 
-def cached_or_loaded(spark: SparkSession, cache: str, source: PriceSource, required: Sequence[str], start: str | None = None, end: str | None = None, limit: int = 5) -> DataFrame:
-    """The panel from the cache if it has all required tickers, else loaded anew and cached; prices filled forward.
-
-    The cache is not cut to the dates: callers clamp afterwards, so that fills see what came before.
-    """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if there:
-        rows = ParquetSource(cache).load(spark, required)
-        if not missing_tickers(rows, required):
-            return fill_prices(as_panel(rows), limit)
-    source.load(spark, required, start, end).write.mode("overwrite").parquet(cache)
-    return fill_prices(as_panel(ParquetSource(cache).load(spark, required)), limit)
-
-
 def clamp(panel: DataFrame, start: str, end: str) -> DataFrame:
     """The rows between start and end, both included, as far as the panel goes; none if it has no date in between."""
     return _between(panel, start, end)

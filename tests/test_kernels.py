@@ -35,21 +35,50 @@ def loop_ewma(rets, span, clip, demean):
     return out
 
 
-@pytest.mark.parametrize(("clip", "demean"), [(True, True), (False, False), (True, False), (False, True)])
-@pytest.mark.parametrize("n", [1, 3])
-def test_ewma_covariance(clip, demean, n):
-    rets = RNG.normal(0, 0.01, (60, n))
-    rets[40, 0] = 0.5
-    assert np.allclose(ewma.ewma_covariance(rets, 21, None, clip, demean), loop_ewma(rets, 21, clip, demean), equal_nan=True, rtol=1e-12)
-
-
-def test_ewma_edges():
-    assert np.isnan(ewma.ewma_covariance(RNG.normal(size=(5, 2)), 9)).all()
-    assert ewma.ewma_covariance(np.empty((0, 2)), 9).shape == (0, 2, 2)
-    rets = np.column_stack([np.zeros(30), RNG.normal(0, 0.01, 30)])
-    assert (ewma.clip_by_volatility(rets, 0.9, rets[:10].std(0))[:, 0] == 0).all()
-    spiked = np.array([[0.01], [0.2]])
-    assert ewma.clip_by_volatility(spiked, 0.9, np.array([0.01]))[1, 0] == pytest.approx(5 * 0.01)
+def loop_clip(rets, decay, var, sigmas=5.0):
+    out = []
+    for r in rets:
+        vol = np.sqrt(var)
+        if vol > 1e-8:
+            r = np.sign(r) * min(abs(r), sigmas * vol)
+            var = decay * var + (1 - decay) * r**2
+        else:
+            r = 0.0
+        out.append(r)
+    return out, var
+
+
+@pytest.mark.parametrize("decay", [0.0, 0.5, 0.97, 0.999])
+@pytest.mark.parametrize("size", [1e-12, 1e-8, 1e-3, 10.0])
+def test_clip_and_its_map(decay, size):
+    rng = np.random.default_rng(int(decay * 1000))
+    for kind in range(4):
+        rets = (rng.standard_t(2, 150) * size).tolist()
+        if kind == 1:
+            rets[30:] = [0.0] * 120  # falls silent
+        if kind == 2:
+            rets = [0.0] * 150
+        if kind == 3:
+            rets[::7] = [1e6 * size] * len(rets[::7])
+        whole = ewma.ClipMap(rets, decay)
+        assert len(whole.lines) <= len(rets) + 1
+        for var in (0.0, 1e-17, 1e-16, 2e-16, 1e-15, 1e-12, 1e-9, size**2, 1.0, 1e8):
+            out, end = ewma.clip(rets, decay, var)
+            want, last = loop_clip(rets, decay, var)
+            assert np.allclose(out, want, rtol=1e-12, atol=0) and end == pytest.approx(last, rel=1e-12)
+            assert whole(var) == pytest.approx(end, rel=1e-9)
+            # two blocks put together are the whole
+            assert ewma.ClipMap(rets[70:], decay)(ewma.ClipMap(rets[:70], decay)(var)) == pytest.approx(end, rel=1e-9)
+
+
+def test_lower_envelope():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        lines = [(float(a), float(b)) for a, b in zip(rng.integers(1, 9, 8), rng.integers(0, 9, 8), strict=True)]
+        kept = ewma.lower(lines, 0.25)
+        assert [x[0] for x in kept] == sorted({x[0] for x in kept}, reverse=True)
+        for v in np.linspace(0.26, 12, 60):
+            assert min(s * v + c for s, c in kept) == pytest.approx(min(s * v + c for s, c in lines))
 
 
 def loop_ols(x, y, lags):
@@ -88,6 +117,23 @@ def test_rolling_windows_end_before_their_date():
     assert np.isnan(regression.rolling_ols_hac(x, y, 120)[0][120]).all() and np.isfinite(regression.rolling_ols_hac(x, y, 120)[0][121]).all()
 
 
+@pytest.mark.parametrize("lost", [0, 4])
+def test_windows_together_are_the_single_ones(lost):
+    x = RNG.normal(0, 0.01, size=(300, 5))
+    x[:, 4] = np.where(np.arange(300) < 150, x[:, 3], x[:, 4])  # two factors that are one for half the time
+    y = x @ RNG.normal(size=5) + RNG.normal(0, 0.003, size=300)
+    y[200:260] = 0.001  # and a target that stands still
+    x[RNG.integers(0, 300, lost), 1] = np.nan
+    found = regression.rolling_ols_hac(x, y, 40)
+    for end in range(300):
+        want = regression.ols_hac(x[end - 40 : end], y[end - 40 : end]) if end >= 40 else [np.nan] * 4
+        for k, (a, b) in enumerate(zip(found, want, strict=True)):
+            if 240 <= end <= 260 and k:
+                continue  # nothing left to explain: errors are rounding
+            assert np.allclose(a[end], b, rtol=1e-6, atol=1e-12, equal_nan=True), (end, k)
+    assert np.isnan(regression.rolling_ols_hac(x[:30], y[:30], 40)[0]).all()
+
+
 def test_residuals():
     x = RNG.normal(size=(500, 4))
     y = x @ np.array([2.0, 3.0, -1.0, 0.5])

@@ -214,9 +214,8 @@ def test_sources(spark, tmp_path):
     wide.coalesce(1).write.csv(str(tmp_path / "wide"), header=True)
     source = panel.WideCsvSource(str(tmp_path / "wide"))
     assert source.load(spark, ["T1", "T2"], "2020-01-02").count() == 8
-    full = panel.cached_or_loaded(spark, str(tmp_path / "cache"), source, ["T1"])
+    full = panel.as_panel(source.load(spark, ["T1"]))
     assert full.count() == 5 and panel.missing_tickers(full, ["T1", "T9"]) == ["T9"]
-    assert panel.cached_or_loaded(spark, str(tmp_path / "cache"), source, ["T1", "T2"]).count() == 10
     problems = {r["problem"]: r["rows"] for r in panel.invalid_rows(one_series(spark, [1.0, None, -1.0]), make(spark, [("p", day(0), "T", -1.0), ("p", day(9), "T", 0.1)], "panel_id string, date date, ticker string, weight double")).collect()}
     assert problems == {"price missing or not finite": 1, "price not positive": 1, "weight missing or not finite": 0, "weight negative": 1, "weight without price": 1, "price without weight": 0}
 
@@ -264,11 +263,7 @@ def test_panels_do_not_meet(spark):
         assert rows == sorted(one[name] + two[name], key=str) and one[name] != two[name], name
 
 
-def test_blocks_of_dates_and_pairs_are_the_whole(spark, monkeypatch):
-    import numpy as np
-
-    from panelforge.kernels import ewma
-
+def test_blocks_of_dates_are_the_whole(spark, monkeypatch):
     p = two_panels(spark).where("panel_id = 'p'")
     rf = p.select("date").distinct().withColumn("rf", F.lit(0.0001))
     levels = p.where("ticker <> 'T3'").select("panel_id", "date", F.col("ticker").alias("factor"), F.col("price").alias("level"))
@@ -277,18 +272,6 @@ def test_blocks_of_dates_and_pairs_are_the_whole(spark, monkeypatch):
     monkeypatch.setattr(exposure, "BLOCK_ROWS", 13)
     cut = exposure.exposures(levels, nav, rf, "rolling", 40)
     assert plain(tuple(r) for r in cut.collect()) == whole and len(whole) == 160 * 3
-    rets = returns.returns(p)
-    wide = rets.where("ret is not null").toPandas().pivot(index="date", columns="ticker", values="ret").sort_index()
-    for options in ({}, {"clip": False}, {"demean": False}):
-        want = ewma.ewma_covariance(wide.to_numpy(), 30, 252.0, **options)
-        got = {(r["date"], r["i"], r["j"]): r["cov"] for r in covariance.ewma_covariance(rets, 30, 252.0, **options).collect()}
-        for t, d in enumerate(wide.index):
-            for a, i in enumerate(wide.columns):
-                for b, j in enumerate(wide.columns):
-                    assert (got[d, i, j] is None and np.isnan(want[t, a, b])) or got[d, i, j] == pytest.approx(want[t, a, b], rel=1e-9)
-    single = covariance.ewma_covariance(rets.where("ticker = 'T1'"), 30).collect()
-    want = ewma.ewma_covariance(wide[["T1"]].to_numpy(), 30)[:, 0, 0]
-    assert values(spark.createDataFrame(single), "cov")[30:] == pytest.approx(want[30:].tolist(), rel=1e-9)
 
 
 def test_a_flat_nav_keeps_its_lines(spark):
