@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.percentiles import percentiles
+
 
 def universe_table(holdings: DataFrame, assets: DataFrame) -> DataFrame:
     """(panel_id, ticker, asset_class, currency, weight_start, weight_end, description): weights of the second date (the first if there is one only) and the last."""
@@ -56,9 +58,9 @@ def rolling_betas(exposures: DataFrame) -> DataFrame:
 
 
 def color_domain(trend: DataFrame, low: float = 0.03, high: float = 0.97) -> DataFrame:
-    """(panel_id, low, high): percentiles of all contributions; widened a little if they are equal."""
-    rows = trend.groupBy("panel_id").agg(F.percentile("contrib", F.array(F.lit(low), F.lit(high))).alias("p"))
-    a, b = F.element_at("p", 1), F.element_at("p", 2)
+    """(panel_id, low, high): percentiles of all contributions; widened a little if they are equal. A panel without contributions has no row."""
+    rows = percentiles(trend, ["panel_id"], "contrib", (low, high))
+    a, b = F.element_at("values", 1), F.element_at("values", 2)
     return rows.select("panel_id", F.when(a < b, a).otherwise(a - 1e-6).alias("low"), F.when(a < b, b).otherwise(b + 1e-6).alias("high"))
 
 

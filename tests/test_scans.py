@@ -131,3 +131,29 @@ def test_moments_by_ranges(spark, days):
         for r, c in zip(got["p", ticker], cut, strict=True):
             mean, var = (1 - decay) * c + decay * mean, (1 - decay) * c * c + decay * var
             assert (r["clipped"], r["mean"], r["vol"]) == pytest.approx((c, mean, var**0.5), rel=1e-9, abs=1e-15)
+
+
+@pytest.mark.parametrize(("tile", "block_rows"), [(3, 7), (2, 512), (64, 25)])
+def test_covariances_by_tiles(spark, monkeypatch, tile, block_rows):
+    monkeypatch.setattr(covariance, "TILE", tile)
+    rng = np.random.default_rng(13)
+    dates = [dt.date(2001, 1, 1) + dt.timedelta(k) for k in range(60)]
+    wide = rng.normal(0, 0.01, (60, 8)) @ rng.normal(size=(8, 8))
+    rows = [("p", d, f"t{k}", None if (i, k) == (20, 3) else float(wide[i, k])) for i, d in enumerate(dates) for k in range(8)]
+    rows += [("q", d, f"t{k}", float(wide[i, k])) for i, d in enumerate(dates[:30]) for k in range(min(tile + 1, 8))] + [("r", dates[0], "t0", 0.1)]
+    rets = spark.createDataFrame(rows, "panel_id string, date date, ticker string, ret double").cache()
+    kept = {"p": [k for k in range(60) if k != 20], "q": list(range(30))}
+    got = {(r["panel_id"], r["date"], r["i"], r["j"]): r["cov"] for r in covariance.sample_covariance(rets, 10, 252.0, block_rows=block_rows).collect()}
+    run = {(r["panel_id"], r["date"], r["i"], r["j"]): r["cov"] for r in covariance.ewma_covariance(rets, 10, days=25).collect()}
+    width = {"p": 8, "q": min(tile + 1, 8)}
+    assert got.keys() == run.keys() and len(got) == 59 * 64 + 30 * width["q"] ** 2 + 1 and got["r", dates[0], "t0", "t0"] is None
+    for name, days in kept.items():
+        for a in range(width[name]):
+            for b in range(width[name]):
+                x, y = wide[days, a], wide[days, b]
+                want = loop(x, y, 10, True, True, False)
+                for k, i in enumerate(days):
+                    key = (name, dates[i], f"t{a}", f"t{b}")
+                    assert got[key] == (pytest.approx(252 * np.cov(x[k - 9 : k + 1], y[k - 9 : k + 1])[0, 1], rel=1e-9, abs=1e-15) if k >= 9 else None)
+                    assert run[key] == (want[k] if want[k] is None else pytest.approx(want[k], rel=1e-9, abs=1e-18))
+    assert covariance.sample_covariance(rets.where("false"), 5).count() == 0
