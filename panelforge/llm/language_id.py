@@ -224,8 +224,8 @@ def identify(docs: DataFrame, trees: Trees | None = None, text: str = "text", ca
 
     trees are fitted on docs if not given. lang_pred is und where the text is null or has no letter, and everywhere if there
     is nothing to learn from; score is then 0, else the predicted language's share when each language's probability of the
-    text is compared with the others'. Ties go to the first language by name. Null ids, repeated rows and empty tables are
-    no special case; columns that aren't asked for aren't read.
+    text is compared with the others'. Ties go to the first language by name. Very long texts are coded whole, in
+    pieces. Null ids, repeated rows and empty tables are no special case; columns that aren't asked for aren't read.
     """
     if trees is None:
         trees = Trees(training_sample(docs.select("doc_id", "lang", F.col(text).alias("text"))))

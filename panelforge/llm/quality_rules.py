@@ -90,7 +90,7 @@ def judge_by_host(docs: DataFrame, host: str = "source", text: str = "text", min
 
     kept is false for documents that fail by themselves and for all documents of a host whose shrunk failure rate is
     above max_host_rate. Null hosts are judged together as one host; null doc_ids and repeated rows stay as they are; an
-    empty table gives an empty result. Other columns of docs are not read.
+    empty table gives an empty result. Very long texts are counted whole, within their row. Other columns of docs are not read.
     """
     counted = text_counts(docs.select("doc_id", F.col(host).alias("_host"), F.col(text).alias("_text")), "_text").drop("_text")
     judged = materialize(counted.withColumn("base_failed", base_failed(min_words, max_repeat_percent)), "judged")

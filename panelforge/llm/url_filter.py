@@ -77,7 +77,8 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
     """pages with host, path, rule and verdict; rule is null and verdict default where no rule fits.
 
     Columns of pages that have one of these names are replaced. A null url, and one without ://, has an empty host and path,
-    which only a rule without host and path fits. Every row keeps its row.
+    which only a rule without host and path fits. Every row keeps its row, repeated ones too; very long urls are judged whole; an
+    empty table gives an empty one. More than max_rules rules raise ValueError: there is no way without the broadcast.
     """
     trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules, max_rules))
     names = [x for x in pages.columns if x not in ("host", "path", "rule", "verdict")]
