@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.udtf import UserDefinedTableFunction
 
 POLICIES = ("month_start", "month_end", "once")
+#: What the policies are called where they are chosen.
+POLICY_NAMES = {"US Month Start": "month_start", "US Month End": "month_end", "One-time only at beginning": "once"}
+
+
+def policy_of(name: str) -> str:
+    """The policy of a key or of a shown name; raises ValueError for others."""
+    policy = POLICY_NAMES.get(name, name)
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {(*POLICIES, *POLICY_NAMES)}, not {name!r}")
+    return policy
 
 
 def federal_holiday(day: Column) -> Column:
@@ -38,11 +48,10 @@ def business_days(first: Column, last: Column) -> Column:
 def rebalance_dates(dates: DataFrame, policy: str = "month_start", generator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(panel_id, date): the policy's dates that are dates of the panel; a month whose date is missing there has none.
 
-    month_start and month_end: the first and last business day of each month. once: the first of the month starts only.
+    policy is a key of POLICIES or a name of POLICY_NAMES. month_start and month_end: the first and last business day of each month. once: the first of the month starts only.
     generator, if given, makes the calendar from (panel_id, first, last) as (panel_id, date) instead; see generated_by().
     """
-    if generator is None and policy not in POLICIES:
-        raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
+    policy = policy if generator else policy_of(policy)
     days = dates.select("panel_id", "date").distinct()
     span = days.groupBy("panel_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     if generator is not None:

@@ -289,6 +289,17 @@ def ewma_moments(rets: DataFrame, span: int, value: str = "ret", days: int = RAN
     return both.select("panel_id", "date", "ticker", F.col("cut").alias("clipped"), "mean", F.sqrt("_square").alias("vol"))
 
 
+METHODS = ("ewma", "sample")
+
+
+def by_method(rets: DataFrame, method: str = "ewma", span: int = 63, value: str = "ret") -> DataFrame:
+    """The covariances of a risk estimate, by the name of its method: weighted with that span, or of the last span rows."""
+    method = str(getattr(method, "value", method)).lower()
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
+    return ewma_covariance(rets, span, value=value) if method == "ewma" else sample_covariance(rets, span, value=value)
+
+
 def latest_matrix(cov: DataFrame, labels: Sequence[str]) -> DataFrame:
     """(panel_id, date, label, a column for each label): the covariances of each panel's last date as a matrix."""
     last = cov.groupBy("panel_id").agg(F.max("date").alias("date"))

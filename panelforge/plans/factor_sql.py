@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from panelforge.plans.sql import _EWFULL, _EWMA, _EX, _RISK, _SUMMARY, BACKTEST, D, of, x
+from panelforge.plans.sql import _EWFULL, _EWMA, _EX, _RISK, _SUMMARY, BACKTEST, D, of, pairs, x
 
 _FACTORS = """factors(k, factor, ticker, n, note) AS (VALUES
   (1, 'Equity', 'T1', 0, 'top level'), (2, 'Rates', 'T2', 0, 'top level'), (3, 'Credit', 'T3', 2, 'without Equity, Rates'), (4, 'Commodities', 'T4', 2, 'without Equity, Rates'), (5, 'ForeignCurrency', 'T5', 2, 'without Equity, Rates'),
@@ -99,6 +99,10 @@ split AS (
   SELECT date, s AS systematic_vol, i AS idio_vol, CASE WHEN s * s + i * i > 0 THEN s * s / (s * s + i * i) ELSE 0 END AS systematic_share, CASE WHEN s * s + i * i > 0 THEN i * i / (s * s + i * i) ELSE 0 END AS idio_share
   FROM (SELECT v.date, vol * sqrt(252::DOUBLE) AS s, sqrt(resid_var) * sqrt(252::DOUBLE / 5) AS i FROM vols v JOIN fit f ON f.date = v.date AND term = 'const')
 )"""
+#: The same with covariances of the last 63 rows.
+_SAMPLE_RISK = f"""{_FACTOR_RISK[: _FACTOR_RISK.index(weighted('c', 'whole_steps', 63))]}{pairs('whole_steps', 'ret')},
+cov AS (SELECT date, i, j, CASE WHEN count(*) OVER w = 63 THEN covar_samp(x, y) OVER w END AS cov FROM pairs WINDOW w AS (PARTITION BY i, j ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
+{_FACTOR_RISK[_FACTOR_RISK.index('exposed AS') :]}"""
 _LAST = "WHERE date = (SELECT max(date) FROM exposed)"
 _A = "sqrt(252.0::DOUBLE)"
 
@@ -119,6 +123,8 @@ SQL: dict[str, str] = {
         f"SELECT {x('low', 8, 'CASE WHEN p[1] < p[2] THEN p[1] ELSE p[1] - 1e-6 END')}, {x('high', 8, 'CASE WHEN p[1] < p[2] THEN p[2] ELSE p[2] + 1e-6 END')} FROM (SELECT quantile_cont(contrib, [0.03, 0.97]) AS p FROM trended HAVING count(*) > 0)", *_ROLLING, _DAILY
     ),
     "factor_risk_latest": of(f"SELECT {D}, label, {x('exposure')}, {x('vol', 6, f'vol * {_A}')}, {x('mctr', 6, f'mctr * {_A}')}, {x('ctr', 6, f'ctr * {_A}')}, {x('ctr_pct')} FROM rc {_LAST}", *_ROLLING, _FACTOR_RISK),
+    "factor_risk_sample": of(f"SELECT {D}, label, {x('exposure')}, {x('vol', 6, f'vol * {_A}')}, {x('mctr', 6, f'mctr * {_A}')}, {x('ctr', 6, f'ctr * {_A}')}, {x('ctr_pct')} FROM rc {_LAST}", *_ROLLING, _SAMPLE_RISK),
+    "factor_risk_rebal": of(f"SELECT {D}, label, {x('exposure')}, {x('vol', 6, f'vol * {_A}')}, {x('mctr', 6, f'mctr * {_A}')}, {x('ctr', 6, f'ctr * {_A}')}, {x('ctr_pct')} FROM rc WHERE date IN (SELECT date FROM steps WHERE hit)", *_ROLLING, _FACTOR_RISK),
     "variance_split": of(f"SELECT {D}, {x('systematic_vol')}, {x('idio_vol')}, {x('systematic_share')}, {x('idio_share')} FROM split", *_ROLLING, _FACTOR_RISK),
     "context_snapshot": of(
         f"""SELECT 'all' AS panel_id, '{{"summary_stats":{{' || (SELECT string_agg('"' || metric || '":"' || CASE WHEN day IS NOT NULL THEN day WHEN value IS NULL THEN '' WHEN metric = 'Sharpe' THEN printf('%.2f', value) WHEN metric LIKE '%(days)' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE printf('%.2f%%', 100 * value) END || '"', ',' ORDER BY metric)

@@ -552,15 +552,16 @@ def trend_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(views.color_domain(exposure.trend(daily_attribution(spark, sf_dir), TREND)), low=8, high=8)
 
 
-@shared
-def factor_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+def factor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple returns of the factors' levels."""
     levels = factor_levels(spark, sf_dir).select("panel_id", "date", F.col("factor").alias("ticker"), F.col("level").alias("price"))
-    return covariance.ewma_covariance(returns.returns(levels, method="simple"), RISK_WINDOW)
+    return returns.returns(levels, method="simple")
 
 
-def factor_risk(spark: SparkSession, sf_dir: str, which: str = "latest") -> DataFrame:
+def factor_risk(spark: SparkSession, sf_dir: str, which: str = "latest", method: str = "ewma") -> DataFrame:
     fits = fitted(spark, sf_dir).where("term <> 'const'").select("panel_id", "date", F.col("term").alias("label"), F.col("beta").alias("exposure"))
-    return risk.contributions(risk.pick_dates(fits.where("exposure is not null"), which), factor_cov(spark, sf_dir))
+    rebal = calendar.rebalance_dates(portfolio_prices(spark, sf_dir), "US Month Start") if which == "rebal_only" else None
+    return risk.contributions(risk.pick_dates(fits.where("exposure is not null"), which, rebal), covariance.by_method(factor_steps(spark, sf_dir), method, RISK_WINDOW))
 
 
 @query
@@ -568,6 +569,16 @@ def factor_risk_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(factor_risk(spark, sf_dir), "date", "label", **RISK)
 
 
+@query
+def factor_risk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(factor_risk(spark, sf_dir, method="sample"), "date", "label", **RISK)
+
+
+@query
+def factor_risk_rebal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(factor_risk(spark, sf_dir, "rebal_only"), "date", "label", **RISK)
+
+
 @query
 def variance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = fitted(spark, sf_dir).where("term = 'const'")
