@@ -79,7 +79,7 @@ def analyse(prices: DataFrame, assets: DataFrame, rates: DataFrame, money: DataF
     free, result = found["free"], found["backtest"]
     local = panel.complete_dates(found["prices"].where(F.col("ticker").isin([f.ticker for f in proxies])))
     made = factors.construct(local, free, proxies, spans.factor_cov, spans.scale)
-    levels = written(returns.growth(made.withColumnRenamed("factor", "ticker")).withColumnRenamed("ticker", "factor").where("level is not null"), "levels")
+    levels = written(returns.growth(made.withColumnRenamed("factor", "ticker")).withColumnRenamed("ticker", "factor"), "levels")  # dense: children start later than parents
     days = levels.select("panel_id", "date").distinct()
     nav = result.select("panel_id", "date", "nav").join(days, ["panel_id", "date"], "left_semi")
     fits = written(exposure.exposures(levels, nav, free, "rolling", spans.lookback), "fits")

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.functions import series
+from panelforge.functions import scans, series
 from panelforge.operators import backtest as bt
 from panelforge.operators import calendar, covariance, exposure, factors, fx, performance, returns, risk, views
-from panelforge.plans import catalog, factor_sql
+from panelforge.plans import catalog, factor_sql, panel_sql
 from panelforge.sources import dims, panel
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +20,8 @@ FACTOR_SF = "/root/testdata/sf0.01"
 
 def duck(folder):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    for table in ("lineitem", "supplier", "nation", "region"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     return con
 
 
@@ -30,7 +31,7 @@ def plain(rows):
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_against_sql(spark, name):
-    folder = FACTOR_SF if name in factor_sql.SQL else SF
+    folder = FACTOR_SF if name in {**factor_sql.SQL, **panel_sql.SQL} else SF
     want = duck(folder).execute(catalog.SQL[name])
     names = [d[0] for d in want.description]
     got = catalog.QUERIES[name](spark, folder)
@@ -66,7 +67,8 @@ def test_fills(spark):
     w = series.along()
     assert values(x.withColumn("v", series.forward_fill(F.col("price"), w, 5)), "v") == [1.0] * 6 + [None, None, 2.0, 2.0, 2.0]
     assert values(x.withColumn("v", series.fill_budget(F.col("price"), w)), "v") == [1.0, *[0.0] * 5, None, None, 2.0, None, None]
-    assert values(one_series(spark, [None, 3.0, None]).withColumn("v", series.fill_both_ways(F.col("price"), w)), "v") == [3.0] * 3
+    both = scans.fill_both_ways(one_series(spark, [None, 3.0, None]), "price", series.KEYS)
+    assert values(both, "price") == [3.0] * 3
     with pytest.raises(ValueError):
         series.lagged_return(F.col("price"), w, method="geometric")
 
