@@ -17,15 +17,13 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialize
+from panelforge.llm.common import Scratch
 from panelforge.llm.shingles import BASE, BYTE_CODE, U, mixed, powers
 
 MIN_BYTES, ANCHOR_BYTES = 200, 40
-#: A list up to this large is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
 #: An anchor with more different contexts than this has its strings compared one by one instead of in a shard.
 SHARD_CONTEXTS = 1000
 SHARD_BYTES = 1 << 18
@@ -187,95 +185,54 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(data).alias("t1"), F.xxhash64(F.lit("2"), data).alias("t2"), data.alias("data"))
 
 
-def _few(rows: DataFrame, columns: int) -> bool:
-    most = BROADCAST_BYTES // (8 * columns)
-    return rows.limit(most + 1).count() <= most
-
-
-def _arrays(rows: DataFrame, names: list[str]) -> list[np.ndarray] | None:
-    """The columns (long) of rows sorted by the first two, if there are few enough to broadcast."""
-    if not _few(rows, len(names)):
-        return None
-    table = rows.select(*names).toArrow()
-    columns = [table.column(x).to_numpy() for x in names]
-    order = np.lexsort([columns[2], columns[1], columns[0]])
-    return [c[order] for c in columns]
-
-
-def _own(arrays: list[np.ndarray], t1: int, t2: int) -> slice:
-    """Where the sorted arrays have the text's rows."""
-    a, b = np.searchsorted(arrays[0], t1), np.searchsorted(arrays[0], t1, side="right")
-    c, d = np.searchsorted(arrays[1][a:b], t2), np.searchsorted(arrays[1][a:b], t2, side="right")
-    return slice(a + c, a + d)
-
-
-def with_places(keyed: DataFrame, places: DataFrame, names: list[str], make, schema: str, may_broadcast: bool) -> DataFrame:  # noqa: ANN001
-    """make(ids, t1, t2, data, places of the text as arrays) for every row of keyed; places (t1, t2, *names) by a join, or by broadcast if that may be and they are few."""
-    arrays = _arrays(places, ["t1", "t2", *names]) if may_broadcast else None
-    if arrays is not None:
-        shared = keyed.sparkSession.sparkContext.broadcast(arrays)
-
-        def by_lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, t1, t2, data = (batch.column(k) for k in range(4))
-                rows = [_own(shared.value, a, b) for a, b in zip(t1.to_pylist(), t2.to_pylist(), strict=True)]
-                yield make(ids, t1, t2, data, [[x[r] for x in shared.value[2:]] for r in rows])
-
-        return keyed.mapInArrow(by_lookup, schema)
+def with_places(keyed: DataFrame, places: DataFrame, names: list[str], make, schema: str) -> DataFrame:  # noqa: ANN001
+    """make(ids, t1, t2, data, places of the text as arrays) for every row of keyed; places (t1, t2, *names) are joined as a list for each text."""
     lists = places.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_places"))
 
     def by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[np.array([p[n] for p in row or ()], np.int64) for n in names] for row in batch.column(4).to_pylist()]
+            flat = batch.column(4).flatten().flatten()
+            ends = np.cumsum(batch.column(4).value_lengths().fill_null(0).to_numpy())
+            own = [[x.to_numpy()[a:b] for x in flat] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             yield make(*(batch.column(k) for k in range(4)), own)
 
     return keyed.join(lists, ["t1", "t2"], "left").select(*keyed.columns, "_places").mapInArrow(by_row, schema)
 
 
-def shared_runs(keyed: DataFrame, width: int, anchor: int) -> DataFrame:
+def shared_runs(keyed: DataFrame, width: int, anchor: int, scratch: Scratch) -> DataFrame:
     """(anchor, context, strings, t1, t2, start) for all contexts whose anchor's code stands at two places or more."""
-    spark = keyed.sparkSession
-
-    def made(known):  # noqa: ANN001, ANN202
-        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                t1, t2 = batch.column(1), batch.column(2)
-                r = Runs(batch.column(3).to_pylist(), width, anchor)
-                code = _signed(r.anchor)
-                keep = np.ones(len(code), bool)
-                if known is not None:
-                    at = np.minimum(np.searchsorted(known.value, code), max(0, len(known.value) - 1))
-                    keep = known.value[at] == code if len(known.value) else ~keep
-                of = pa.array(r.text[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(code[keep]), pa.array(_signed(r.context)[keep]), pa.array(r.strings[keep]), t1.take(of), t2.take(of), pa.array(r.start[keep])], ["anchor", "context", "strings", "t1", "t2", "start"])
-
-        return keyed.mapInArrow(runs, "anchor long, context long, strings long, t1 long, t2 long, start long")
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t1, t2 = batch.column(1), batch.column(2)
+            r = Runs(batch.column(3).to_pylist(), width, anchor)
+            of = pa.array(r.text)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(r.anchor)), pa.array(_signed(r.context)), pa.array(r.strings), t1.take(of), t2.take(of), pa.array(r.start)], ["anchor", "context", "strings", "t1", "t2", "start"])
+
+    every = scratch.write(keyed.mapInArrow(made, "anchor long, context long, strings long, t1 long, t2 long, start long"), "every")
     place = F.xxhash64("t1", "t2", "start")
-    shared = made(None).select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("anchor")
-    shared = materialize(shared, "anchors")
-    if _few(shared, 1):
-        known = spark.sparkContext.broadcast(np.sort(shared.toArrow().column("anchor").to_numpy()))
-        return made(known)
-    return made(None).join(shared, "anchor", "left_semi")
+    shared = every.select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("anchor")
+    out = scratch.write(every.join(shared, "anchor", "left_semi"), "runs")
+    scratch.drop("every")
+    return out
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """(t1, t2, low, high): by text, identified by two codes, the parts that are covered by repeated strings; not merged."""
-    return _spans(_keyed(docs, text), min_bytes, anchor_bytes)
+    return _spans(_keyed(docs, text), min_bytes, anchor_bytes, Scratch(docs.sparkSession, "repeats"))
 
 
-def _spans(keyed: DataFrame, width: int, anchor: int) -> DataFrame:
-    runs = materialize(shared_runs(keyed, width, anchor), "runs")
+def _spans(keyed: DataFrame, width: int, anchor: int, scratch: Scratch) -> DataFrame:
+    runs = shared_runs(keyed, width, anchor, scratch)
     place = F.xxhash64("t1", "t2", "start")
     contexts = runs.groupBy("anchor", "context", "strings").agg(F.min(place).alias("_a"), F.max(place).alias("_b"), F.min(F.struct("t1", "t2", "start")).alias("_at"))
-    contexts = materialize(contexts, "contexts")
+    contexts = scratch.write(contexts, "contexts")
     whole = contexts.where("_a < _b").select("anchor", "context", "strings", F.lit(0).cast("long").alias("low"), F.col("strings").alias("high"))
 
     # anchors with different contexts
     counts = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     mixed_up = contexts.join(counts, "anchor").select("anchor", "context", "strings", "_at.t1", "_at.t2", "_at.start", "_n")
-    mixed_up = materialize(mixed_up, "mixed")
+    mixed_up = scratch.write(mixed_up, "mixed")
     columns = ["start", "strings", "anchor", "context", "_n"]
 
     def cut(ids, t1, t2, data, places):  # noqa: ANN001, ANN202
@@ -292,8 +249,9 @@ def _spans(keyed: DataFrame, width: int, anchor: int) -> DataFrame:
         kinds = [pa.int64()] * 4 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
-    pieces = with_places(keyed, mixed_up, columns, cut, "anchor long, context long, strings long, _n long, data binary", may_broadcast=False)
-    pieces = materialize(pieces.dropDuplicates(["anchor", "context", "strings"]), "pieces")
+    pieces = with_places(keyed, mixed_up, columns, cut, "anchor long, context long, strings long, _n long, data binary")
+    pieces = scratch.write(pieces.dropDuplicates(["anchor", "context", "strings"]), "pieces")
+    scratch.drop("mixed")
     few = pieces.where(F.col("_n") <= SHARD_CONTEXTS)
     shards = -(-(few.agg(F.sum(F.length("data"))).first()[0] or 0) // SHARD_BYTES) or 1
 
@@ -331,7 +289,8 @@ def strip_repeats(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTE
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Texts are their UTF-8 bytes, null an empty one. kept (binary) is what remains when all bytes covered by repeated strings
-    go. A text that stands in two rows or more goes whole if it has min_bytes bytes. Null ids and repeated rows are rows like
+    go. A text that stands in two rows or more goes whole if it has min_bytes bytes. A very long text is gone through by
+    overlapping segments, in one task. Null ids and repeated rows are rows like
     others, an empty table gives an empty result, other columns aren't read.
     """
     if not 8 <= anchor_bytes <= min_bytes:
@@ -339,7 +298,9 @@ def strip_repeats(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTE
     keyed = _keyed(docs, text)
     copies = keyed.where(F.length("data") >= min_bytes).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("_n"), F.first(F.length("data").cast("long")).alias("high"))
     copies = copies.where("_n > 1").select("t1", "t2", F.lit(0).cast("long").alias("low"), "high")
-    places = materialize(_merged(_spans(keyed, min_bytes, anchor_bytes).unionByName(copies)), "spans")
+    scratch = Scratch(docs.sparkSession, "repeats")
+    places = scratch.write(_merged(_spans(keyed, min_bytes, anchor_bytes, scratch).unionByName(copies)), "spans")
+    scratch.drop("runs", "contexts", "pieces")
 
     def cut(ids, t1, t2, data, own):  # noqa: ANN001, ANN202
         rows = []
@@ -353,4 +314,4 @@ def strip_repeats(docs: DataFrame, text: str = "text", min_bytes: int = MIN_BYTE
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_places(keyed, places, ["low", "high"], cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", may_broadcast=True)
+    return with_places(keyed, places, ["low", "high"], cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
