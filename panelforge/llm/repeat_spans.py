@@ -212,8 +212,9 @@ def shared_runs(keyed: DataFrame, width: int, anchor: int, scratch: Scratch) ->
     every = scratch.write(keyed.mapInArrow(made, "anchor long, context long, strings long, t1 long, t2 long, start long"), "every")
     place = F.xxhash64("t1", "t2", "start")
     shared = every.select("anchor", place.alias("p")).groupBy("anchor").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("anchor")
+    shared = scratch.write(shared, "shared")  # with nothing but a scan on that side, a very common anchor is split
     out = scratch.write(every.join(shared, "anchor", "left_semi"), "runs")
-    scratch.drop("every")
+    scratch.drop("every", "shared")
     return out
 
 
