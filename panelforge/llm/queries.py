@@ -121,11 +121,21 @@ def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *zero.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 finds of the base phrases alone, which SQL can say."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def verbatim_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that op8 finds without an edit, which SQL can say."""
+    return op8_decontaminate(spark, sf_dir).where("distance = 0 and not short").select("doc_id", "item_id", "item_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_url_filter, op3_jaccard_join, op4_chat_format, op5_license_scan, op6_secret_scan, op7_language_id, op8_decontaminate, op9_quality_rules, op10_suffix_dedup,
-        op11_prefix_trie, op12_personal_data, op13_turn_repair,
+        op11_prefix_trie, op12_personal_data, op13_turn_repair, license_base_places, verbatim_benchmark_items,
     )
 }
 
@@ -247,6 +257,21 @@ runs AS (
 kept AS (SELECT r, sha256(unhex(string_agg(hex(d[a + 1:b]), '' ORDER BY a))) AS kept_sha256 FROM pieces JOIN bytes USING (r) GROUP BY r),
 cut AS (SELECT r, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM bytes JOIN kept USING (r) LEFT JOIN cut USING (r)
+""",
+    "license_base_places": r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrases AS (SELECT * FROM (VALUES ('mit license', 2, 'mit'), ('apache license', 2, 'apache'), ('general public license', 3, 'gpl')) AS v(phrase, n, label)),
+places AS (
+  SELECT r, i - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM split) JOIN phrases ON array_to_string(list_slice(w, i, i + n - 1), ' ') = phrase
+), found AS (SELECT r, count(*) AS n, min(place) AS low, max(place) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM split LEFT JOIN found USING (r)
+""",
+    "verbatim_benchmark_items": r"""
+WITH texts AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+items AS (SELECT item_id, trim(regexp_replace(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS t FROM benchmark)
+SELECT doc_id, item_id, CAST(length(i.t) AS INTEGER) AS item_chars FROM texts d JOIN items i ON contains(d.t, i.t) WHERE length(i.t) >= 24
 """,
     "op11_prefix_trie": structure_sql.PREFIX_TRIE,
     "op12_personal_data": structure_sql.PERSONAL_DATA,

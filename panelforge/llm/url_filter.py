@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from panelforge.llm.common import Scratch, column
+
 URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The production rules, (host and path, verdict).
@@ -27,18 +29,14 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(UPPER), m[2]) if m else ("", "")
 
 
-def build_trie(rules: Iterable[tuple[str, str]], max_rules: int = 2_000_000) -> dict:
+def build_trie(rules: Iterable[tuple[str, str]]) -> dict:
     """A trie of dictionaries: host labels from the last to the first, then under "/" the path's segments.
 
     A rule is a host, then maybe a path from its first slash on. A node holds under "" the (unfinished last segment, rule,
-    verdict) of the rules that end there, longest first. Rules are broadcast, so there may be at most max_rules of them. Of
-    a rule given twice the last counts.
+    verdict) of the rules that end there, longest first. Of a rule given twice the last counts.
     """
     trie: dict = {}
-    rules = dict(rules)
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; the broadcast is bounded to {max_rules}")
-    for rule, verdict in rules.items():
+    for rule, verdict in dict(rules).items():
         host, slash, path = rule.partition("/")
         node, rest = trie, ""
         for label in reversed(host.split(".")) if host else []:
@@ -73,22 +71,44 @@ def longest_match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
     return None
 
 
+def precedence(rule: str | None) -> tuple[int, int]:
+    """Of two rules that fit a url the one with the larger precedence counts; None has the least."""
+    host = (rule or "").partition("/")[0]
+    return (-1, 0) if rule is None else (host.count(".") + 1 if host else 0, len(rule))
+
+
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = "allow", url: str = "url", max_rules: int = 2_000_000) -> DataFrame:
     """pages with host, path, rule and verdict; rule is null and verdict default where no rule fits.
 
     Columns of pages that have one of these names are replaced. A null url, and one without ://, has an empty host and path,
     which only a rule without host and path fits. Every row keeps its row, repeated ones too; very long urls are judged whole; an
-    empty table gives an empty one. More than max_rules rules raise ValueError: there is no way without the broadcast.
+    empty table gives an empty one. Rules go in blocks of max_rules, one after the other, so that no more are broadcast at once;
+    between blocks the table is written, with the best rule so far.
     """
-    trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules, max_rules))
     names = [x for x in pages.columns if x not in ("host", "path", "rule", "verdict")]
-
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            split = [split_url(x) for x in batch.column(names.index(url)).to_pylist()]
-            found = [longest_match(trie.value, *x) for x in split]
-            more = [[x[0] for x in split], [x[1] for x in split], [x and x[0] for x in found], [x[1] if x else default for x in found]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.string()) for x in more)], [*names, "host", "path", "rule", "verdict"])
-
-    schema = StructType([*pages.select(*names).schema.fields, *(StructField(x, StringType()) for x in ("host", "path", "rule", "verdict"))])
-    return pages.select(*names).mapInArrow(judged, schema)
+    known, at = list(dict(rules).items()), names.index(url)
+    out = pages.select(*map(column, names)).toDF(*(f"_c{k}" for k in range(len(names))))  # whatever they are called
+    schema = StructType([*out.schema.fields, *(StructField(x, StringType()) for x in ("host", "path", "rule", "verdict"))])
+    scratch = Scratch(pages.sparkSession, "urls") if len(known) > max_rules else None
+
+    def step(rows: DataFrame, block: list[tuple[str, str]], first: bool) -> DataFrame:
+        trie = pages.sparkSession.sparkContext.broadcast(build_trie(block))
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                split = [split_url(x) for x in batch.column(at).to_pylist()]
+                found = [longest_match(trie.value, *x) or (None, default) for x in split]
+                if not first:
+                    before = zip(*(batch.column(len(names) + k).to_pylist() for k in (2, 3)), strict=True)
+                    found = [max(x, y, key=lambda r: precedence(r[0])) for x, y in zip(before, found, strict=True)]
+                more = [*zip(*split, strict=True), *zip(*found, strict=True)] if split else [()] * 4
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(x, pa.string()) for x in more)], schema.names)
+
+        return rows.mapInArrow(judged, schema)
+
+    for k in range(0, max(1, len(known)), max_rules):
+        if k:
+            out = scratch.write(out, "judged")
+            scratch.drop("judged", last=1)
+        out = step(out, known[k : k + max_rules], first=k == 0)
+    return out.toDF(*names, "host", "path", "rule", "verdict")

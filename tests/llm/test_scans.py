@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,8 +222,6 @@ def test_url_trie_against_all_rules():
             assert (host, path) == (h.lower(), p)
             assert url_filter.longest_match(trie, host, path) == brute_rule(host, path, rules), (h, p)
     assert url_filter.split_url(None) == url_filter.split_url("no scheme/x") == ("", "")
-    with pytest.raises(ValueError):
-        url_filter.build_trie(rules, max_rules=2)
 
 
 def test_urls_edge_cases(spark):
@@ -230,6 +229,18 @@ def test_urls_edge_cases(spark):
     out = url_filter.judge_urls(df)
     assert sorted((str(r["page_id"]), r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()) == [("1", "", "", None, "allow")] * 2 + [("None", "a.net", "/es/1", "net/es/", "block")]
     assert url_filter.judge_urls(df.where("false")).count() == 0
+    assert url_filter.judge_urls(df, rules=()).where("rule is null and verdict = 'allow'").count() == 3
+
+
+@pytest.mark.parametrize("max_rules", [1, 2, 4, 100])
+def test_rules_in_blocks(spark, max_rules):
+    rules = [*url_filter.RULES, ("org", "block"), ("org/a", "allow"), ("org/a/b", "block"), ("/only", "block"), ("", "block"), ("x.org/", "allow"), ("com/", "block")]
+    urls = [f"http://{h}{p}" for h in ("", "com", "www.example.com", "example.com", "org", "y.x.org", "b.net") for p in ("", "/", "/en/x", "/es/1", "/a", "/a/b", "/only/x")] + [None]
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, `a.b` string")
+    out = {r["page_id"]: r for r in url_filter.judge_urls(df, rules, default="none", max_rules=max_rules).collect()}
+    for k, u in enumerate(urls):
+        want = brute_rule(*url_filter.split_url(u), list(dict(rules).items())) or (None, "none")
+        assert (out[k]["rule"], out[k]["verdict"], out[k]["a.b"]) == (*want, "x"), u
 
 
 def test_chat_digests(spark):
@@ -518,3 +529,15 @@ def test_benchmark_passages_are_found(spark, documents):
     items = {r["item_id"]: decontaminate.fold(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     whole = {(i, j) for i, d in documents.items() for j, t in items.items() if t in decontaminate.fold(d["text"])}
     assert len(whole) > 10 and whole <= found
+
+
+@pytest.mark.parametrize(("name", "least"), [("license_base_places", 1000), ("verbatim_benchmark_items", 20)])
+def test_parts_that_sql_can_say(spark, name, least):
+    base = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = base.execute(queries.SQL[name])
+    names = [x[0] for x in want.description]
+    want = Counter(want.fetchall())
+    got = queries.QUERIES[name](spark, SF)
+    assert got.columns == names and Counter(map(tuple, got.collect())) == want and want.total() >= least
