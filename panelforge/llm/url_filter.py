@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -91,9 +92,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
     schema = StructType([*out.schema.fields, *(StructField(x, StringType()) for x in ("host", "path", "rule", "verdict"))])
     scratch = Scratch(pages.sparkSession, "urls") if len(known) > max_rules else None
 
-    def step(rows: DataFrame, block: list[tuple[str, str]], first: bool) -> DataFrame:
-        trie = pages.sparkSession.sparkContext.broadcast(build_trie(block))
-
+    def step(rows: DataFrame, trie: Broadcast, first: bool) -> DataFrame:
         def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 split = [split_url(x) for x in batch.column(at).to_pylist()]
@@ -106,9 +105,12 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defau
 
         return rows.mapInArrow(judged, schema)
 
+    trie = None
     for k in range(0, max(1, len(known)), max_rules):
         if k:
             out = scratch.write(out, "judged")
             scratch.drop("judged", last=1)
-        out = step(out, known[k : k + max_rules], first=k == 0)
+            trie.unpersist()
+        trie = pages.sparkSession.sparkContext.broadcast(build_trie(known[k : k + max_rules]))
+        out = step(out, trie, first=k == 0)
     return out.toDF(*names, "host", "path", "rule", "verdict")
