@@ -43,6 +43,8 @@ HUBS = 8
 #: Classes, and shingles of all their sets, in a block of a component whose links are sought.
 TILE_ROWS, TILE_CODES = 1000, 1_000_000
 BATCH_BYTES = 1 << 20
+#: Shingles of sets whose words are made at a time.
+CELL_CODES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -71,26 +73,46 @@ class Rule:
         return out
 
 
-def cell_words(codes: np.ndarray, band: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A set's sketch words of a band, each as a code of its band, its place and what is XORed there: those with shingles, how many each has, and the empty ones."""
-    place = (codes >> U(16)) % U(size)
-    order = np.argsort(place, kind="stable")
-    place = place[order]
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    words = np.bitwise_xor.reduceat(mixed(codes[order] + U(band)), starts)
-    at = place[starts]
-    keys = mixed(words ^ mixed(at * U(64) + U(band)))
-    empty = mixed(mixed(np.setdiff1d(np.arange(size, dtype=U), at) * U(64) + U(band)))
-    return keys, np.diff(np.concatenate([starts, [len(codes)]])), empty
+def sketch_words(codes: np.ndarray, n: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of sets (codes, one set after the other, and how many each has) a row for each set and scheme: set, band, words to list, words with shingles, and the words.
+
+    A word is a code of its band, its place and what is XORed there, under a first byte that tells how many shingles it has:
+    0 for 255 and more, 254 for one, 255 for none. They are sorted, so those of most shingles are first; of those without
+    shingles there are as many as the list lacks. Places are taken from the codes' high bits, so that sorted codes are in order of place.
+    """
+    plan = [(k, *scheme) for k, size in enumerate(n.tolist()) for scheme in rule.schemes(size)]
+    if not plan:
+        return *(np.zeros(0, np.int64) for _ in range(4)), []
+    of, band, size, first = np.array(plan, np.int64).T
+    many, low = n[of], np.cumsum(size) - size
+    stops = np.cumsum(many)
+    mine = codes[np.arange(stops[-1]) + np.repeat((np.cumsum(n) - n)[of] - (stops - many), many)]
+    row = np.repeat(np.arange(len(of)), many)
+    cell = low[row] + ((mine >> U(32)) * size[row].astype(U) >> U(32)).astype(np.int64)
+    if (cell[1:] < cell[:-1]).any():
+        order = np.argsort(cell, kind="stable")
+        mine, row, cell = mine[order], row[order], cell[order]
+    new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    xored = np.bitwise_xor.reduceat(mixed(mine + band[row].astype(U)), new)
+    row, cell, weight = row[new], cell[new], np.diff(np.append(new, len(cell)))
+    coded = lambda x, place, b: mixed(x ^ mixed(place.astype(U) * U(64) + b.astype(U))) >> U(8)
+    words = coded(xored, cell - low[row], band[row]) | (U(255) - np.minimum(weight, 255).astype(U)) << U(56)
+    filled = np.bincount(row, minlength=len(of))
+    ends = np.cumsum(filled)
+    lists = [words[a:b] for a, b in zip(ends - filled, ends, strict=True)]
+    for x in lists:
+        x.sort()
+    for k in np.flatnonzero(filled < first):
+        place = np.setdiff1d(np.arange(size[k]), cell[ends[k] - filled[k] : ends[k]] - low[k])
+        empty = np.sort(coded(U(0), place, band[k]) | U(255) << U(56))
+        lists[k] = np.concatenate([lists[k], empty[: first[k] - filled[k]]])
+    return of, band, first, filled, lists
 
 
 def listed_words(codes: np.ndarray, rule: Rule) -> np.ndarray:
     """The sketch words that a set lists: of each scheme the first ones, those of most shingles first, then by code; words without shingles are the last."""
-    out = []
-    for band, size, first in rule.schemes(len(codes)):
-        keys, weight, empty = cell_words(codes, band, size)
-        out.append(np.concatenate([keys[np.lexsort((keys, -weight))], np.sort(empty)])[:first])
-    return np.concatenate(out) if out else np.zeros(0, U)
+    _, _, first, _, lists = sketch_words(codes, np.array([len(codes)]), rule)
+    return np.concatenate([np.zeros(0, U), *(x[:k] for x, k in zip(lists, first, strict=True))])
 
 
 def bit_sketch(codes: np.ndarray) -> np.ndarray:
@@ -117,41 +139,42 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sets(texts: list[str | None], width: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Some texts at a time: their sets, and the two codes of each set (0 for the empty one)."""
+def _lists(arrays: list[np.ndarray], sizes: np.ndarray | list[int]) -> pa.Array:
+    """Lists of these sizes, filled with the arrays one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(_signed(np.concatenate([np.zeros(0, U), *arrays]))))
+
+
+def _sets(texts: list[str | None], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some texts at a time: their sets, one after the other, how many shingles each has, and the two codes of each set (0 for the empty one)."""
     for _, part in _batches(texts):
         codes, n = shingle_codes(part, width)
         ends = np.cumsum(n)
-        sets = [codes[a:b] for a, b in zip(ends - n, ends, strict=True)]
         some = np.flatnonzero(n)
         one, two = np.zeros(len(part), U), np.zeros(len(part), U)
         if len(some):
             one[some] = np.add.reduceat(mixed(codes ^ U(0x5851F42D4C957F2D)), (ends - n)[some])
             two[some] = np.add.reduceat(mixed(codes + U(0x14057B7EF767814F)), (ends - n)[some])
-        yield sets, one, two
-
+        yield codes, n, one, two
 
-def signatures(docs: DataFrame, rule: Rule, listing: bool) -> DataFrame:
-    """For each row of docs (doc_id, _t, _text): doc_id, _t, n (shingles), c1 and c2 (codes of the set); with listing, also its bit sketch and listed words."""
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        flat = np.concatenate(arrays) if arrays else np.zeros(0, U)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(_signed(flat)))
+def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
+    """For each row of docs (doc_id, _t, _text): doc_id, _t, n (shingles), c1 and c2 (codes of the set), its bit sketch and listed words."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for sets, one, two in _sets(batch.column(2).to_pylist(), rule.width):
-                columns = [*(batch.column(k).slice(done, len(sets)) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two))]
-                names = ["doc_id", "_t", "n", "c1", "c2"]
-                done += len(sets)
-                if listing:
-                    columns += [lists([bit_sketch(s) for s in sets]), lists([listed_words(s, rule) for s in sets])]
-                    names += ["sketch", "words"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for codes, n, one, two in _sets(batch.column(2).to_pylist(), rule.width):
+                ends = np.cumsum(n)
+                sketches = [bit_sketch(codes[a:b]) for a, b in zip(ends - n, ends, strict=True)]
+                of, _, first, _, words = sketch_words(codes, n, rule)
+                words = [x[:k] for x, k in zip(words, first, strict=True)]
+                sizes = np.bincount(of, weights=[len(x) for x in words], minlength=len(n)).astype(np.int64)
+                columns = [*(batch.column(k).slice(done, len(n)) for k in (0, 1)), pa.array(n, pa.int64()), pa.array(_signed(one)), pa.array(_signed(two))]
+                columns += [_lists(sketches, [len(x) for x in sketches]), _lists(words, sizes)]
+                done += len(n)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_t", "n", "c1", "c2", "sketch", "words"])
 
-    more = ", sketch array<long>, words array<long>" if listing else ""
-    return docs.select("doc_id", "_t", "_text").mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _t long, n long, c1 long, c2 long{more}")
+    return docs.select("doc_id", "_t", "_text").mapInArrow(signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _t long, n long, c1 long, c2 long, sketch array<long>, words array<long>")
 
 
 def near_bound(a: str, b: str, rule: Rule) -> Column:
@@ -164,6 +187,7 @@ def near_bound(a: str, b: str, rule: Rule) -> Column:
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of pairs (a, b: class ids) whose sets (cid, codes) are linked."""
+    sets = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")), "cid", "left_semi")  # few, after the first rounds
     left = sets.select(F.col("cid").alias("a"), F.col("codes").alias("_a"))
     right = sets.select(F.col("cid").alias("b"), F.col("codes").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b")).cast("long")
@@ -199,54 +223,73 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets, one, two in _sets(batch.column(1).to_pylist(), rule.width):
-                codes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(_signed(np.concatenate(sets))))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), codes], ["c1", "c2", "codes"])
+            for codes, n, one, two in _sets(batch.column(1).to_pylist(), rule.width):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), _lists([codes], n)], ["c1", "c2", "codes"])
 
     rows = texts.mapInArrow(made, "c1 long, c2 long, codes array<long>")
     return rows.join(wanted.select("cid", "t", "c1", "c2"), ["c1", "c2"]).select("cid", "codes")
 
 
 def rarest_words(sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """(cid, word): the words that sets (cid, codes) list if those that fewest of them have come first; words without shingles are the last."""
+    """(cid, word): the words that sets (cid, codes) list if those that fewest of them have come first, but for those that one has alone; words without shingles are the last."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, ends = batch.column(1).flatten().to_numpy().view(U), np.cumsum(batch.column(1).value_lengths().to_numpy())
-            for cid, low, high in zip(batch.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                for band, size, first in rule.schemes(high - low):
-                    keys, _, empty = cell_words(codes[low:high], band, size)
-                    empty = np.sort(empty)[: max(0, first - len(keys))]
-                    n = len(keys) + len(empty)
-                    words = np.concatenate([keys, empty])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, x)) for x in (cid, band, first)] + [pa.array(_signed(words)), pa.array(np.arange(n) >= len(keys))], ["cid", "band", "first", "word", "empty"])
-
-    rows = scratch.write(sets.select("cid", "codes").mapInArrow(cells, "cid long, band long, first long, word long, empty boolean"), "cells")
-    often = scratch.write(rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "often")
-    place = F.row_number().over(Window.partitionBy("cid", "band").orderBy("empty", F.coalesce("_n", F.lit(1)), "word"))  # one set's words in one band
-    return rows.join(often, "word", "left").withColumn("_k", place).where("_k <= first").where("_n > 1").select("cid", "word")
-
-
-def _shared_words(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of words (cid, word) whose word stands in another row."""
-    shared = scratch.write(words.groupBy("word").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("word"), "shared")
-    out = scratch.write(words.join(shared, "word"), "members")
-    scratch.drop("shared")
-    return out
+            cids, codes, n = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().view(U), batch.column(1).value_lengths().to_numpy().astype(np.int64)
+            ends = np.cumsum(n)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // CELL_CODES)) + 1).tolist(), len(n)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                of, band, first, filled, words = sketch_words(codes[ends[a] - n[a] : ends[b - 1]], n[a:b], rule)
+                each = lambda x, many=[len(w) for w in words]: pa.array(np.repeat(x, many))
+                flat = pa.array(_signed(np.concatenate([np.zeros(0, U), *words])))
+                yield pa.RecordBatch.from_arrays([each(cids[a:b][of]), each(band), each(np.maximum(0, filled - first)), flat], ["cid", "band", "skip", "word"])
 
+    # words that one set has alone are its first ones: what a list leaves out is counted from its end
+    rows = scratch.write(_in_two_rows(sets.select("cid", "codes").mapInArrow(cells, "cid long, band long, skip long, word long")), "cells")
+    often = scratch.write(rows.groupBy("word").agg(F.count(F.lit(1)).alias("_n")), "often")
+    empty = F.shiftright("word", 56) == -1
+    place = F.row_number().over(Window.partitionBy("cid", "band").orderBy(empty, F.desc("_n"), F.desc("word")))  # one set's words in one band
+    return rows.join(often, "word").withColumn("_k", place).where(empty | (F.col("_k") > F.col("skip"))).select("cid", "word")
 
-def _connected(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs (doc_id, _t, _text): classes (cid, c1, c2, doc, first, weight, n, sketch), and of those that list a word with another labels (cid, label) and sets (cid, codes).
+
+def _in_two_rows(rows: DataFrame) -> DataFrame:
+    """The rows whose word (a long) stands in another row: each next to its like in order of words, read once as a stream."""
+    at = rows.columns.index("word")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, False  # the last row so far waits for the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column(at).to_numpy()
+            same = words[1:] == words[:-1]
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if last is not None:
+                again = last.column(at)[0].as_py() == words[0]
+                keep[0] |= again
+                if kept or again:
+                    yield last
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+            last, kept = batch.slice(batch.num_rows - 1), keep[-1]
+        if kept:
+            yield last
+
+    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(found, rows.schema)
+
+
+def _connected(docs: DataFrame, full: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, _t, _text) and their signatures: classes (cid, c1, c2, doc, first, weight, n, sketch), and of those that list a word with another labels (cid, label) and sets (cid, codes).
 
     first (none, doc, t) tells the row that stands for the class: its id, ids first, and the code of its text.
     """
-    full = signatures(docs, rule, listing=True).where("n > 0")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("_t").alias("t"))
     keep = [F.min("doc_id").alias("doc"), F.min(first).alias("first"), F.count(F.lit(1)).alias("weight"), *(F.first(x).alias(x) for x in ("n", "sketch", "words"))]
-    found = scratch.write(full.groupBy("c1", "c2").agg(*keep).withColumn("cid", F.monotonically_increasing_id()), "found")
+    found = scratch.write(full.where("n > 0").groupBy("c1", "c2").agg(*keep).withColumn("cid", F.monotonically_increasing_id()), "found")
     classes = scratch.write(found.drop("words"), "classes")
-    members = _shared_words(found.select("cid", F.explode("words").alias("word")), scratch)
-    scratch.drop("found")
+    members = scratch.write(_in_two_rows(found.select("cid", F.explode("words").alias("word"))), "members")
+    scratch.drop("rows", "found")
 
     facts = classes.select("cid", "c1", "c2", "n", "sketch", F.col("first.t").alias("t")).join(members.select("cid").distinct(), "cid", "left_semi")
     facts = scratch.write(facts, "facts")
@@ -261,7 +304,7 @@ def _connected(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame
         open_words = groups.groupBy("word").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), hub).where("_low < _high")
         if turn == STAR_ROUNDS:  # from now on by rare words
             still = groups.join(open_words, "word", "left_semi").select("cid").distinct()
-            members = _shared_words(rarest_words(sets.join(still, "cid", "left_semi"), rule, scratch), scratch)
+            members = scratch.write(_in_two_rows(rarest_words(sets.join(still, "cid", "left_semi"), rule, scratch)), "members")
             scratch.drop("cells", "often")
             scratch.drop("members", last=1)
             groups = members.join(labels, "cid")
@@ -297,15 +340,20 @@ def _components(classes: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(classes.select("cid", "first"), "cid").groupBy("label").agg(F.min("first").alias("rep"))
 
 
-def _placed(docs: DataFrame, classes: DataFrame, labels: DataFrame, rule: Rule, more: DataFrame | None = None) -> DataFrame:
-    """components() by what _connected() gives; more (cid, others) adds n_links, the links to rows of other classes and of the row's own."""
+def _signed_rows(docs: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The signatures, written (_connected() deletes them), and of every row what _placed() takes, so that texts are gone through once for both."""
+    full = scratch.write(signatures(docs, rule), "rows")
+    return full, scratch.write(full.select("doc_id", "n", "c1", "c2"), "own")
+
+
+def _placed(own: DataFrame, classes: DataFrame, labels: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """components() by what _signed_rows() and _connected() give; more (cid, others) adds n_links, the links to rows of other classes and of the row's own."""
     lowest = _components(classes, labels).select("label", F.col("rep.doc").alias("component"))
     found = classes.select("cid", "c1", "c2", "doc", "weight").join(labels.join(lowest, "label"), "cid", "left")
     count = F.lit(0).cast("long")
     if more is not None:
         found, count = found.join(more, "cid", "left"), F.coalesce("others", F.lit(0)) + F.col("weight") - 1
     found = found.select("c1", "c2", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"), count.alias("n_links"))
-    own = signatures(docs, rule, listing=False)
     none = F.col("n") == 0
     out = own.join(found, ["c1", "c2"], "left")
     pick = lambda x: F.when(none, F.col("doc_id")).otherwise(F.col(x)).alias(x)
@@ -326,18 +374,20 @@ def components(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> Data
     table gives an empty result, other columns aren't read, and a very long text is one set as others are.
     """
     docs, scratch = _keyed(docs, text), Scratch(docs.sparkSession, "join")
-    classes, labels, _ = _connected(docs, rule, scratch)
+    full, own = _signed_rows(docs, rule, scratch)
+    classes, labels, _ = _connected(docs, full, rule, scratch)
     scratch.drop("sets")
-    return _placed(docs, classes, labels, rule)
+    return _placed(own, classes, labels)
 
 
 def linked(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
     """components() and n_links, the number of other rows whose sets are linked with the row's, rows with the very same set included."""
     docs, scratch = _keyed(docs, text), Scratch(docs.sparkSession, "join")
-    classes, labels, sets = _connected(docs, rule, scratch)
+    full, own = _signed_rows(docs, rule, scratch)
+    classes, labels, sets = _connected(docs, full, rule, scratch)
     counts = scratch.write(tile_links(classes, labels, sets, rule, pairs=False), "counts")
     scratch.drop("sets")
-    return _placed(docs, classes, labels, rule, counts.groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "cid"))
+    return _placed(own, classes, labels, counts.groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "cid"))
 
 
 def links(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
@@ -347,7 +397,7 @@ def links(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame
     the codes of its set. Rows of one class are linked with each other, which isn't listed.
     """
     docs, scratch = _keyed(docs, text), Scratch(docs.sparkSession, "join")
-    classes, labels, sets = _connected(docs, rule, scratch)
+    classes, labels, sets = _connected(docs, signatures(docs, rule), rule, scratch)
     pairs = scratch.write(tile_links(classes, labels, sets, rule, pairs=True), "pairs")
     scratch.drop("sets")
     side = lambda x: classes.select(F.col("cid").alias(x), F.struct(F.col("doc").alias("class_id"), F.col("weight").alias("rows"), "c1", "c2").alias(f"_{x}"))
@@ -437,7 +487,7 @@ def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text
     """
     scratch = Scratch(docs.sparkSession, "join")
     keyed = _keyed(docs, text)
-    classes, labels, _ = _connected(keyed, rule, scratch)
+    classes, labels, _ = _connected(keyed, signatures(keyed, rule), rule, scratch)
     alone = classes.join(labels, "cid", "left_anti").select(F.col("first").alias("rep"))
     key = lambda doc, t: [F.col(t).alias("_t"), F.col(doc).isNull().alias("_none"), F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("_id")]
     kept = materialize(alone.unionByName(_components(classes, labels).select("rep")).select(*key("rep.doc", "rep.t")), "kept")

@@ -221,3 +221,54 @@ def test_words_with_structure_have_codes_of_their_own():
     codes, counts = shingles_module.word_codes([" ".join(words).encode(), b"", b" A  a "])
     assert counts.tolist() == [len(words), 0, 2] and len(set(codes.tolist())) == len(words)
     assert codes[-1] == codes[-2] == codes[words.index("a")]
+
+
+def test_texts_are_signed_once(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (None, "a b c d e f"), (4, None)], "doc_id long, text string")
+    for got in (jaccard_join.linked(df), jaccard_join.components(df)):
+        assert "MapInArrow" not in got._jdf.queryExecution().toString()  # the result reads what the first pass has written
+        assert sorted((str(r["doc_id"]), r["n_shingles"]) for r in got.collect()) == [("1", 2), ("2", 3), ("4", 0), ("None", 2)]
+
+
+def test_words_of_many_sets_are_those_of_each(spark):
+    import numpy as np
+
+    rng, rule = random.Random(17), jaccard_join.Rule()
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)) for n in [*range(1, 40), *[4, 5] * 40, 255, 256, 257, 700, 3000]]
+    of, _, first, filled, words = jaccard_join.sketch_words(np.concatenate(sets), np.array([len(s) for s in sets]), rule)
+    for k, s in enumerate(sets):
+        mine = [w[:m] for j, w, m in zip(of, words, first, strict=True) if j == k]
+        assert np.concatenate([np.zeros(0, np.uint64), *mine]).tolist() == jaccard_join.listed_words(s, rule).tolist()
+        assert jaccard_join.listed_words(np.roll(s, len(s) // 3), rule).tolist() == jaccard_join.listed_words(s, rule).tolist()
+        assert [len(x) for x in mine] == [d for _, _, d in rule.schemes(len(s))]
+    assert (filled < first).any() and all((np.diff(w.astype(object)) > 0).all() for w in words)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_words_in_two_rows(spark, rows):
+    rng = random.Random(rows)
+    words = [(k, rng.choice([rng.randrange(-(2**63), 2**63), rng.randrange(-40, 40), 7])) for k in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = sorted(map(tuple, jaccard_join._in_two_rows(spark.createDataFrame(words, "cid long, word long")).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    often = [w for _, w in words]
+    assert got == [(k, w) for k, w in words if often.count(w) > 1]
+
+
+def test_rarest_words_against_counting(spark):
+    import numpy as np
+
+    rng, rule = random.Random(29), jaccard_join.Rule()
+    common = [rng.getrandbits(64) for _ in range(300)]
+    sets = [common[: rng.randrange(3, 300)] + [rng.getrandbits(64) for _ in range(rng.choice([0, 1, 4, 30]))] for _ in range(60)]
+    signed = lambda s: [x - 2**64 if x >= 2**63 else x for x in map(int, s)]
+    got = sorted(map(tuple, jaccard_join.rarest_words(spark.createDataFrame([(k, signed(sorted(s))) for k, s in enumerate(sets)], "cid long, codes array<long>"), rule, jaccard_join.Scratch(spark, "test")).collect()))
+    of, _, first, _, words = jaccard_join.sketch_words(np.concatenate([np.array(sorted(s), np.uint64) for s in sets]), np.array([len(s) for s in sets]), rule)
+    words, count = [signed(w) for w in words], {}
+    for w in (x for ws in words for x in ws):
+        count[w] = count.get(w, 0) + 1
+    listed = [(int(k), w) for k, m, ws in zip(of, first, words, strict=True) for w in sorted(ws, key=lambda w: (w >> 56 == -1, count[w], w))[:m]]
+    assert got == sorted((k, w) for k, w in listed if count[w] > 1) and len(got) > 300
